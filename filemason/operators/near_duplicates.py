@@ -1,0 +1,200 @@
+"""Near duplicates by name words and size, perceptually similar images, and file similarity."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .. import fixed_values as V
+from ..functions import text as X
+from ..plans.actions import action_rows
+from ..session import materialize
+from . import pairing
+
+# Names listed in a review action; the whole group stays in the long table.
+REVIEW_LIST = 1000
+
+
+def word_set(name: Column) -> Column:
+    """Sorted distinct white-space words of a name; a blank name gets one empty word."""
+    found = F.array_sort(F.array_distinct(X.words(name)))
+    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
+
+
+def size_ratio(a: Column, b: Column) -> Column:
+    """min/max of two sizes: 1 if both are zero, 0 if one is."""
+    return (
+        F.when((a == 0) & (b == 0), F.lit(1.0)).when((a == 0) | (b == 0), F.lit(0.0))
+        .otherwise(F.least(a, b) / F.greatest(a, b))
+    )
+
+
+def near_similarity(a: Column, b: Column) -> Column:
+    """0.7 × Jaccard of name words + 0.3 × size ratio."""
+    return 0.7 * X.jaccard(a["words"], b["words"]) + 0.3 * size_ratio(a["size"], b["size"])
+
+
+def with_prefix_keys(nodes: DataFrame, min_jaccard: float, extra: Column | None = None) -> DataFrame:
+    """Add ``keys``: the rarest words of each set, as many as any set at that Jaccard must share one of.
+
+    Two sets with Jaccard >= j share one of their ``len - ceil(j·len) + 1`` rarest words when both order
+    words alike, so frequent words hardly ever become join keys.
+    """
+    words = nodes.select("seq", F.explode("item.words").alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    length = F.size("ranked")
+    kept = (length - F.ceil(length * F.lit(min_jaccard) - F.lit(1e-9)) + 1).cast("int")
+    ranked = (
+        words.join(counts, "word").groupBy("seq")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
+        .select("seq", F.transform(F.slice("ranked", 1, F.greatest(F.lit(1), F.least(length, kept))),
+                                   lambda x: x["word"]).alias("prefix"))
+    )
+    nodes = nodes.join(ranked, "seq")
+    if extra is None:
+        return nodes.withColumnRenamed("prefix", "keys")
+    return nodes.withColumn("keys", F.transform("prefix", lambda w: F.struct(w.alias("word"), extra.alias("extra")))).drop("prefix")
+
+
+def near_duplicate_groups(files: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Groups of near-duplicate text files: ``(seed_seq, seq, path, name, similarity)``, seeds included.
+
+    Files with the same words and size behave alike, so only the first of them takes part in pairing and
+    the others follow it.
+    """
+    if threshold <= 0.3:
+        raise ValueError("at a threshold of 0.3 or less files without a common word could match")
+    text = materialize(
+        files.where(F.col("file_type").isin(V.TEXT_TYPES))
+        .select("seq", "path", "name", "size", word_set(F.col("name")).alias("words")), "names")
+    profiles = materialize(
+        text.groupBy("words", "size").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+        .select("seq", "n", F.struct("words", "size").alias("item")), "profiles")
+
+    def similar(a: Column, b: Column) -> Column:
+        near = size_ratio(a["size"], b["size"]) * 0.3 + 0.7 >= threshold - 1e-9
+        return near & (near_similarity(a, b) >= threshold)
+
+    nodes = with_prefix_keys(profiles.drop("n"), (threshold - 0.3) / 0.7)
+    under = pairing.greedy_seeds(nodes, similar)
+    placed = (
+        profiles.join(under, "seq", "left")
+        .select(F.col("seq").alias("profile_seq"), "n", "item", F.coalesce("seed", "seq").alias("seed_seq"))
+    )
+    seeds = placed.where("profile_seq = seed_seq").select("seed_seq", F.col("item").alias("seed_item"))
+    counts = placed.groupBy("seed_seq").agg(F.sum("n").alias("group_size")).where("group_size > 1")
+    placed = placed.join(counts, "seed_seq").join(seeds, "seed_seq").select(
+        "seed_seq", "group_size", F.col("item.words").alias("words"), F.col("item.size").alias("size"),
+        near_similarity(F.col("seed_item"), F.col("item")).alias("similarity"))
+    return text.join(placed, ["words", "size"]).select(
+        "seed_seq", "group_size", "seq", "path", "name", "similarity")
+
+
+def first_per_group(rows: DataFrame, group: str, k: int, *order: Column | str) -> DataFrame:
+    """The first ``k`` rows of each group; Spark limits each group before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def review_actions(groups: DataFrame) -> DataFrame:
+    """One review move per near-duplicate group, for its seed, naming the members in order."""
+    listed = first_per_group(groups, "seed_seq", REVIEW_LIST, "seq")
+    listed = listed.groupBy("seed_seq").agg(
+        F.first("group_size").alias("group_size"),
+        F.array_sort(F.collect_list(F.struct("seq", "name", "path"))).alias("members"))
+    more = F.col("group_size") - F.size("members")
+    names = F.array_join(F.transform("members", lambda m: m["name"]), ", ")
+    reason = F.concat(F.lit("Similar to: "), names,
+                      F.when(more > 0, F.concat(F.lit(", … and "), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
+    return action_rows(
+        listed, "move", seq=F.col("seed_seq"), source=F.get("members", F.lit(0))["path"],
+        destination=F.lit("_Needs_Review/Similar_Files"), reason=reason, confidence=0.6,
+        metadata=F.create_map(F.lit("similar_group"), F.transform("members", lambda m: m["path"])))
+
+
+def hash_masks(n_hashes: int, threshold: int, bits: int = 64) -> list[int]:
+    """Bit masks such that two hashes within ``threshold`` agree on at least one of them.
+
+    The bits are cut into ``threshold + r`` pieces, of which at least ``r`` must agree; every choice of
+    ``r`` pieces is one mask. More hashes call for a larger ``r``, that is longer and rarer keys.
+    """
+    from itertools import combinations
+
+    wanted = max(1, n_hashes).bit_length()
+    r = 1
+    while r < 3 and r * bits // (threshold + r) < wanted:
+        r += 1
+    n = threshold + r
+    edges = [bits * i // n for i in range(n + 1)]
+    pieces = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(n)]
+    masks = [sum(chosen) for chosen in combinations(pieces, r)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
+def hamming(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def similar_hash_groups(hashes: DataFrame, threshold: int = 5) -> DataFrame:
+    """Groups of images by hash ``(seed_seq, group_size, seq, distance)`` from ``(seq, hash)``, seeds included.
+
+    Equal hashes are paired through their first image only.
+    """
+    hashes = materialize(hashes.select("seq", "hash").where(F.col("hash").isNotNull()), "hashes")
+    distinct = materialize(hashes.groupBy("hash").agg(F.min("seq").alias("seq"), F.count("*").alias("n")), "distinct")
+    masks = hash_masks(distinct.count(), threshold)
+    keys = F.array(*[
+        F.struct(F.lit(i).alias("mask"), F.col("hash").bitwiseAND(F.lit(m).cast("bigint")).alias("bits"))
+        for i, m in enumerate(masks)])
+    nodes = distinct.select("seq", F.struct("hash").alias("item"), keys.alias("keys"))
+    under = pairing.greedy_seeds(nodes, lambda a, b: hamming(a["hash"], b["hash"]) <= threshold)
+    placed = distinct.join(under, "seq", "left").select("hash", "n", "seq", F.coalesce("seed", "seq").alias("seed_seq"))
+    seeds = placed.where("seq = seed_seq").select("seed_seq", F.col("hash").alias("seed_hash"))
+    counts = placed.groupBy("seed_seq").agg(F.sum("n").alias("group_size")).where("group_size > 1")
+    placed = placed.drop("seq").join(counts, "seed_seq").join(seeds, "seed_seq")
+    return hashes.join(placed, "hash").select(
+        "seed_seq", "group_size", "seq", hamming(F.col("hash"), F.col("seed_hash")).alias("distance"))
+
+
+def image_savings(groups: DataFrame, files: DataFrame) -> DataFrame:
+    """Per group of similar images: members, average size and the bytes that keeping one would save."""
+    sized = groups.join(files.select("seq", "size"), "seq")
+    return sized.groupBy("seed_seq").agg(
+        F.count("*").alias("n_images"), F.avg("size").alias("avg_size"),
+        (F.avg("size") * (F.count("*") - 1)).alias("wasted_bytes"))
+
+
+def file_similarity(a: Column, b: Column) -> Column:
+    """0.3 same type + 0.2 same extension + 0.3 name Jaccard + 0.1 size ratio + 0.1 closeness in time."""
+    ratio = F.when((a["size"] > 0) & (b["size"] > 0), F.least(a["size"], b["size"]) / F.greatest(a["size"], b["size"]))
+    apart = F.abs(F.unix_micros(a["modified_at"]) - F.unix_micros(b["modified_at"])) / F.lit(30 * 86400e6)
+    return (
+        F.when(a["file_type"] == b["file_type"], 0.3).otherwise(0.0)
+        + F.when(a["extension"] == b["extension"], 0.2).otherwise(0.0)
+        + X.jaccard(a["words"], b["words"]) * 0.3
+        + F.coalesce(ratio, F.lit(0.0)) * 0.1
+        + F.greatest(F.lit(0.0), 1 - apart) * 0.1
+    )
+
+
+def similar_files(files: DataFrame, min_sim: float = 0.9) -> DataFrame:
+    """Pairs of file profiles at least ``min_sim`` alike: ``(seq_a, seq_b, n_a, n_b, similarity)``.
+
+    A profile stands for all files equal in name words, type, extension, size and time (which are 1.0
+    alike); it carries their number and the first one's ``seq``. Above 0.7 a common name word is needed,
+    above 0.8 the same extension as well, which is what the pairs are blocked by.
+    """
+    if min_sim <= 0.7:
+        raise ValueError("at 0.7 or less files without a common word could match")
+    fields = ["words", "file_type", "extension", "size", "modified_at"]
+    profiles = materialize(
+        files.select("seq", word_set(F.col("name")).alias("words"), *fields[1:])
+        .groupBy(*fields).agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+        .select("seq", F.struct(*fields, "n").alias("item")), "profiles")
+    extra = F.col("item.extension") if min_sim > 0.8 else None
+    nodes = with_prefix_keys(profiles, (min_sim - 0.7) / 0.3, extra)
+    pairs = pairing.similar_pairs(nodes, lambda a, b: file_similarity(a, b) >= min_sim)
+    return pairs.select(
+        F.col("lo").alias("seq_a"), F.col("hi").alias("seq_b"), F.col("lo_item.n").alias("n_a"),
+        F.col("hi_item.n").alias("n_b"), file_similarity(F.col("lo_item"), F.col("hi_item")).alias("similarity"))
