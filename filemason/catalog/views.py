@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import paths as P
+from ..functions import text as X
 
 AS_OF = "2025-12-01 00:00:00"
 USAGE_AS_OF = "2024-01-31 00:00:00"
@@ -190,6 +191,49 @@ payloads AS (
 )"""
 
 
+HASH_LETTERS = "ainorstu"
+
+
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An average hash of each whole text: eight equal segments by the counts of eight letters make an
+    8 × 8 grid, and a bit tells whether its cell is above the mean."""
+    whole = F.col("t")
+    width = F.greatest(F.lit(1), F.ceil(F.length(whole) / F.lit(8.0)).cast("int"))
+
+    def counts(i: Column) -> Column:
+        segment = F.substring(whole, 1 + i * width, width)
+        return X.let(segment, lambda s: F.array(*[X.count_of(s, c) for c in HASH_LETTERS]))
+
+    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), counts))
+
+    def bits(c: Column) -> Column:
+        total = F.aggregate(c, F.lit(0), lambda n, x: n + x)
+        return X.let(total, lambda t: F.aggregate(
+            F.transform(c, lambda x, i: F.when(
+                x * 64 > t, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))),
+            F.lit(0).cast("bigint"), lambda h, b: h.bitwiseOR(b)))
+
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq"), F.octet_length("text").cast("bigint").alias("size"), F.lower("text").alias("t"))
+    return docs.select("seq", "size", X.let(cells, bits).alias("hash"))
+
+
+HASHES_SQL = f"""
+segments AS (
+  SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, lower(text) AS t,
+         greatest(1, CAST(ceil(length(text) / 8.0) AS BIGINT)) AS w
+  FROM documents
+), cells AS (
+  SELECT doc_id AS seq, size, flatten([[
+    length(s) - length(replace(s, l, '')) for l in [{", ".join(f"'{c}'" for c in HASH_LETTERS)}]
+  ] for s in [substr(t, 1 + i * w, w) for i in range(8)]]) AS c FROM segments
+), hashes AS (
+  SELECT seq, size, list_sum([CASE WHEN c[i + 1] * 64 > list_sum(c) THEN (1::HUGEINT << i) ELSE 0::HUGEINT END
+                              for i in range(64)])::HUGEINT AS hash
+  FROM cells
+)"""
+
+
 def sql(*ctes: str, recursive: bool = False) -> str:
     """``WITH`` clause from common table expressions, the last argument being the query."""
     head = "WITH RECURSIVE" if recursive else "WITH"
