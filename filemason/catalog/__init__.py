@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import duplicate_queries, inventory_queries, usage_queries
+from . import duplicate_queries, inventory_queries, plan_queries, usage_queries
 
-_MODULES = (inventory_queries, duplicate_queries, usage_queries)
+_MODULES = (inventory_queries, duplicate_queries, usage_queries, plan_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
