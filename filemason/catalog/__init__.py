@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clustering_queries, duplicate_queries, inventory_queries, plan_queries, usage_queries
+from . import clustering_queries, duplicate_queries, enrich_queries, inventory_queries, plan_queries, usage_queries
 
-_MODULES = (inventory_queries, duplicate_queries, usage_queries, plan_queries, clustering_queries)
+_MODULES = (inventory_queries, duplicate_queries, usage_queries, plan_queries, clustering_queries, enrich_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
