@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cluster_report as R
 from ..operators import duplicates as D
 from ..operators import profile
 from ..plans import actions as A
 from ..plans import apply as AP
 from ..plans import conflicts
+from ..plans import organize as O
 from . import views
+from .clustering_queries import PROFILES_SQL
 from .duplicate_queries import DUP_SQL, organize_plan_frame
-from .inventory_queries import FILES_SQL, RULES_PLAN_SQL
-from .views import sql
+from .enrich_queries import STUB_SQL
+from .inventory_queries import FILES_SQL, KEYWORDS_SQL, RULES_PLAN_SQL, rules_case
+from .views import CLUSTERED_SQL, sql
 
 
 def _collected(files: DataFrame) -> DataFrame:
@@ -81,8 +85,35 @@ def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.compare_profiles(files, after).withColumn("value", F.round("value", 8))
 
 
+def organize_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rules plan with content keywords and duplicate deletions."""
+    plan = O.organize(views.files(spark, sf_dir), "rules", views.as_of())
+    return plan.select("action_type", "source", "destination", "reason", "confidence")
+
+
+def organize_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by metadata and name patterns, found by DBSCAN, as a plan."""
+    plan = O.organize(views.files(spark, sf_dir), "clustering", views.as_of(), eps=0.2,
+                      feature_types=["metadata", "name_similarity"])
+    return plan.select("action_type", "source", "destination", "reason", "confidence")
+
+
+def organize_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries by the offline model, fallback folders and duplicate deletions, summarised."""
+    return A.plan_summary(O.organize(views.files(spark, sf_dir), "llm", views.as_of()))
+
+
+def strategy_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = views.files(spark, sf_dir)
+    return A.compare_strategies({
+        "rules": O.rules_strategy(files, views.as_of()),
+        "clustering": R.cluster_plan(views.clustered(spark, sf_dir)),
+        "enrichment": O.enrichment_strategy(files),
+    })
+
+
 QUERIES = {f.__name__: f for f in (
-    conflict_names, dry_run_log, apply_plan, apply_plan_backup, apply_log, execution_summary, before_after)}
+    organize_rules, organize_clustering, organize_enrichment, strategy_comparison, conflict_names, dry_run_log, apply_plan, apply_plan_backup, apply_log, execution_summary, before_after)}
 
 COLLECTED_SQL = """
 wishes AS (
@@ -116,7 +147,41 @@ wish_parts AS (
 
 
 _TYPED = views._SQL_TYPE
+STUB_DIRS_SQL = """
+stub_categories AS (
+  SELECT DISTINCT CASE WHEN asked THEN asked_category ELSE category END AS category FROM stub
+), stub_dirs AS (
+  SELECT sum(CASE WHEN category IN ('Work', 'Personal') THEN 2 ELSE 1 END) AS n FROM stub_categories
+)"""
+
 SQL = {
+    "organize_rules": sql(FILES_SQL, KEYWORDS_SQL, RULES_PLAN_SQL, DUP_SQL, f"""
+        keyed AS (
+          SELECT path, {rules_case(keywords=True)} || '/' || name AS target_path FROM files LEFT JOIN keywords USING (seq)
+        )""", """
+        SELECT action_type, source, destination, reason, confidence FROM rules_plan WHERE action_type = 'create_dir'
+        UNION ALL
+        SELECT 'move', path, 'organized/' || target_path, 'Rule-based classification: ' || target_path, 1.0 FROM keyed
+        UNION ALL
+        SELECT action_type, source, NULL, reason, confidence FROM deletions"""),
+    "organize_enrichment": sql(FILES_SQL, STUB_SQL, STUB_DIRS_SQL, DUP_SQL, """
+        counts AS (
+          SELECT (SELECT count(*) FROM files) AS moves, (SELECT count(*) FROM deletions) AS deletes,
+                 (SELECT CAST(n AS BIGINT) FROM stub_dirs) AS dirs
+        )""", """
+        SELECT moves + deletes + dirs AS total_actions, moves AS files_to_move, deletes AS files_to_delete,
+               dirs AS directories_to_create FROM counts"""),
+    "strategy_comparison": sql(CLUSTERED_SQL, PROFILES_SQL, STUB_SQL, STUB_DIRS_SQL, """
+        counts AS (
+          SELECT 'rules' AS strategy, (SELECT count(*) FROM files) AS moves, 16::BIGINT AS dirs
+          UNION ALL SELECT 'clustering', (SELECT count(*) FROM files),
+            (SELECT count(DISTINCT name) FROM profiles)
+            + (SELECT count(DISTINCT CASE WHEN c.label = -1 THEN 'u' WHEN p.label IS NULL THEN 's' END)
+               FROM clustered c LEFT JOIN profiles p USING (label))
+          UNION ALL SELECT 'enrichment', (SELECT count(*) FROM files), (SELECT CAST(n AS BIGINT) FROM stub_dirs)
+        )""", """
+        SELECT strategy, moves + dirs AS total_actions, moves AS files_to_move, 0::BIGINT AS files_to_delete,
+               dirs AS directories_to_create FROM counts"""),
     "conflict_names": sql(FILES_SQL, COLLECTED_SQL, """
         shelf AS (SELECT numbered AS path FROM wishes WHERE seq IN (SELECT doc_id FROM labels))""",
         *numbering_sql("wishes", "shelf"), "SELECT seq, destination, final FROM resolved"),
