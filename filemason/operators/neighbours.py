@@ -38,11 +38,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def blocks(points: DataFrame, max_distance: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def blocks(points: DataFrame, max_distance: float, block_rows: int | None = None) -> DataFrame:
     """Rows ``(cell, a, b, probe, seq, n, vector)`` such that every pair of points within ``max_distance``
     meets in exactly one ``(cell, a, b)``, each holding at most two blocks of points."""
     if not 0 < max_distance < 1:
         raise ValueError("the cosine distance must lie between 0 and 1")
+    block_rows = block_rows or BLOCK_ROWS
     total = points.count()
     wanted = int(min(MAX_PIVOTS, max(1, total / block_rows)))
     chosen = points.orderBy(F.xxhash64("seq"), "seq").limit(wanted).select("vector").collect()

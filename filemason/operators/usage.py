@@ -71,7 +71,11 @@ def report(ledger: DataFrame, as_of: Column) -> DataFrame:
         F.coalesce(F.sum(F.when(young, F.col("cost_usd"))), F.lit(0.0)).alias("recent_cost_usd"),
         F.count_if(young).alias("recent_calls"))
     section = F.when(F.col("level") == 3, "total").otherwise("model")
-    return lines.where("level in (0, 3)").select(section.alias("section"), *[c for c in lines.columns if c != "level"])
+    lines = lines.where("level in (0, 3)").select(section.alias("section"), *[c for c in lines.columns if c != "level"])
+    # An empty ledger has no rollup rows; a zero line keeps the total.
+    zero = ledger.sparkSession.createDataFrame([("total", None, None, 0.0, 0, 0, 0.0, 0)], lines.schema)
+    keys = ["section", "provider", "model"]
+    return lines.unionByName(zero).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in lines.columns if c not in keys])
 
 
 def report_text(ledger: DataFrame, as_of: Column) -> DataFrame:
