@@ -77,37 +77,28 @@ def title_case(text: Column) -> Column:
 
 
 def counted(items: Column) -> Column:
-    """Array of ``(n, first, item)`` per distinct item of an array, in item order.
+    """Array of ``(minus, first, item)`` per distinct item of an array: minus its count, and where it is first.
 
     Sorting puts equal items side by side, so a run's length is the distance to the next start:
     no shuffle, no Python and no quadratic scan for long texts.
     """
-    placed = F.array_sort(F.transform(items, lambda w, i: F.struct(w.alias("item"), i.alias("pos"))))
+    placed = F.sort_array(F.transform(items, lambda w, i: F.struct(w.alias("item"), i.alias("pos"))))
 
     def runs(s: Column) -> Column:
         starts = F.filter(
-            F.transform(s, lambda x, i: F.struct(x["item"].alias("item"), x["pos"].alias("pos"), i.alias("at"))),
-            lambda x: (x["at"] == 0) | (F.get(s, x["at"] - 1)["item"] != x["item"]),
+            F.sequence(F.lit(0), F.size(s) - 1, F.lit(1)),
+            lambda i: (i == 0) | (F.get(s, i - 1)["item"] != F.get(s, i)["item"]),
         )
-        return let(starts, lambda st: F.transform(
-            st,
-            lambda x, i: F.struct(
-                (F.coalesce(F.get(st, i + 1)["at"], F.size(s)) - x["at"]).alias("n"),
-                x["pos"].alias("first"),
-                x["item"].alias("item"),
-            ),
-        ))
+        return let(starts, lambda st: F.transform(st, lambda at, i: let(F.get(s, at), lambda x: F.struct(
+            (at - F.coalesce(F.get(st, i + 1), F.size(s))).alias("minus"), x["pos"].alias("first"), x["item"].alias("item")))))
 
-    return let(placed, runs)
+    return let(placed, lambda s: F.when(F.size(s) > 0, runs(s)))
 
 
 def top_items(items: Column, k: int) -> Column:
     """The ``k`` most frequent items, ties by first occurrence."""
-    ranked = F.array_sort(F.transform(
-        counted(items),
-        lambda c: F.struct((-c["n"]).alias("n"), c["first"].alias("first"), c["item"].alias("item")),
-    ))
-    return F.transform(F.slice(ranked, 1, k), lambda c: c["item"])
+    ranked = F.slice(F.sort_array(counted(items)), 1, k)
+    return F.coalesce(F.transform(ranked, lambda c: c["item"]), F.array().cast("array<string>"))
 
 
 def top_keywords(word_array: Column, k: int = 10) -> Column:

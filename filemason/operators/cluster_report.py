@@ -44,7 +44,7 @@ def top_name_words(files: DataFrame, k: int = 3) -> DataFrame:
     words = files.select("label", "seq", F.posexplode(X.name_words(F.col("name"))).alias("pos", "word"))
     counted = words.groupBy("label", "word").agg(F.count("*").alias("n"), F.min(F.struct("seq", "pos")).alias("first"))
     best = first_per_group(counted, "label", k, F.desc("n"), "first").where("n > 1")
-    ranked = best.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("words"))
+    ranked = best.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("words"))
     return ranked.select("label", F.transform("words", lambda w: w["word"]).alias("words"))
 
 

@@ -201,12 +201,12 @@ def folder_prompt(summaries: DataFrame, criteria: str | None = None, k: int = 5)
     number of the others, so the prompt grows with the categories only."""
     lines = category_files(summaries, k).select("category", "rank", F.concat(
         F.lit("  - "), "file_name", F.lit(" (topics: "), "topics", F.lit(")\n")).alias("line"))
-    lines = lines.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("lines"))
+    lines = lines.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("lines"))
     more = F.when(F.col("n_files") > k, F.concat(
         F.lit("  ... and "), (F.col("n_files") - k).cast("string"), F.lit(" more files\n"))).otherwise(F.lit(""))
     block = F.concat(F.lit("\n"), "category", F.lit(":\n"), F.array_join(F.transform("lines", lambda x: x["line"]), ""), more)
     blocks = category_report(summaries).join(lines, "category").select(F.struct("first_seq", block.alias("block")).alias("b"))
-    listing = blocks.agg(F.array_sort(F.collect_list("b")).alias("b"))
+    listing = blocks.agg(F.sort_array(F.collect_list("b")).alias("b"))
     task = f"Propose a folder structure by these criteria: {criteria}" if criteria else "Propose a folder structure."
     return listing.select(F.concat(
         F.lit(f"{task}\nFiles:"), F.array_join(F.transform("b", lambda x: x["block"]), ""), F.lit(f"\n{_FOLDER_FORM}")).alias("prompt"))

@@ -18,7 +18,7 @@ REVIEW_LIST = 1000
 
 def word_set(name: Column) -> Column:
     """Sorted distinct white-space words of a name; a blank name gets one empty word."""
-    found = F.array_sort(F.array_distinct(X.words(name)))
+    found = F.sort_array(F.array_distinct(X.words(name)))
     return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
 
 
@@ -47,14 +47,13 @@ def with_prefix_keys(nodes: DataFrame, min_jaccard: float, extra: Column | None
     kept = (length - F.ceil(length * F.lit(min_jaccard) - F.lit(1e-9)) + 1).cast("int")
     ranked = (
         words.join(counts, "word").groupBy("seq")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
+        .agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("ranked"))
         .select("seq", F.transform(F.slice("ranked", 1, F.greatest(F.lit(1), F.least(length, kept))),
                                    lambda x: x["word"]).alias("prefix"))
     )
-    nodes = nodes.join(ranked, "seq")
-    if extra is None:
-        return nodes.withColumnRenamed("prefix", "keys")
-    return nodes.withColumn("keys", F.transform("prefix", lambda w: F.struct(w.alias("word"), extra.alias("extra")))).drop("prefix")
+    more = [] if extra is None else [extra]
+    keys = F.transform("prefix", lambda w: F.xxhash64(w, *more))
+    return nodes.join(ranked, "seq").withColumn("keys", keys).drop("prefix")
 
 
 def near_duplicate_groups(files: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -102,7 +101,7 @@ def review_actions(groups: DataFrame) -> DataFrame:
     listed = first_per_group(groups, "seed_seq", REVIEW_LIST, "seq")
     listed = listed.groupBy("seed_seq").agg(
         F.first("group_size").alias("group_size"),
-        F.array_sort(F.collect_list(F.struct("seq", "name", "path"))).alias("members"))
+        F.sort_array(F.collect_list(F.struct("seq", "name", "path"))).alias("members"))
     more = F.col("group_size") - F.size("members")
     names = F.array_join(F.transform("members", lambda m: m["name"]), ", ")
     reason = F.concat(F.lit("Similar to: "), names,
@@ -145,8 +144,7 @@ def similar_hash_groups(hashes: DataFrame, threshold: int = 5) -> DataFrame:
     distinct = materialize(hashes.groupBy("hash").agg(F.min("seq").alias("seq"), F.count("*").alias("n")), "distinct")
     masks = hash_masks(distinct.count(), threshold)
     keys = F.array(*[
-        F.struct(F.lit(i).alias("mask"), F.col("hash").bitwiseAND(F.lit(m).cast("bigint")).alias("bits"))
-        for i, m in enumerate(masks)])
+        F.xxhash64(F.lit(i), F.col("hash").bitwiseAND(F.lit(m).cast("bigint"))) for i, m in enumerate(masks)])
     nodes = distinct.select("seq", F.struct("hash").alias("item"), keys.alias("keys"))
     under = pairing.greedy_seeds(nodes, lambda a, b: hamming(a["hash"], b["hash"]) <= threshold)
     placed = distinct.join(under, "seq", "left").select("hash", "n", "seq", F.coalesce("seed", "seq").alias("seed_seq"))

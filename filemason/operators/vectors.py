@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
+from math import log
 
 from pyspark.ml.feature import (
     PCA, CountVectorizerModel, ElementwiseProduct, HashingTF, IDF, Normalizer, StandardScaler, StopWordsRemover,
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from .. import fixed_values as V
 from ..functions import paths as P
 from ..functions import text as X
+from ..session import materialize
 from .features import clustering_text
 
 
@@ -76,50 +77,79 @@ def image_vector(image: Column) -> Column:
     return F.when(image.isNull(), F.array_repeat(F.lit(0.0), 8)).otherwise(present)
 
 
-def terms(text: Column) -> Column:
-    """One- and two-word terms after English stop words are dropped."""
+def term_words(text: Column) -> Column:
+    """Lower-case words of a text without English stop words."""
     stop = StopWordsRemover.loadDefaultStopWords("english")
-    kept = F.filter(X.word_runs(text), lambda w: ~w.isin(stop))
+    return F.filter(X.word_runs(text), lambda w: ~w.isin(stop))
 
-    def grams(w: Column) -> Column:
-        pairs = F.zip_with(w, F.slice(w, 2, 2**30), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
-        return F.concat(w, F.array_compact(pairs))
 
-    return X.let(kept, grams)
+def _pairs(words: Column) -> Column:
+    """Adjacent words as two-word terms."""
+    joined = F.zip_with(words, F.slice(words, 2, 2**30), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    return F.array_compact(joined)
 
 
-def vocabulary(term_rows: DataFrame, max_features: int = 1000, max_df: float = 0.95) -> list:
-    """The most frequent terms of ``(seq, terms)`` with their document counts: at most ``max_features`` rows.
+def _known_terms(names: list[str]) -> Column:
+    """The one- and two-word terms of ``words`` that belong to a vocabulary."""
+    return F.filter(F.concat("words", _pairs(F.col("words"))), lambda t: t.isin(names))
 
-    Occurrences and documents are counted in one aggregation that combines on the map side.
-    """
-    def tagged(items: Column, tf: int, df: int) -> Column:
-        return F.transform(items, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
 
-    n_docs = term_rows.count()
-    counted = (
-        term_rows.select(F.explode(F.concat(tagged(F.col("terms"), 1, 0), tagged(F.array_distinct("terms"), 0, 1))).alias("t"))
-        .groupBy("t.term").agg(F.sum("t.tf").alias("tf"), F.sum("t.df").alias("df"))
-        .where(F.col("df") <= max_df * n_docs)
-    )
-    return [(r["term"], r["df"], n_docs) for r in counted.orderBy(F.desc("tf"), "term").limit(max_features).collect()]
+def _frequent_terms(rows: DataFrame, wanted: int) -> list[str]:
+    """The ``wanted`` most frequent one- and two-word terms, ties in term order.
+
+    A pair occurs no more often than either of its words, so only pairs of words at least as frequent as
+    the last wanted single word can be among them; the others are never counted or shuffled.
+    """
+    single = rows.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    single = materialize(single, "words")
+    order = [F.desc("n"), F.asc("term")]
+    first = single.orderBy(*order).limit(wanted).collect()
+    pairs = _pairs(F.col("words"))
+    if len(first) == wanted:
+        least = first[-1]["n"]
+        common = [r["term"] for r in single.where(F.col("n") >= least).limit(4 * wanted + 1).collect()]
+        if len(common) <= 4 * wanted:
+            kept = F.transform("words", lambda w: F.when(w.isin(common), w))
+            pairs = X.let(kept, _pairs)
+    double = rows.select(F.explode(pairs).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    best = single.unionByName(double).orderBy(*order).limit(wanted)
+    return [r["term"] for r in best.collect()]
+
+
+def vocabulary(rows: DataFrame, max_features: int = 1000, max_df: float = 0.95) -> tuple[list[str], list[int], int]:
+    """The most frequent terms of ``(seq, words)``, their document counts and the number of documents.
+
+    Terms in more than ``max_df`` of the documents do not count. Occurrences are ranked first; documents
+    are then counted for the leading terms only, and for more of them should too many prove too common.
+    """
+    wanted = max_features + 100
+    while True:
+        names = _frequent_terms(rows, wanted)
+        if not names:
+            return [], [], 0
+        n_docs = rows.count()
+        seen = rows.select(F.explode(F.array_distinct(_known_terms(names))).alias("term"))
+        documents = {r["term"]: r["count"] for r in seen.groupBy("term").count().collect()}
+        kept = [t for t in names if documents[t] <= max_df * n_docs]
+        if len(kept) >= max_features or len(names) < wanted:
+            kept = kept[:max_features]
+            return kept, [documents[t] for t in kept], n_docs
+        wanted *= 2
 
 
 def tfidf(files: DataFrame, text: Column | None = None, max_features: int = 1000) -> tuple[DataFrame, list[str]]:
     """``(seq, tfidf)`` unit vectors with smooth IDF, and the terms of their positions."""
     text = clustering_text() if text is None else text
-    rows = files.select("seq", terms(text).alias("terms"))
-    vocab = vocabulary(rows, max_features)
-    if not vocab:
+    rows = files.select("seq", term_words(text).alias("words"))
+    names, documents, n = vocabulary(rows, max_features)
+    if not names:
         return rows.select("seq", F.lit(None).alias("tfidf")).limit(0), []
-    from math import log
-
-    weights = Vectors.dense([log((n + 1) / (df + 1)) + 1 for _, df, n in vocab])
-    names = [t for t, _, _ in vocab]
-    model = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="tf")
+    weights = Vectors.dense([log((n + 1) / (df + 1)) + 1 for df in documents])
+    counts = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="tf")
     weighted = ElementwiseProduct(scalingVec=weights, inputCol="tf", outputCol="weighted")
     normal = Normalizer(p=2.0, inputCol="weighted", outputCol="tfidf")
-    return reduce(lambda df, s: s.transform(df), (model, weighted, normal), rows).select("seq", "tfidf"), names
+    terms = rows.select("seq", _known_terms(names).alias("terms"))
+    return normal.transform(weighted.transform(counts.transform(terms))).select("seq", "tfidf"), names
 
 
 def feature_matrix(files: DataFrame, as_of: Column, feature_types: Sequence[str] = ("text", "metadata", "name_similarity"),

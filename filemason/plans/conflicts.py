@@ -125,6 +125,10 @@ def resolve(wishes: DataFrame, existing: DataFrame, chunk: int = CHUNK) -> DataF
     plain = running_sum(steps, ["name"], "at", F.col("skipped"), "shift", chunk).where("order IS NOT NULL").select(
         "order", "name", F.when(F.col("index") == 0, F.lit(0)).otherwise(F.col("index") + F.col("shift")).cast("bigint").alias("number"))
 
+    every = free.unionByName(plain)
+    if family.where("contested").isEmpty():
+        return _named(every)
+
     # Contested families: fold the first wishes of each name, up to its highest foreign number.
     foreign = used.unionByName(
         names.select(_parent(F.col("name")).alias("p")).where("p IS NOT NULL").select("p.name", "p.number"))
@@ -147,5 +151,8 @@ def resolve(wishes: DataFrame, existing: DataFrame, chunk: int = CHUNK) -> DataF
     tail = knotted.where(F.col("rank") > F.col("folded")).join(last, "name").select(
         "order", "name", (F.col("last") + F.col("rank") - F.col("folded")).alias("number"))
 
-    every = free.unionByName(plain).unionByName(folded).unionByName(tail)
-    return every.select("order", F.col("name").alias("destination"), numbered(F.col("name"), F.col("number")).alias("final"))
+    return _named(every.unionByName(folded).unionByName(tail))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select("order", F.col("name").alias("destination"), numbered(F.col("name"), F.col("number")).alias("final"))
