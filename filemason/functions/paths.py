@@ -41,6 +41,10 @@ def days_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(86400e6)
 
 
+def days_before(at: Column, days: float) -> Column:
+    return F.timestamp_micros(F.unix_micros(at) - F.lit(round(days * 86400000000)).cast("bigint"))
+
+
 def with_path_columns(df: DataFrame) -> DataFrame:
     """Add name, extension, parent_dir and file_type to rows that have a path."""
     return (

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .neighbours import blocks, distinct_vectors, near_mask, per_block, unit_vectors
+from .neighbours import blocks, distinct_vectors, near_mask, per_block, unit_vectors, visits
 from .ranking import rank_in_group
 
 MICRO_CLUSTERS = 512
@@ -92,17 +92,27 @@ def dbscan(vectors: DataFrame, eps: float = 0.5, min_samples: int = 2) -> DataFr
     """DBSCAN by cosine distance; label -1 is noise, clusters are numbered by their first core point.
 
     Exact at any size: degrees and then links are computed block by block around pivots, so neighbour
-    pairs are never collected, and equal vectors count through one representative.
+    pairs are never collected. Equal vectors count through one representative, and the points of a dense
+    spot, all near each other, are counted and linked without being compared.
     """
     units = materialize(unit_vectors(vectors), "units")
     points = materialize(distinct_vectors(units), "points")
-    rows = blocks(points, eps)
-    degrees = per_block(rows, _degrees(eps), "seq bigint, degree bigint").groupBy("seq").agg(F.sum("degree").alias("degree"))
+    visited = visits(points, eps)
+    rows = blocks(visited, skip_dense=True)
+    dense = visited.where("dense").select("cell", "seq", "n")
+    crowd = dense.groupBy("cell").agg(F.sum("n").alias("crowd"))  # one row per pivot
+    beside = dense.join(F.broadcast(crowd), "cell").select("seq", (F.col("crowd") - F.col("n")).alias("degree"))
+    degrees = per_block(rows, _degrees(eps), "seq bigint, degree bigint").unionByName(beside)
+    degrees = degrees.groupBy("seq").agg(F.sum("degree").alias("degree"))
     cores = materialize(
         points.join(degrees, "seq", "left")
         .select("seq", (F.col("n") + F.coalesce("degree", F.lit(0)) >= min_samples).alias("core")), "cores")
-    links = materialize(
-        per_block(rows.join(cores, "seq"), _links(eps), "a bigint, b bigint, border boolean"), "links")
+    found = per_block(rows.join(cores, "seq"), _links(eps), "a bigint, b bigint, border boolean")
+    spots = dense.join(cores, "seq")
+    centre = spots.where("core").groupBy("cell").agg(F.min("seq").alias("b"))  # one row per pivot
+    spots = spots.join(F.broadcast(centre), "cell").where("seq <> b").select(
+        F.col("seq").alias("a"), "b", (~F.col("core")).alias("border"))
+    links = materialize(found.unionByName(spots), "links")
     grouped = components(links.where("NOT border").select("a", "b"))
     core_roots = materialize(
         cores.where("core").select("seq").join(grouped, "seq", "left").select("seq", F.coalesce("root", "seq").alias("root")), "roots")

@@ -12,7 +12,7 @@ from math import acos
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -38,52 +38,83 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def blocks(points: DataFrame, max_distance: float, block_rows: int | None = None) -> DataFrame:
-    """Rows ``(cell, a, b, probe, seq, n, vector)`` such that every pair of points within ``max_distance``
-    meets in exactly one ``(cell, a, b)``, each holding at most two blocks of points."""
+def _pivots(points: DataFrame, wanted: int, apart: float) -> np.ndarray:
+    """Up to ``wanted`` vectors of a repeatable sample, no two closer than the angle ``apart``: a dense spot
+    then gets one cell instead of many that all visit one another."""
+    sample = points.orderBy(F.xxhash64("seq"), "seq").limit(4 * wanted).select("vector").collect()
+    chosen: list[np.ndarray] = []
+    for vector in (np.array(r["vector"], dtype=np.float64) for r in sample):
+        if len(chosen) < wanted and all(np.arccos(np.clip(vector @ c, -1, 1)) > apart for c in chosen):
+            chosen.append(vector)
+    return np.array(chosen)
+
+
+def visits(points: DataFrame, max_distance: float, block_rows: int | None = None) -> DataFrame:
+    """Rows ``(cell, probe, dense, seq, n, vector)``: each point at home and, as ``probe``, in the later cells
+    that may hold a neighbour. Points marked ``dense`` are so close to their pivot that all those of one
+    cell are neighbours of each other."""
     if not 0 < max_distance < 1:
         raise ValueError("the cosine distance must lie between 0 and 1")
+    angle = acos(1 - max_distance)
     block_rows = block_rows or BLOCK_ROWS
     total = points.count()
-    wanted = int(min(MAX_PIVOTS, max(1, total / block_rows)))
-    chosen = points.orderBy(F.xxhash64("seq"), "seq").limit(wanted).select("vector").collect()
-    pivots = np.array([r["vector"] for r in chosen], dtype=np.float64)
-    reach = 2 * acos(1 - max_distance) + 1e-9
+    if total <= block_rows:
+        return points.select(F.lit(0).alias("cell"), F.lit(False).alias("probe"), F.lit(False).alias("dense"), "seq", "n", "vector")
+    pivots = _pivots(points, min(MAX_PIVOTS, -(-total // block_rows)), angle / 2)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
             angles = np.arccos(np.clip(_matrix(batch["vector"]) @ pivots.T, -1, 1))
-            home = angles.argmin(axis=1)
-            near = angles - angles.min(axis=1, keepdims=True) <= reach
+            home, least = angles.argmin(axis=1), angles.min(axis=1)
+            near = angles - least[:, None] <= 2 * angle + 1e-9
             near &= np.arange(len(pivots)) >= home[:, None]
             row, cell = np.nonzero(near)
-            yield batch.iloc[row].assign(cell=cell.astype("int32"), probe=cell != home[row])
-
-    if len(pivots) <= 1:
-        visits = points.select("seq", "n", "vector", F.lit(0).alias("cell"), F.lit(False).alias("probe"))
-    else:
-        visits = materialize(points.select("seq", "n", "vector").mapInPandas(
-            visit, "seq bigint, n bigint, vector array<double>, cell int, probe boolean"), "visits")
-    sizes = visits.groupBy("cell").agg(
-        F.ceil(F.count_if(~F.col("probe")) / block_rows).cast("int").alias("homes"),
-        F.ceil(F.count_if("probe") / block_rows).cast("int").alias("guests"))
-    placed = visits.join(F.broadcast(sizes), "cell")  # one row per pivot, at most MAX_PIVOTS
-    block = F.pmod(F.xxhash64("seq"), F.when(F.col("probe"), F.col("guests")).otherwise(F.col("homes"))).cast("int")
-    placed = placed.withColumn("block", block)
-
-    def meet(a, b, probe):
+            at_home = cell == home[row]
+            yield pd.DataFrame({
+                "cell": cell.astype("int32"), "probe": ~at_home, "dense": at_home & (least[row] <= angle / 2 - 1e-9),
+                "seq": batch["seq"].to_numpy()[row], "n": batch["n"].to_numpy()[row],
+                "vector": batch["vector"].to_numpy()[row]})
+
+    schema = "cell int, probe boolean, dense boolean, seq bigint, n bigint, vector array<double>"
+    return materialize(points.select("seq", "n", "vector").mapInPandas(visit, schema), "visits")
+
+
+def blocks(visited: DataFrame, skip_dense: bool = False, block_rows: int | None = None) -> DataFrame:
+    """Rows ``(cell, a, b, probe, seq, n, vector)`` such that every pair of points that may be near meets in
+    exactly one ``(cell, a, b)``, each holding at most two blocks of points.
+
+    With ``skip_dense`` the dense points of a cell do not meet each other: they are known to be near.
+    """
+    size = F.lit(block_rows or BLOCK_ROWS)
+    dense = F.col("dense") if skip_dense else F.lit(False)
+    visited = visited.withColumn("kind", F.when(F.col("probe"), 2).when(dense, 0).otherwise(1))
+
+    def blocks_of(kind: int) -> Column:
+        return F.ceil(F.count_if(F.col("kind") == kind) / size).cast("int")
+
+    sizes = visited.groupBy("cell").agg(blocks_of(0).alias("d"), blocks_of(1).alias("h"), blocks_of(2).alias("g"))
+    placed = visited.join(F.broadcast(sizes), "cell")  # one row per pivot, at most MAX_PIVOTS
+    d, h, g = F.col("d"), F.col("h"), F.col("g")
+    own = F.when(F.col("kind") == 0, d).when(F.col("kind") == 1, h).otherwise(g)
+    start = F.when(F.col("kind") == 0, F.lit(0)).when(F.col("kind") == 1, d).otherwise(d + h)
+    mine = F.col("mine")
+    placed = placed.withColumn("mine", (start + F.pmod(F.xxhash64("seq"), own)).cast("int"))
+
+    def meet(a: Column, b: Column, probe: bool) -> Column:
         return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(probe).alias("probe"))
 
-    mine, homes, guests = F.col("block"), F.col("homes"), F.col("guests")
-    last = homes + guests - 1
-    as_home = F.concat(
-        F.transform(F.sequence(mine, last), lambda b: meet(mine, b, False)),
-        F.when(mine > 0, F.transform(F.sequence(F.lit(0), mine - 1), lambda a: meet(a, mine, True))).otherwise(F.array()),
-    )
-    as_guest = F.when(homes > 0, F.transform(F.sequence(F.lit(0), homes - 1), lambda a: meet(a, homes + mine, True)))
-    rows = placed.select("cell", "seq", "n", "vector", F.explode(F.when(F.col("probe"), as_guest).otherwise(as_home)).alias("m"))
+    def span(first: Column, last: Column, body: Callable[[Column], Column]) -> Column:
+        none = F.array().cast("array<struct<a:int,b:int,probe:boolean>>")
+        return F.when(first <= last, F.transform(F.sequence(first, last), body)).otherwise(none)
+
+    first_right = F.when(F.col("kind") == 0, d).otherwise(mine)
+    last_left = F.when(F.col("kind") == 0, F.lit(-1)).when(F.col("kind") == 1, mine - 1).otherwise(d + h - 1)
+    as_left = F.when(F.col("kind") == 2, F.array().cast("array<struct<a:int,b:int,probe:boolean>>")).otherwise(
+        span(first_right, d + h + g - 1, lambda b: meet(mine, b, False)))
+    as_right = span(F.lit(0), last_left, lambda a: meet(a, mine, True))
+    rows = placed.select("cell", "seq", "n", "vector", F.explode(F.concat(as_left, as_right)).alias("m"))
     return rows.select("cell", "m.a", "m.b", "m.probe", "seq", "n", "vector")
 
 
@@ -118,4 +149,4 @@ def cosine_neighbours(vectors: DataFrame, min_cosine: float) -> DataFrame:
         (seq_a, seq_b), (n_a, n_b) = pick("seq"), pick("n")
         return pd.DataFrame({"seq_a": seq_a, "seq_b": seq_b, "n_a": n_a, "n_b": n_b, "cosine": cosine})
 
-    return per_block(blocks(points, limit), pairs, "seq_a bigint, seq_b bigint, n_a bigint, n_b bigint, cosine double")
+    return per_block(blocks(visits(points, limit)), pairs, "seq_a bigint, seq_b bigint, n_a bigint, n_b bigint, cosine double")

@@ -26,16 +26,16 @@ def visible(files: DataFrame, root: str = "", include_hidden: bool = False, max_
 
 def filtered(files: DataFrame, as_of: Column, extensions: Sequence[str] = (), exclude_extensions: Sequence[str] = (),
              min_age_days: float | None = None, max_age_days: float | None = None) -> DataFrame:
-    """Keep by extension and age; both age bounds are inclusive and 0 or None switches one off."""
+    """Keep by extension and age; both age bounds are inclusive and 0 or None switches one off. The bounds are
+    constants compared with plain columns, so a stored inventory is filtered in its scan."""
     if extensions:
         files = files.where(F.col("extension").isin([e.lower() for e in extensions]))
     if exclude_extensions:
         files = files.where(~F.col("extension").isin([e.lower() for e in exclude_extensions]))
-    age = P.days_between(as_of, F.col("modified_at"))
     if min_age_days:
-        files = files.where(age >= min_age_days)
+        files = files.where(F.col("modified_at") <= P.days_before(as_of, min_age_days))
     if max_age_days:
-        files = files.where(age <= max_age_days)
+        files = files.where(F.col("modified_at") >= P.days_before(as_of, max_age_days))
     return files
 
 

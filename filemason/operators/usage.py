@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.paths import days_before
 
 
 def price_table(spark: SparkSession) -> DataFrame:
@@ -33,7 +34,7 @@ def with_cost(calls: DataFrame, prices: DataFrame | None = None) -> DataFrame:
 
 def recent(calls: DataFrame, as_of: Column, days: int) -> DataFrame:
     """Calls strictly younger than ``days`` days."""
-    return calls.where(F.unix_micros("timestamp") > F.unix_micros(as_of) - days * 86400000000)
+    return calls.where(F.col("timestamp") > days_before(as_of, days))
 
 
 def _tokens() -> Column:
@@ -63,7 +64,7 @@ def by_model(ledger: DataFrame) -> DataFrame:
 
 def report(ledger: DataFrame, as_of: Column) -> DataFrame:
     """Totals, last seven days and one line per model, in a single rollup over the ledger."""
-    young = F.unix_micros("timestamp") > F.unix_micros(as_of) - 7 * 86400000000
+    young = F.col("timestamp") > days_before(as_of, 7)
     lines = ledger.rollup("provider", "model").agg(
         F.grouping_id().alias("level"),
         F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"),

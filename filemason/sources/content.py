@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as V
 
+# Files whose texts are held in a Python worker at a time.
+READ_ROWS = 128
+
 
 def _read(path: str, max_chars: int | None) -> str:
     try:
@@ -36,8 +39,10 @@ def read_texts(files: DataFrame, max_chars: int | None = None, max_file_size_kb:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = [_read(p, max_chars) if w else "" for p, w in zip(frame["path"], frame["_wanted"])]
-            yield frame.drop(columns="_wanted").assign(text=texts)
+            for at in range(0, len(frame), READ_ROWS):
+                part = frame.iloc[at:at + READ_ROWS]
+                texts = [_read(p, max_chars) if w else "" for p, w in zip(part["path"], part["_wanted"])]
+                yield part.drop(columns="_wanted").assign(text=texts)
 
     return rows.mapInPandas(read, schema)
 

@@ -118,3 +118,18 @@ def test_cluster_plan_folders(spark):
     moves = {r["source"].split("/")[-1]: (r["destination"], r["confidence"]) for r in plan if r["action_type"] == "move"}
     assert moves["b.txt"] == ("Clustered/Small_Groups/b.txt", 0.5) and moves["c.txt"] == ("Clustered/Uncategorized/c.txt", 0.3)
     assert sum(r["action_type"] == "create_dir" for r in plan) == 3
+
+
+def test_scan_filters_reach_the_parquet_scan(spark, tmp_path):
+    file_rows(spark, ["a.txt", "b.py"]).write.parquet(str(tmp_path / "inventory"))
+    stored = spark.read.parquet(str(tmp_path / "inventory"))
+    df = scan_filters.filtered(stored, as_of(), extensions=[".txt", ".py"], min_age_days=30).where("size < 100").select("path")
+    plan = df._jdf.queryExecution().toString()
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "In(extension" in pushed and "LessThanOrEqual(modified_at" in pushed
+    assert "text" not in plan[plan.rindex("ReadSchema"):]
+
+
+def test_first_rows_of_a_group_are_limited_before_the_shuffle(spark):
+    df = cluster_report.cluster_samples(file_rows(spark, ["a.txt", "b.py"]).withColumn("label", F.col("seq") % 2))
+    assert "WindowGroupLimit" in df._jdf.queryExecution().toString()

@@ -244,3 +244,37 @@ def test_ward_merges_like_the_definition():
         groups[i] += groups.pop(j)
     labels = clustering.ward_merges(points, np.ones(14), 4)
     assert sorted(sorted(g) for g in groups) == sorted(sorted(np.nonzero(labels == k)[0].tolist()) for k in range(4))
+
+
+def test_dbscan_with_dense_spots(spark, monkeypatch):
+    """A third of all points in one tight spot: they are never compared with each other."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(9)
+    spot = rng.normal(size=5)
+    rows = [(spot + rng.normal(size=5) * 0.01).tolist() for _ in range(60)] + rng.normal(size=(100, 5)).tolist()
+    df = spark.createDataFrame(list(enumerate(rows)), "seq bigint, vector array<double>")
+    points = neighbours.distinct_vectors(neighbours.unit_vectors(df))
+    visited = neighbours.visits(points, 0.1)
+    assert visited.where("dense").count() >= 60
+
+    def compared(rows):
+        sides = rows.groupBy("cell", "a", "b").agg(F.count_if(~F.col("probe")).alias("l"), F.count_if("probe").alias("r"))
+        pairs = F.when(F.col("a") == F.col("b"), F.col("l") * (F.col("l") - 1) / 2).otherwise(F.col("l") * F.col("r"))
+        return sides.agg(F.sum(pairs)).first()[0]
+
+    assert compared(neighbours.blocks(visited)) - compared(neighbours.blocks(visited, skip_dense=True)) >= 60 * 59 / 2
+    got = [r["label"] for r in clustering.dbscan(df, 0.1, 4).orderBy("seq").collect()]
+    assert got == brute_dbscan(rows, 0.1, 4)
+
+
+def test_one_name_with_many_sizes(spark, monkeypatch):
+    """A key that holds most rows is thinned by its leaders instead of being paired."""
+    monkeypatch.setattr(pairing, "PEEL_ABOVE", 20)
+    sizes = [int(1.02 ** i * 10) for i in range(400)]
+    random.Random(4).shuffle(sizes)
+    items = [("hot name.txt", s) for s in sizes] + [("other thing.txt", s) for s in (1, 2, 3)]
+    got = near_duplicates.near_duplicate_groups(file_rows(spark, [n for n, _ in items], size=[s for _, s in items]))
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["seed_seq"], set()).add(r["seq"])
+    assert found == groups_of(greedy(items, near))
