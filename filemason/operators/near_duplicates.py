@@ -35,25 +35,43 @@ def near_similarity(a: Column, b: Column) -> Column:
     return 0.7 * X.jaccard(a["words"], b["words"]) + 0.3 * size_ratio(a["size"], b["size"])
 
 
-def with_prefix_keys(nodes: DataFrame, min_jaccard: float, extra: Column | None = None) -> DataFrame:
-    """Add ``keys``: the rarest words of each set, as many as any set at that Jaccard must share one of.
+def with_prefix_keys(nodes: DataFrame, min_jaccard: float, extra: list[Column] | None = None) -> DataFrame:
+    """Add ``keys`` such that word sets with that Jaccard similarity (and equal ``extra`` values) share one.
 
-    Two sets with Jaccard >= j share one of their ``len - ceil(j·len) + 1`` rarest words when both order
-    words alike, so frequent words hardly ever become join keys.
+    Sets of x and y words need an overlap of ``o = ceil(j / (1 + j) · (x + y))``, hence share one of the
+    ``x - o + 1`` rarest words of the one and the ``y - o + 1`` rarest of the other when both order words
+    alike. There is one key per such word and possible partner size, and the smaller set meets the larger
+    one only. Frequent words hardly ever become keys.
     """
     words = nodes.select("seq", F.explode("item.words").alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    length = F.size("ranked")
-    kept = (length - F.ceil(length * F.lit(min_jaccard) - F.lit(1e-9)) + 1).cast("int")
     ranked = (
         words.join(counts, "word").groupBy("seq")
         .agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("ranked"))
-        .select("seq", F.transform(F.slice("ranked", 1, F.greatest(F.lit(1), F.least(length, kept))),
-                                   lambda x: x["word"]).alias("prefix"))
+        .select("seq", F.transform("ranked", lambda x: x["word"]).alias("ranked"))
     )
-    more = [] if extra is None else [extra]
-    keys = F.transform("prefix", lambda w: F.xxhash64(w, *more))
-    return nodes.join(ranked, "seq").withColumn("keys", keys).drop("prefix")
+    size, more = F.size("ranked"), extra or []
+    partners = F.sequence(F.ceil(size * min_jaccard - 1e-9).cast("int"), F.floor(size / min_jaccard + 1e-9).cast("int"))
+
+    def keys_for(other: Column) -> Column:
+        overlap = F.ceil((size + other) * (min_jaccard / (1 + min_jaccard)) - 1e-9).cast("int")
+        side = F.when(other == size, 0).when(size < other, 1).otherwise(2)
+        return F.transform(F.slice("ranked", F.lit(1), F.greatest(size - overlap + 1, F.lit(0))), lambda w: F.struct(
+            F.xxhash64(w, F.least(size, other), F.greatest(size, other), *more).alias("key"), side.alias("side")))
+
+    return nodes.join(ranked, "seq").withColumn("keys", F.flatten(F.transform(partners, keys_for))).drop("ranked")
+
+
+def with_size_windows(nodes: DataFrame, min_ratio: float) -> DataFrame:
+    """Split each key by size: sizes at least that alike lie in the same or in adjacent bands of a logarithmic
+    scale, so each key is issued for the two windows of bands that contain its size."""
+    if min_ratio <= 0:
+        return nodes
+    size = F.col("item.size")
+    band = F.when(size == 0, F.lit(-9)).otherwise(F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / min(min_ratio, 0.99)))))
+    windows = F.array(band - 1, band)
+    return nodes.withColumn("keys", F.flatten(F.transform("keys", lambda k: F.transform(windows, lambda w: F.struct(
+        F.xxhash64(k["key"], w).alias("key"), k["side"].alias("side"))))))
 
 
 def near_duplicate_groups(files: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -76,6 +94,7 @@ def near_duplicate_groups(files: DataFrame, threshold: float = 0.8) -> DataFrame
         return near & (near_similarity(a, b) >= threshold)
 
     nodes = with_prefix_keys(profiles.drop("n"), (threshold - 0.3) / 0.7)
+    nodes = with_size_windows(nodes, (threshold - 0.7) / 0.3 - 1e-6)
     under = pairing.greedy_seeds(nodes, similar)
     placed = (
         profiles.join(under, "seq", "left")
@@ -144,7 +163,8 @@ def similar_hash_groups(hashes: DataFrame, threshold: int = 5) -> DataFrame:
     distinct = materialize(hashes.groupBy("hash").agg(F.min("seq").alias("seq"), F.count("*").alias("n")), "distinct")
     masks = hash_masks(distinct.count(), threshold)
     keys = F.array(*[
-        F.xxhash64(F.lit(i), F.col("hash").bitwiseAND(F.lit(m).cast("bigint"))) for i, m in enumerate(masks)])
+        F.struct(F.xxhash64(F.lit(i), F.col("hash").bitwiseAND(F.lit(m).cast("bigint"))).alias("key"), F.lit(0).alias("side"))
+        for i, m in enumerate(masks)])
     nodes = distinct.select("seq", F.struct("hash").alias("item"), keys.alias("keys"))
     under = pairing.greedy_seeds(nodes, lambda a, b: hamming(a["hash"], b["hash"]) <= threshold)
     placed = distinct.join(under, "seq", "left").select("hash", "n", "seq", F.coalesce("seed", "seq").alias("seed_seq"))
@@ -190,7 +210,7 @@ def similar_files(files: DataFrame, min_sim: float = 0.9) -> DataFrame:
         files.select("seq", word_set(F.col("name")).alias("words"), *fields[1:])
         .groupBy(*fields).agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
         .select("seq", F.struct(*fields, "n").alias("item")), "profiles")
-    extra = F.col("item.extension") if min_sim > 0.8 else None
+    extra = [F.col("item.extension")] if min_sim > 0.8 else None
     nodes = with_prefix_keys(profiles, (min_sim - 0.7) / 0.3, extra)
     pairs = pairing.similar_pairs(nodes, lambda a, b: file_similarity(a, b) >= min_sim)
     return pairs.select(
