@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-from zipfile import ZipFile
-
-import pyspark
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -293,12 +289,5 @@ SQL = {
 }
 
 
-def english_stop_words() -> list[str]:
-    """The list that Spark's StopWordsRemover loads, read from the library without a session."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
-
-SQL["tfidf"] = sql(tfidf_sql(english_stop_words()), """
+SQL["tfidf"] = sql(tfidf_sql(V.ENGLISH_STOP_WORDS), """
     SELECT seq, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY seq)), 6) AS weight FROM weighted""")

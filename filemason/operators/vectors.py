@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from math import log
 
 from pyspark.ml.feature import (
-    PCA, CountVectorizerModel, ElementwiseProduct, HashingTF, IDF, Normalizer, StandardScaler, StopWordsRemover,
+    PCA, CountVectorizerModel, ElementwiseProduct, HashingTF, IDF, Normalizer, StandardScaler,
     VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
@@ -79,8 +79,7 @@ def image_vector(image: Column) -> Column:
 
 def term_words(text: Column) -> Column:
     """Lower-case words of a text without English stop words."""
-    stop = StopWordsRemover.loadDefaultStopWords("english")
-    return F.filter(X.word_runs(text), lambda w: ~w.isin(stop))
+    return F.filter(X.word_runs(text), lambda w: ~w.isin(V.ENGLISH_STOP_WORDS))
 
 
 def _pairs(words: Column) -> Column:
