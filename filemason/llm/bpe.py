@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_text, small_batches
+from .common import kept, per_text, small_batches
 
 #: How the byte-level tokenizers split text before merging (public pattern, fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,6 +45,7 @@ class Automaton:
     barred: bytes
     stride: int
     longest: int
+    zero: tuple[int, int]  # the tokens of a zero byte inside and at the end of a word
 
     def word(self, word: bytes) -> list[int]:
         """The tokens of a pre-split word.
@@ -90,11 +91,18 @@ def compile_automaton(path: str) -> Automaton:
     symbol = byte_symbols()
     vocabulary, merges = model["model"]["vocab"], model["model"]["merges"]
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-    labels = {i: bytes(symbol[c] for c in name) for name, i in vocabulary.items()}
+    end = model["model"].get("end_of_word_suffix") or ""
+
+    def label(name: str) -> bytes:
+        """Bytes of a token; a word's end is a zero byte behind its last one."""
+        inside = name[:-len(end)] if end and name.endswith(end) and name != end else name
+        return bytes(symbol[c] for c in inside) + bytes(inside != name)
+
+    labels = {i: label(name) for name, i in vocabulary.items()}
     special = {a["content"]: a["id"] for a in model.get("added_tokens", [])}
     state, kind = np.zeros(max([*labels, *special.values()]) + 1, int), None
     kind = state.copy()
-    reached = {vocabulary[c] for c in symbol if c in vocabulary}
+    reached = {vocabulary[c + e] for c in symbol for e in {"", end} if c + e in vocabulary}
     sharing, like = {0: len(reached)}, {0: len(reached)}
     rows, columns = 1024, 1024
     barred = np.zeros((rows, columns), bool)
@@ -130,11 +138,11 @@ def compile_automaton(path: str) -> Automaton:
         like[int(kind[u])] += 1
         reached.add(w)
     packed = np.packbits(barred[:len(sharing), :len(like)], axis=1)
-    usable = {labels[t]: t for t in reached}
+    usable = {labels[t]: t for t in reached if not end or labels[t].strip(b"\0")}  # with word ends, no word holds a zero byte
     for content, i in special.items():
         labels.setdefault(i, bytes(symbol[c] for c in content) if all(c in symbol for c in content) else content.encode())
     return Automaton(usable, labels, special, state.tolist(), kind.tolist(), packed.tobytes(), packed.shape[1],
-                     max(map(len, usable)))
+                     max(map(len, usable)), tuple(vocabulary.get(next(c for c in symbol if not symbol[c]) + e, -1) for e in ("", end)))
 
 
 class Encoder:
@@ -197,13 +205,13 @@ class Encoder:
         joined, begin = ids.tobytes(), (np.arange(m) * n + n - used) * 4
         return [joined[x:y] for x, y in zip(begin.tolist(), range(4 * n, 4 * n * m + 1, 4 * n))]
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that aren't known yet."""
+    def learn(self, words: set[str], end: bytes = b"") -> None:
+        """Encode the words that aren't known yet; ``end`` is what marks the end of a word."""
         if len(self.words) + len(words) > KEPT_WORDS:
             self.words.clear()
         by_length: dict[int, list[tuple[str, bytes]]] = {}
         for w in words:
-            raw = w.encode("utf-8", "replace")
+            raw = w.encode("utf-8", "replace") + end
             if len(raw) <= self.TOGETHER:
                 by_length.setdefault(len(raw), []).append((w, raw))
             else:
@@ -213,6 +221,14 @@ class Encoder:
                 names, raws = zip(*found[i:i + 20_000])
                 self.words.update(zip(names, self._together(raws)))
 
+    def _split(self, part: str) -> list[str]:
+        """``PATTERN`` on a part with one leading space: plain words, also before a comma or full stop, need no search."""
+        if part[1:].isalpha():
+            return [part]
+        if part[-1] in ",." and part[1:-1].isalpha():
+            return [part[:-1], part[-1]]
+        return self.split(part)
+
     def _pieces(self, text: str) -> list[str]:
         """Parts with a cut before each single space that stands between two other characters: there a word begins in any
         case. Parts after the first are given without that space, those that can't be cut as the whole text."""
@@ -227,7 +243,7 @@ class Encoder:
             parts.clear()
         missing = {w for segments in pieces for p in segments for w in p[1:]} - parts.keys()
         wanted = {" " + w: w for w in missing}
-        split = {w: self.split(w) for w in [*wanted, *wholes]}
+        split = {w: self._split(w) for w in wanted} | {w: self.split(w) for w in wholes}
         unknown = {x for found in split.values() for x in found}
         known, words = {x: self.words[x] for x in unknown & self.words.keys()}, unknown - self.words.keys()
         self.learn(words)
@@ -259,7 +275,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
     shared = shared or shared_automaton(docs.sparkSession, path)
 
     def start() -> Callable:
-        encoder = Encoder(Automaton(**shared.value))
+        encoder = kept(f"bpe {path}", lambda: Encoder(Automaton(**shared.value)))
 
         def run(texts: list[str]) -> list[pa.Array]:
             found = encoder.texts(texts)

@@ -53,6 +53,21 @@ def rank_in_group(rows: DataFrame, group: Sequence[str], order: Sequence[str | C
     return joined.select(*(local[c] for c in rows.columns), (F.col("_local") + F.col("_before")).cast("long").alias(out))
 
 
+def kept(name: str, make: Callable):
+    """What ``make`` returns, made once in a Python worker and kept for the worker's later tasks.
+
+    Functions travel with their code, so their modules' variables start anew in each task; the place for
+    what shall outlast a task (tables of a vocabulary, words already seen) is a module made for it.
+    """
+    import sys
+    import types
+
+    place = sys.modules.setdefault("_filemason_kept", types.ModuleType("_filemason_kept")).__dict__
+    if name not in place:
+        place[name] = make()
+    return place[name]
+
+
 def per_text(docs: DataFrame, id_column: str, text: str, start: Callable[[], Callable], columns: str) -> DataFrame:
     """``(id, columns…)`` for every row, by a function over lists of whole texts (null: empty).
 

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, token_counts
+from . import bpe, chat, packing, token_counts
 from .common import rank_in_group, small_batches, table
 
 
@@ -83,12 +83,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.js
 def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """Tokens of each document under a unigram model with the given pieces and scores."""
     path = public_tokenizers.path(vocabulary)
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), lambda: token_counts.sentencepiece_vocabulary(path))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), lambda: token_counts.sentencepiece_vocabulary(path), name=path)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str, capacity: int = 2048, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
+    """Every document's pieces with their places in as few sequences as best fit finds."""
+    pieces = packing.tokenize_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), capacity)
+    narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(narrow, capacity)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
+    "op7_packing": op7_packing,
 }
 SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
-from .common import per_text
+from .common import kept, per_text
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -101,14 +101,16 @@ class UnigramCounter:
 
 
 def count_tokens(docs: DataFrame, vocabulary: Callable[[], tuple[list[tuple[str, float]], int]], id_column: str = "doc_id",
-                 text: str = "text", byte_fallback: bool = True) -> DataFrame:
+                 text: str = "text", byte_fallback: bool = True, name: str = "") -> DataFrame:
     """``(id, n_tokens)`` for every row; null and empty texts have 0 tokens, equal rows equal counts.
 
     ``vocabulary`` is called in the tasks and gives pieces with scores and the unknown piece's number.
-    One pass without a shuffle; other columns are not read.
+    One pass without a shuffle; other columns are not read. Under a ``name`` for the vocabulary, a worker keeps
+    its automaton from task to task.
     """
     def start() -> Callable:
-        counter = UnigramCounter(*vocabulary(), byte_fallback)
+        fresh = lambda: UnigramCounter(*vocabulary(), byte_fallback)
+        counter = kept(f"unigram {name} {byte_fallback}", fresh) if name else fresh()
         return lambda texts: [[counter.text(t) for t in texts]]
 
     return per_text(docs, id_column, text, start, "n_tokens long")
