@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, token_counts
+from . import bpe, chat, fingerprints, packing, token_counts
 from .common import rank_in_group, small_batches, table
 
 
@@ -93,10 +93,20 @@ def op7_packing(spark: SparkSession, sf_dir: str, capacity: int = 2048, vocabula
     return packing.pack(narrow, capacity)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against itself with the last half replaced by the beginning of the next document."""
+    def edit(text: str, following: str) -> str:
+        half = len(text) // 2
+        return text[:len(text) - half] + following[:half]
+
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"), edit)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
     "op7_packing": op7_packing,
+    "op9_fingerprints": op9_fingerprints,
 }
 SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
