@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, packing, token_counts
+from . import bpe, chat, fingerprints, neighbour_search, packing, token_counts
 from .common import rank_in_group, small_batches, table
 
 
@@ -86,6 +86,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "piece_
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), lambda: token_counts.sentencepiece_vocabulary(path), name=path)
 
 
+def op6_neighbour_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return neighbour_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str, capacity: int = 2048, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     """Every document's pieces with their places in as few sequences as best fit finds."""
     pieces = packing.tokenize_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), capacity)
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
+    "op6_neighbour_search": op6_neighbour_search,
     "op7_packing": op7_packing,
     "op9_fingerprints": op9_fingerprints,
 }
