@@ -18,7 +18,7 @@ from .common import kept, per_text, small_batches
 #: How the byte-level tokenizers split text before merging (public pattern, fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words whose ids a task keeps; then it starts afresh, so its memory is bounded.
-KEPT_WORDS, KEPT_PARTS = 400_000, 700_000
+KEPT_WORDS, KEPT_PARTS = 350_000, 500_000
 
 
 def byte_symbols() -> dict[str, int]:

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, neighbour_search, packing, token_counts
+from . import bpe, chat, fingerprints, neighbour_search, packing, quality, token_counts
 from .common import rank_in_group, small_batches, table
 
 
@@ -69,6 +69,14 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM marked GROUP BY conv_id"""
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), quality.learnt_from)
+    return scored.select("doc_id", (~quality.learnt_from(F.col("doc_id"))).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """Ids of each document and the text that they decode to, as digests."""
     path = public_tokenizers.path(vocabulary)
@@ -109,6 +117,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
     "op6_neighbour_search": op6_neighbour_search,
