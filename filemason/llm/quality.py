@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from .common import small_batches
 
 #: Hashed features, latent dimensions, voters, and bytes that are hashed at a time.
 FEATURES, LATENT, VOTERS, CHUNK = 4096, 64, 15, 1 << 21
+#: Symbols that running text rarely holds, and how strongly the two shares of ``shapes`` count.
+SYMBOLS, SHAPE_SCALE = b"|#$%&*+<=>@[]^_`{}~\\/", 4.0
 #: Bounds of what the classifier is fitted on: labelled rows of each label, and rows for the latent space.
 LABELLED_ROWS, LATENT_ROWS = 4096, 2048
 
@@ -48,17 +51,28 @@ def term_counts(texts: Sequence[bytes]) -> np.ndarray:
     return out
 
 
+def shapes(texts: Sequence[str]) -> np.ndarray:
+    """What the latent dimensions can't see: shares of words that repeat the word before, and of symbols, each up to 1."""
+    found = np.zeros((len(texts), 2), np.float32)
+    for i, t in enumerate(texts):
+        words, raw = t.split(), t.encode("utf-8", "replace")
+        if words:
+            found[i] = sum(map(eq, words, words[1:])) / len(words), (len(raw) - len(raw.translate(None, SYMBOLS))) / len(raw)
+    return np.minimum(1, SHAPE_SCALE * found)
+
+
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit rows of log counts by rarity; a row of zeros stays so."""
     weights = np.log1p(counts) * idf
     return weights / np.maximum(np.linalg.norm(weights, axis=1, keepdims=True), 1e-12)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            yield part, term_counts([(t or "").encode("utf-8", "replace") for t in part.column(text).to_pylist()])
+            texts = [t or "" for t in part.column(text).to_pylist()]
+            yield part, texts, term_counts([t.encode("utf-8", "replace") for t in texts])
 
 
 def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -67,7 +81,7 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(FEATURES, np.int64), 0
-        for part, counts in _blocks(batches, 0):
+        for part, _, counts in _blocks(batches, 0):
             total += (counts > 0).sum(axis=0)
             n += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(range(FEATURES + 1)), pa.array([*total.tolist(), n])], names=["f", "n"])
@@ -117,7 +131,7 @@ def score_quality(docs: DataFrame, labelled: DataFrame, learns: Callable[[Column
     idf = inverse_frequencies(docs, text)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, counts in _blocks(batches, 0):
+        for _, _, counts in _blocks(batches, 0):
             rows = weigh(counts, idf).astype("<f2")
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], names=["v"])
 
@@ -127,13 +141,14 @@ def score_quality(docs: DataFrame, labelled: DataFrame, learns: Callable[[Column
     axes = sample.T @ vectors[:, ::-1][:, :LATENT].astype(np.float32) if len(sample) else np.zeros((FEATURES, 1), np.float32)
     axes /= np.maximum(np.linalg.norm(axes, axis=0), 1e-6)
 
-    def latent(counts: np.ndarray) -> np.ndarray:
+    def latent(texts: list[str], counts: np.ndarray) -> np.ndarray:
         found = weigh(counts, idf) @ axes
+        found = np.hstack([found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12), shapes(texts)])
         return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, counts in _blocks(batches, 1):
-            rows = latent(counts).astype("<f4")
+        for part, texts, counts in _blocks(batches, 1):
+            rows = latent(texts, counts).astype("<f4")
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["label", "v"])
 
     known = texts.select("label", "text").mapInArrow(project, "label double, v binary").collect()
@@ -144,8 +159,8 @@ def score_quality(docs: DataFrame, labelled: DataFrame, learns: Callable[[Column
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labelled_vectors, labels = shared.value
-        for part, counts in _blocks(batches, at):
-            found = votes(latent(counts), labelled_vectors, labels, prior)
+        for part, texts, counts in _blocks(batches, at):
+            found = votes(latent(texts, counts), labelled_vectors, labels, prior)
             found[~counts.any(axis=1)] = prior
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=schema.names)
 
