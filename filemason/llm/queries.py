@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, neighbour_search, packing, quality, token_counts
+from . import bpe, chat, fingerprints, line_templates, neighbour_search, packing, quality, token_counts
 from .common import rank_in_group, small_batches, table
 
 
@@ -106,6 +106,19 @@ def op7_packing(spark: SparkSession, sf_dir: str, capacity: int = 2048, vocabula
     return packing.pack(narrow, capacity)
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines, those dropped, and a digest of what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_templates.drop_recurring_lines(docs, count_columns=True)
+    kept = F.coalesce("text", F.lit(""))
+    return left.select("doc_id", "n_lines", "n_dropped", F.length(kept).cast("long").alias("kept_chars"),
+                       F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = "WITH " + line_templates.oracle_sql() + """
+SELECT doc_id, n_lines, n_dropped, length(coalesce(text, ''))::BIGINT AS kept_chars, sha256(coalesce(text, '')) AS kept_sha256 FROM line_result"""
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against itself with the last half replaced by the beginning of the next document."""
     def edit(text: str, following: str) -> str:
@@ -122,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op6_neighbour_search": op6_neighbour_search,
     "op7_packing": op7_packing,
+    "op8_line_templates": op8_line_templates,
     "op9_fingerprints": op9_fingerprints,
 }
-SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
+SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op8_line_templates": OP8_SQL}
