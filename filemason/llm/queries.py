@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, line_templates, neighbour_search, packing, quality, token_counts
+from . import bpe, chat, fingerprints, line_templates, neighbour_search, packing, quality, substrings, token_counts
 from .common import rank_in_group, small_batches, table
 
 
@@ -128,6 +128,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"), edit)
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without 50-byte strings of earlier ones."""
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality": op2_quality,
@@ -137,5 +143,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_line_templates": op8_line_templates,
     "op9_fingerprints": op9_fingerprints,
+    "op10_substrings": op10_substrings,
 }
 SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op8_line_templates": OP8_SQL}
