@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, line_templates, neighbour_search, packing, quality, substrings, token_counts
+from . import bpe, chat, fingerprints, line_templates, near_copies, neighbour_search, packing, quality, substrings, token_counts
 from .common import rank_in_group, small_batches, table
 
 
@@ -94,6 +94,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "piece_
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), lambda: token_counts.sentencepiece_vocabulary(path), name=path)
 
 
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of near copies."""
+    return near_copies.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_neighbour_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every twentieth vector."""
     return neighbour_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -139,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
+    "op5_near_copies": op5_near_copies,
     "op6_neighbour_search": op6_neighbour_search,
     "op7_packing": op7_packing,
     "op8_line_templates": op8_line_templates,
