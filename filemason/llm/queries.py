@@ -151,4 +151,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_substrings": op10_substrings,
 }
+#: The pipeline is registered beside these by the module at the repository's top.
 SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op8_line_templates": OP8_SQL}

@@ -317,12 +317,12 @@ def _repeated_ranges(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     return sent_rows.mapInArrow(judge, answer)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
     """``docs`` without each byte that is covered by a string of ``length`` bytes that also starts in a document of smaller id.
 
     Texts are UTF-8 bytes, null: empty. Strings don't cross documents; they are judged on the input, not on what is left.
-    Adds ``n_bytes, n_removed, n_spans`` (maximal removed runs) and ``kept`` (binary: the remaining bytes), in place of columns of these
-    names; the text column stays as it was. Documents under ``length`` bytes stay whole. Rows of one id, equal or not, take nothing
+    Adds ``n_bytes, n_removed, n_spans`` (maximal removed runs) and ``kept`` (binary: the remaining bytes; with ``as_text`` a string of the
+    characters all of whose bytes remain), in place of columns of these names; the text column stays as it was. Documents under ``length`` bytes stay whole. Rows of one id, equal or not, take nothing
     from each other; a null id is smaller than all others. No rows give no rows.
 
     A text that an earlier document has as a whole is removed as a whole. For the others: minimizers that several documents
@@ -351,12 +351,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
         whole.select("doc", "copy", F.lit(None).cast("array<struct<starts:binary,ends:binary>>").alias("_cut")))
     cut = cut.select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), "_cut", F.lit(True).alias("_any"))
 
-    added = T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary").fields
+    added = T._parse_datatype_string(f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}").fields
     plain = docs.drop(*(f.name for f in added))
     keyed = plain.withColumns({"_doc": doc, "_copy": F.xxhash64(body, F.length(body))})
     joined = keyed.join(cut, same(keyed, cut, ["_doc", "_copy"]), "left").select(*(keyed[c] for c in plain.columns), "_cut", "_any")
     schema = T.StructType([*plain.schema.fields, *added])
-    at = plain.columns.index(text)
+    at, kind = plain.columns.index(text), pa.string() if as_text else pa.binary()
 
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,10 +374,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
                     np.add.at(depth, starts, 1)
                     np.add.at(depth, ends, -1)
                     gone = np.cumsum(depth)[:-1] > 0
-                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    out.append((len(raw), int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
+                    spans, removed, own = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), int(gone.sum()), np.frombuffer(raw, np.uint8)
+                    if as_text:
+                        characters = np.flatnonzero(own & 0xC0 != 0x80)
+                        gone = np.repeat(np.logical_or.reduceat(gone, characters), np.diff(np.append(characters, len(own))))
+                    out.append((len(raw), removed, spans, own[~gone].tobytes()))
             sizes, removed, spans, kept = zip(*out) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], *(pa.array(c, pa.int64()) for c in (sizes, removed, spans)), pa.array(kept, pa.binary())], names=schema.names)
+                [*batch.columns[:-2], *(pa.array(c, pa.int64()) for c in (sizes, removed, spans)), pa.array(kept, pa.binary()).cast(kind)], names=schema.names)
 
     return joined.mapInArrow(take_out, schema)
