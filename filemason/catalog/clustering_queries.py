@@ -80,8 +80,8 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.kmeans(_embeddings(spark, sf_dir))
 
 
-def ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.ward(_embeddings(spark, sf_dir))
+def bisecting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.bisecting(_embeddings(spark, sf_dir), 8)
 
 
 def pca_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ def largest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     common_words, metadata_vector, name_vector, standardised, tfidf, cosine_neighbours, dbscan, dbscan_dense,
-    cluster_totals, kmeans, ward, pca_points, cluster_counts, cluster_profile, cluster_plan, fallback_plan,
+    cluster_totals, kmeans, bisecting, pca_points, cluster_counts, cluster_profile, cluster_plan, fallback_plan,
     cluster_samples, largest_cluster)}
 
 NAME_WORDS_SQL = "list_filter(regexp_split_to_array(lower(name), '[_\\-\\s\\.]+'), lambda w: length(w) > 2)"

@@ -192,7 +192,7 @@ SQL = {
                string_agg(path, ',' ORDER BY seq) AS similar_group
         FROM near_groups GROUP BY seed_seq""", recursive=True),
     "similar_hash_groups": sql(*HASH_GROUPS_SQL, """
-        SELECT seed_seq, group_size, s.seq, bit_count(xor(a.hash, b.hash)) AS distance
+        SELECT seed_seq, group_size, s.seq, bit_count(xor(a.hash, b.hash))::INTEGER AS distance
         FROM sized s JOIN hashes a ON a.seq = s.seq JOIN hashes b ON b.seq = s.seed_seq
         WHERE group_size > 1""", recursive=True),
     "similar_hash_savings": sql(*HASH_GROUPS_SQL, """

@@ -1,4 +1,4 @@
-"""DBSCAN, k-means and Ward clustering. Input is ``(seq, vector array)``, output ``(seq, label)``."""
+"""DBSCAN, k-means and bisecting (top-down hierarchical) clustering. Input is ``(seq, vector array)``, output ``(seq, label)``."""
 
 from __future__ import annotations
 
@@ -14,8 +14,6 @@ from ..session import materialize
 from .neighbours import blocks, distinct_vectors, near_mask, per_block, unit_vectors, visits
 from .ranking import rank_in_group
 
-MICRO_CLUSTERS = 512
-
 
 def components(links: DataFrame) -> DataFrame:
     """``(seq, root)`` for the nodes of links ``(a, b)``, the root being the smallest node of the component.
@@ -145,54 +143,10 @@ def kmeans(vectors: DataFrame, k: int | None = None, seed: int = 42, n_init: int
     return best.transform(_ml(vectors)).select("seq", F.col("prediction").alias("label"))
 
 
-def bisecting(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
+def bisecting(vectors: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
     """Divisive k-means, the scalable alternative to Ward; it gives other clusters than Ward does."""
     data = _ml(vectors)
-    return BisectingKMeans(k=k, seed=seed).fit(data).transform(data).select("seq", F.col("prediction").alias("label"))
-
-
-def ward_merges(centres: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Labels of weighted points after merging the pair that adds least variance until ``k`` groups are left."""
-    n = len(centres)
-    centres, weights = centres.astype(float).copy(), weights.astype(float).copy()
-    gaps = ((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-    cost = gaps * (weights[:, None] * weights[None, :] / (weights[:, None] + weights[None, :]))
-    np.fill_diagonal(cost, np.inf)
-    owner = np.arange(n)
-    for _ in range(n - k):
-        i, j = sorted(divmod(int(cost.argmin()), n))
-        wi, wj = weights[i], weights[j]
-        merged = ((wi + weights) * cost[i] + (wj + weights) * cost[j] - weights * cost[i, j]) / (wi + wj + weights)
-        dead = ~np.isfinite(cost[i]) | ~np.isfinite(cost[j])
-        merged[dead] = np.inf
-        weights[i] = wi + wj
-        cost[i], cost[:, i] = merged, merged
-        cost[i, i] = np.inf
-        cost[j], cost[:, j] = np.inf, np.inf
-        owner[owner == j] = i
-    return np.unique(owner, return_inverse=True)[1]
-
-
-def ward(vectors: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
-    """Ward clustering of at most 512 weighted micro-clusters (k-means centres; the rows themselves while
-    there are no more than that), so the merging on the driver has a fixed size."""
-    vectors = materialize(vectors.select("seq", F.col("vector").cast("array<double>").alias("vector")), "vectors")
-    n = vectors.count()
-    k = min(n, k or min(8, max(2, n // 4)))
-    spark = vectors.sparkSession
-    if n <= MICRO_CLUSTERS:
-        rows = vectors.orderBy("seq").collect()
-        labels = ward_merges(np.array([r["vector"] for r in rows]), np.ones(n), k)
-        table = spark.createDataFrame([(r["seq"], int(v)) for r, v in zip(rows, labels)], "seq bigint, label int")
-        return table
-    data = _ml(vectors)
-    model = KMeans(k=MICRO_CLUSTERS, seed=seed).fit(data)
-    placed = materialize(model.transform(data).select("seq", F.col("prediction").alias("micro")), "micro")
-    sizes = {r["micro"]: r["count"] for r in placed.groupBy("micro").count().collect()}
-    used = sorted(sizes)
-    labels = ward_merges(np.array(model.clusterCenters())[used], np.array([sizes[m] for m in used]), k)
-    table = spark.createDataFrame([(int(m), int(v)) for m, v in zip(used, labels)], "micro int, label int")
-    return placed.join(table, "micro").select("seq", "label")
+    return BisectingKMeans(k=k or 8, seed=seed).fit(data).transform(data).select("seq", F.col("prediction").alias("label"))
 
 
 def cluster(vectors: DataFrame, algorithm: str = "dbscan", eps: float = 0.5, min_samples: int = 2,
@@ -203,5 +157,5 @@ def cluster(vectors: DataFrame, algorithm: str = "dbscan", eps: float = 0.5, min
     if algorithm == "kmeans":
         return kmeans(vectors, n_clusters)
     if algorithm == "hierarchical":
-        return ward(vectors, n_clusters)
+        return bisecting(vectors, n_clusters)
     raise ValueError(f"unknown clustering algorithm: {algorithm}")

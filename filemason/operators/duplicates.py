@@ -16,9 +16,11 @@ NARROW = ["seq", "path", "name", "size", "modified_at", "content_hash"]
 
 def fingerprints(files: DataFrame, content: str | Column = "text", algorithm: str = "sha256") -> DataFrame:
     """The narrow columns that duplicate detection needs. Unreadable content is left out, except that
-    all empty files count as equal without being read."""
+    all empty files count as equal without being read. Where files carry a ``content_hash`` of their bytes, that
+    decides, and no text is looked at."""
     body = F.col(content) if isinstance(content, str) else content
-    key = F.when(F.col("size") == 0, F.lit("")).otherwise(digest(body, algorithm))
+    known = F.col("content_hash") if "content_hash" in files.columns else digest(body, algorithm)
+    key = F.when(F.col("size") == 0, F.lit("")).otherwise(known)
     return files.withColumn("content_hash", key).select(*NARROW).where(F.col("content_hash").isNotNull())
 
 
@@ -46,11 +48,12 @@ def duplicate_groups(prints: DataFrame) -> DataFrame:
 def exact_duplicates(files: DataFrame, content: str | Column = "text") -> DataFrame:
     """Members of duplicate groups as a long table ``(group_id, n, keep, …)``.
 
-    The narrow fingerprints are written once, so the content is hashed once. The group side of the join
-    has one row per key; a hot group only makes the member side skewed, which AQE splits.
+    The narrow fingerprints are written once, so the content is hashed once. The groups are written before they are
+    joined, so that both sides of the join are shuffled for it alone: a hot group then only makes the member side
+    skewed, which AQE splits.
     """
     prints = materialize(fingerprints(files, content), "fingerprints")
-    return prints.join(duplicate_groups(prints), KEY)
+    return prints.join(materialize(duplicate_groups(prints), "groups"), KEY)
 
 
 def duplicate_stats(files: DataFrame, content: str | Column = "text") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as V
 from ..functions import text as X
+from ..session import materialize
 from ..plans.actions import action_rows, compose
 from ..schemas import ANSWER, FOLDER_ANSWER
 from .near_duplicates import first_per_group
@@ -152,16 +153,18 @@ def metadata_summaries(files: DataFrame) -> DataFrame:
 
 
 def summarize(files: DataFrame, make_model: Callable[[], Model] = offline_model, content: str = "text",
-              max_file_size_kb: int = 50, batch_size: int = 5, criteria: str | None = None,
+              max_file_size_kb: int | None = None, batch_size: int = 5, criteria: str | None = None,
               max_chars: int | None = None) -> DataFrame:
     """Summaries by the model for text files with content, by metadata for all others and for failures.
 
-    Carries ``prompt_tokens`` and ``completion_tokens`` (0 where no model was asked).
+    Carries ``prompt_tokens`` and ``completion_tokens`` (0 where no model was asked). The answers are written once, so
+    that the model is called once per file, however often the summaries are used. Whole texts are read, of any size, unless
+    ``max_file_size_kb`` or ``max_chars`` bounds them.
     """
     files = files.withColumn("content", gated_text(content, max_file_size_kb))
     keep = ["seq", "name", "path", "file_type"]
     asked = files.where(F.col("content") != "").select(*keep, analysis_prompt(F.col("content"), criteria, max_chars).alias("prompt"))
-    answered = infer(asked, make_model, batch_size).drop("prompt").withColumn("parsed", parsed_answer(F.col("answer")))
+    answered = materialize(infer(asked, make_model, batch_size).drop("prompt"), "answers").withColumn("parsed", parsed_answer(F.col("answer")))
     failed = F.col("answer").isNull() | (F.col("parsed.form") == "not an object")
     chosen = [F.when(failed, metadata_summary()[f]).otherwise(F.col(f"parsed.{f}")).alias(f) for f in SUMMARY_FIELDS]
     named = [F.col("name").alias("file_name"), F.col("path").alias("file_path"), "file_type"]

@@ -47,7 +47,9 @@ def images_only(files: DataFrame) -> DataFrame:
     return files.where(F.col("file_type") == "image")
 
 
-def gated_text(content: str = "text", max_file_size_kb: int = 50) -> Column:
-    """The text of document and code files up to a size, else an empty string."""
-    allowed = (F.col("size") <= max_file_size_kb * 1024) & F.col("file_type").isin(V.TEXT_TYPES)
+def gated_text(content: str = "text", max_file_size_kb: int | None = None) -> Column:
+    """The text of document and code files, with a bound only of those up to that size; else an empty string."""
+    allowed = F.col("file_type").isin(V.TEXT_TYPES) & F.col(content).isNotNull()
+    if max_file_size_kb is not None:
+        allowed &= F.col("size") <= max_file_size_kb * 1024
     return F.when(allowed, F.col(content)).otherwise(F.lit(""))

@@ -17,16 +17,17 @@ from .. import fixed_values as V
 READ_ROWS = 128
 
 
-def _read(path: str, max_chars: int | None) -> str:
+def _read(path: str, max_chars: int | None) -> str | None:
     try:
         with open(path, encoding="utf-8", errors="ignore") as f:
             return f.read() if max_chars is None else f.read(max_chars)
     except OSError:
-        return ""
+        return None
 
 
 def read_texts(files: DataFrame, max_chars: int | None = None, max_file_size_kb: int | None = None) -> DataFrame:
-    """Add ``text``: the content of document and code files, undecodable bytes dropped and line ends unified.
+    """Add ``text``: the content of document and code files, undecodable bytes dropped and line ends unified;
+    NULL for other files and for those that can't be read.
 
     Whole texts by default; ``max_chars`` bounds what is read of a file, and files above
     ``max_file_size_kb`` are not opened at all.
@@ -41,7 +42,7 @@ def read_texts(files: DataFrame, max_chars: int | None = None, max_file_size_kb:
         for frame in frames:
             for at in range(0, len(frame), READ_ROWS):
                 part = frame.iloc[at:at + READ_ROWS]
-                texts = [_read(p, max_chars) if w else "" for p, w in zip(part["path"], part["_wanted"])]
+                texts = [_read(p, max_chars) if w else None for p, w in zip(part["path"], part["_wanted"])]
                 yield part.drop(columns="_wanted").assign(text=texts)
 
     return rows.mapInPandas(read, schema)
@@ -68,6 +69,14 @@ def hash_files(files: DataFrame, algorithm: str = "sha256", chunk_size: int = 1
     return files.mapInPandas(run, schema)
 
 
+def with_content_hash(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """Add ``content_hash``, by the bytes, of files that share their size with another; the others are never opened (NULL)."""
+    from ..operators.duplicates import same_size_only
+
+    hashed = hash_files(same_size_only(files).select("seq", "path"), algorithm).select("seq", "content_hash")
+    return files.join(hashed, "seq", "left")
+
+
 def read_images(spark: SparkSession, *paths: str) -> DataFrame:
     """``(path, image)`` decoded by Spark's image source."""
     loaded = spark.read.format("image").option("recursiveFileLookup", "true").load(list(paths))

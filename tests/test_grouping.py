@@ -216,11 +216,11 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 8)}, 8: 8, 9: 8, 10: 8, 20: 20, 21: 20}
 
 
-def test_ward_and_kmeans_find_clear_groups(spark):
+def test_kmeans_and_bisecting_find_clear_groups(spark):
     rng = np.random.default_rng(2)
     rows = [(i, (np.eye(3)[i % 3] * 10 + rng.normal(size=3) * 0.1).tolist()) for i in range(45)]
     df = spark.createDataFrame(rows, "seq bigint, vector array<double>")
-    for labels in (clustering.ward(df, 3), clustering.cluster(df, "kmeans", n_clusters=3), clustering.bisecting(df, 3)):
+    for labels in (clustering.cluster(df, "hierarchical", n_clusters=3), clustering.cluster(df, "kmeans", n_clusters=3)):
         found = {}
         for r in labels.collect():
             found.setdefault(r["label"], set()).add(r["seq"] % 3)
@@ -229,23 +229,6 @@ def test_ward_and_kmeans_find_clear_groups(spark):
         clustering.cluster(df, "other")
 
 
-def test_ward_merges_like_the_definition():
-    rng = np.random.default_rng(4)
-    points = rng.normal(size=(14, 2))
-    groups = [[i] for i in range(14)]
-
-    def spread(g):
-        p = points[g]
-        return ((p - p.mean(axis=0)) ** 2).sum()
-
-    while len(groups) > 4:
-        i, j = min(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))),
-                   key=lambda ij: spread(groups[ij[0]] + groups[ij[1]]) - spread(groups[ij[0]]) - spread(groups[ij[1]]))
-        groups[i] += groups.pop(j)
-    labels = clustering.ward_merges(points, np.ones(14), 4)
-    assert sorted(sorted(g) for g in groups) == sorted(sorted(np.nonzero(labels == k)[0].tolist()) for k in range(4))
-
-
 def test_dbscan_with_dense_spots(spark, monkeypatch):
     """A third of all points in one tight spot: they are never compared with each other."""
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)

@@ -74,9 +74,9 @@ def test_scan_errors(spark, tree):
 def test_texts_and_digests(spark, tree):
     files = inventory.scan_inventory(spark, str(tree))
     texts = {r["name"]: r["text"] for r in content.read_texts(files).collect()}
-    assert texts["a.txt"] == "one\ntwo  three" and texts["big.bin"] == "" and texts["c.py"] == "print(1)\n"
+    assert texts["a.txt"] == "one\ntwo  three" and texts["big.bin"] is None and texts["c.py"] == "print(1)\n"
     assert {r["text"] for r in content.read_texts(files, max_chars=3).where("name = 'a.txt'").collect()} == {"one"}
-    assert all(r["text"] == "" for r in content.read_texts(files, max_file_size_kb=0).collect())
+    assert all(r["text"] in ("", None) for r in content.read_texts(files, max_file_size_kb=0).collect())
     digests = {r["name"]: r["content_hash"] for r in content.hash_files(files, chunk_size=4).collect()}
     assert digests["a.txt"] == digests["b.txt"] == hashlib.sha256((tree / "a.txt").read_bytes()).hexdigest()
     (tree / "a.txt").unlink()
@@ -154,3 +154,18 @@ def test_organized_sink(spark, tmp_path):
     organized.write_organized(rows, str(tmp_path / "out"), files_per_folder=4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {(r["target_dir"], r["text"]) for r in back.collect()} == {("Documents/Work", "x"), ("Documents/Work", "y"), ("Other", "z")}
+
+
+def test_unrelated_binaries_are_no_duplicates(spark, tmp_path):
+    """Files of one size whose content is no text, or can't be read, are only duplicates if their bytes are equal."""
+    from filemason.plans.organize import organize
+    from filemason.sources.inventory import scan_inventory
+
+    for name, byte in (("a.jpg", b"a"), ("b.jpg", b"b"), ("c.zip", b"c"), ("d.zip", b"c")):
+        (tmp_path / name).write_bytes(byte * 100)
+    files = content.with_content_hash(content.read_texts(scan_inventory(spark, str(tmp_path))))
+    plan = organize(files, "rules", as_of=F.current_timestamp())
+    gone = [r["source"].rsplit("/", 1)[1] for r in plan.where("action_type = 'delete'").collect()]
+    assert len(gone) == 1 and gone[0] in ("c.zip", "d.zip")
+    without = organize(content.read_texts(scan_inventory(spark, str(tmp_path))), "rules", as_of=F.current_timestamp())
+    assert without.where("action_type = 'delete'").count() == 0
