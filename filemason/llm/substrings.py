@@ -306,9 +306,11 @@ def _repeated_ranges(rows: DataFrame, length: int, buckets: int) -> DataFrame:
             ids, copies, start, n, ends = ids[order], copies[order], start[order], n[order], ends[order]
             for run, place in _repeats(least[order], ids, n, contents, ends, length):
                 # strings that start one after the other are one range
-                order2 = np.lexsort((place, run))
-                run, place = run[order2], place[order2]
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(run) != 0) | (np.diff(place) != 1)])) if len(run) else run
+                if not len(run):
+                    continue
+                by_place = np.lexsort((place, run))
+                run, place = run[by_place], place[by_place]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(run) != 0) | (np.diff(place) != 1)]))
                 last = np.append(new[1:], len(run)) - 1
                 yield _batch(spans(ids[run[new]], copies[run[new]], start[run[new]] + place[new],
                                    start[run[new]] + place[last] + length), answer)
@@ -339,7 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
     buckets = 4 * partitions(spark)
 
     names = materialize(rows.select("doc", "copy", F.md5(F.col("text").cast("binary")).alias("name")), "names")
-    earliest = names.groupBy("name").agg(F.min("doc").alias("least"))
+    earliest = materialize(names.groupBy("name").agg(F.min("doc").alias("least")), "earliest")  # joined as a table, a hot name can be split
     whole = names.join(earliest, "name").where("doc > least").select("doc", "copy").distinct()
     whole = materialize(whole, "whole")
 

@@ -27,7 +27,7 @@ def test_recurring_templates_go(spark):
     rows = [(i, "\n".join([prose(9), prose(12), notice[i], prose(7)])) for i in range(40)]
     copies = [(100 + i, rows[0][1]) for i in range(20)]  # copies of a document make none of its lines recurring
     owner = "{} holds all rights in this text and its parts"
-    named = [(200 + i, "\n".join([prose(8), "Nobody else " + owner.format(VOCABULARY[i]), prose(8)])) for i in range(12)]
+    named = [(200 + i, "\n".join([prose(8), "Nobody else but " + owner.format(VOCABULARY[i]), prose(8)])) for i in range(12)]
     left = {r["doc_id"]: r for r in line_templates.drop_recurring_lines(docs(spark, rows + copies + named), count_columns=True).collect()}
     for i, text in rows + copies:
         assert left[i]["text"] == "\n".join(x for x in text.split("\n") if not x.startswith("Printed")) and left[i]["n_dropped"] == 1
