@@ -22,6 +22,8 @@ WORDS, BANDS, ROWS, SIMILARITY = 5, 12, 3, 0.8
 FREQUENCIES, KEPT_WORDS = 1 << 16, 800_000
 #: Equal samples below which two signatures can't belong to near copies (five deviations below the expected number).
 LEAST_EQUAL = 16
+#: Comparisons to which the texts that have their turn in a bucket of a band come, at most or in expectation.
+TURN_PAIRS = 1 << 14
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -217,10 +219,11 @@ def _links(pairs: DataFrame, texts: DataFrame, rarity, least: float) -> DataFram
 def _classes(sketch: DataFrame, texts: DataFrame, rarity, least: float) -> DataFrame:
     """(node, root) of the classes of near copies among distinct texts that share a band with another.
 
-    In each bucket of a band, one text outside the bucket's largest class so far is compared with all of its texts that belong to
+    In each bucket of a band, some texts outside the bucket's largest class so far are compared with all of its texts that belong to
     other classes, round after round, until every text outside its buckets' largest classes has had its turn. So each two
-    texts of a bucket are compared unless they are in one class already, but each round handles a bucket of n texts in n
-    comparisons, and large groups come together in a few rounds.
+    texts of a bucket are compared unless they are in one class already. In the first two rounds it is one text of
+    each bucket, by which large groups come together; then as many as make some ``TURN_PAIRS`` comparisons (all of a small
+    bucket, at least one), so a round handles a bucket of n texts in n comparisons, or a fixed number of them.
     """
     buckets = sketch.select("node", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
@@ -228,17 +231,20 @@ def _classes(sketch: DataFrame, texts: DataFrame, rarity, least: float) -> DataF
     nodes = members.select("node").distinct()
     texts = materialize(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
     samples = materialize(sketch.select("node", "samples").join(nodes, "node", "left_semi"), "samples")
-    roots, done = None, None
+    roots, done, rounds = None, None, 0
     while True:
         label = F.col("node") if roots is None else F.coalesce("root", "node")
         placed = (members if roots is None else members.join(roots, "node", "left")).select("band", "node", label.alias("root"))
         sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("classes")).where("classes > 1")
-        placed = materialize(placed.join(largest.select("band", "most"), "band"), "placed")
-        waiting = placed.where("root <> most").select("band", "node", "root")
+        largest = sizes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("classes"), F.sum("n").alias("size")).where("classes > 1")
+        placed = materialize(placed.join(largest.select("band", "most", "size"), "band"), "placed")
+        waiting = placed.where("root <> most").select("band", "node", "size", F.xxhash64("node", "band").alias("h"))
         waiting = waiting if done is None else waiting.join(done, "node", "left_anti")
-        turn = waiting.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("first"))
-        chosen = materialize(turn.select(F.col("first.node").alias("node")).distinct(), "turn")
+        counts = waiting.groupBy("band").agg(F.min("h").alias("first"), F.count("*").alias("left"))
+        share = F.lit(0.0) if rounds < 2 else TURN_PAIRS / (F.col("size") * F.col("left"))
+        rounds += 1
+        now = (F.col("h") == F.col("first")) | (F.pmod(F.xxhash64("h", F.lit(rounds)), F.lit(1 << 20)) < share * (1 << 20))
+        chosen = materialize(waiting.join(counts, "band").where(now).select("node").distinct(), "turn")
         if not chosen.take(1):
             return roots if roots is not None else nodes.limit(0).select("node", F.col("node").alias("root"))
         done = chosen if done is None else materialize(done.unionByName(chosen), "done")
