@@ -74,10 +74,11 @@ class Block:
         share = (radius // len(self.tables))[:, None]
         for sub, (values, rows) in zip(codes.view(np.uint16).T, self.tables):
             near |= (np.bitwise_count(sub[:, None] ^ values[None, :]) <= share)[:, rows]
-        q, r = np.nonzero(near)
-        apart = np.bitwise_count(codes.view(np.uint64)[q] ^ self.whole[r]).sum(axis=1)
-        kept = apart <= radius[q]
-        return q[kept], r[kept]
+        apart = np.zeros(near.shape, np.uint16)
+        for ours, theirs in zip(codes.view(np.uint64).T, self.whole.T):
+            apart += np.bitwise_count(ours[:, None] ^ theirs[None, :])
+        near &= apart <= radius[:, None]
+        return np.nonzero(near)
 
     def nearest(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(rows, scores) of the k best of each query. The radius grows until a row at the k-th best angle found would
