@@ -152,7 +152,7 @@ def score_quality(docs: DataFrame, labelled: DataFrame, learns: Callable[[Column
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["label", "v"])
 
     known = texts.select("label", "text").mapInArrow(project, "label double, v binary").collect()
-    vectors = np.frombuffer(b"".join(r["v"] for r in known), "<f4").reshape(len(known), -1)
+    vectors = np.frombuffer(b"".join(r["v"] for r in known), "<f4").reshape(len(known), axes.shape[1] + 2)
     shared = spark.sparkContext.broadcast((vectors, np.array([r["label"] for r in known])))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text)

@@ -108,7 +108,7 @@ def test_pipeline_over_a_small_corpus(spark, tmp_path):
         seen[name] = {r["doc_id"]: r for r in at.collect()}
         if name != "packing":
             assert at.columns == frame.columns
-            assert all(r["n_chars"] == len(r["text"] or "") for r in at.collect())
+            assert all((r["n_chars"] or 0) == len(r["text"] or "") for r in at.collect())
     good = {i for i, q in labels if q}
     assert good | {500, 501, 502, None} <= seen["quality classifier"].keys() and len(seen["quality classifier"].keys() & {i for i, q in labels if not q}) <= 2
     assert not any("weekly paper" in (r["text"] or "") for r in seen["line dedup"].values())
