@@ -42,7 +42,7 @@ def metadata_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = views.answers(spark, sf_dir).select("conv_id", "turn", E.parsed_answer(F.col("answer")).alias("p"))
+    parsed = views.answers(spark, sf_dir).select("conv_id", "turn", E.parsed_answer(F.col("answer"), summary_chars=100).alias("p"))
     return _topics(parsed.select("conv_id", "turn", "p.*"))
 
 
@@ -87,7 +87,7 @@ def folder_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enrichment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     summaries = _summaries(spark, sf_dir)
-    plan = E.enrichment_plan(summaries, E.propose_folders(summaries))
+    plan = E.enrichment_plan(summaries, E.propose_folders(summaries), reason_chars=50)
     return plan.select("action_type", "source", "destination", "reason", "confidence")
 
 

@@ -67,12 +67,12 @@ def _text_columns(f: DataFrame) -> DataFrame:
 
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = scan_filters.text_only(views.files(spark, sf_dir))
-    return _text_columns(f.select("seq", FE.text_features(F.col("text")).alias("t")))
+    return _text_columns(f.select("seq", FE.text_features(F.col("text"), top_k=None).alias("t")))
 
 
 def web_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = scan_filters.text_only(views.web_files(spark, sf_dir))
-    return _text_columns(f.select("seq", FE.text_features(F.col("text")).alias("t")))
+    return _text_columns(f.select("seq", FE.text_features(F.col("text"), top_k=None).alias("t")))
 
 
 def top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def infer(rows: DataFrame, make_model: Callable[[], Model] = offline_model, batc
     return rows.mapInPandas(run, schema)
 
 
-def parsed_answer(answer: Column) -> Column:
+def parsed_answer(answer: Column, summary_chars: int | None = None) -> Column:
     """The fields of an answer, with ``form``: 'object', 'rescued' (JSON inside other text), 'text' or
     'not an object' (valid JSON of another kind, which counts as a failure)."""
     def is_object(v: Column) -> Column:
@@ -112,7 +112,7 @@ def parsed_answer(answer: Column) -> Column:
     inner = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
     whole, part = F.try_parse_json(answer), F.try_parse_json(inner)
     text = F.struct(
-        F.left(answer, F.lit(100)).alias("summary"), F.lit("General").alias("category"),
+        (answer if summary_chars is None else F.left(answer, F.lit(summary_chars))).alias("summary"), F.lit("General").alias("category"),
         F.array().cast("array<string>").alias("topics"), F.lit("medium").alias("importance"),
         F.lit("Documents").alias("suggested_folder"), F.lit(0.5).alias("confidence"), F.lit("text").alias("form"))
     form = F.when(whole.isNotNull(), F.when(is_object(whole), "object").otherwise("not an object")).when(
@@ -270,14 +270,15 @@ def match_folder(folders: Sequence[str]) -> Column:
         F.lit("Documents"))
 
 
-def enrichment_plan(summaries: DataFrame, folders: Sequence[str], target: str = "") -> DataFrame:
-    """Create the proposed folders and move each file to its best one."""
+def enrichment_plan(summaries: DataFrame, folders: Sequence[str], target: str = "", reason_chars: int | None = None) -> DataFrame:
+    """Create the proposed folders and move each file to its best one; reasons tell the whole summary or its first ``reason_chars``."""
     prefix = f"{target}/" if target else ""
     rows = summaries.withColumn("folder", match_folder(folders))
+    told = F.col("summary") if reason_chars is None else F.concat(F.left("summary", F.lit(reason_chars)), F.lit("..."))
     moves = action_rows(
         rows, "move", source=F.col("file_path"),
         destination=F.concat(F.lit(prefix), "folder", F.lit("/"), "file_name"),
-        reason=F.concat(F.lit("LLM categorized as "), "category", F.lit(": "), F.left("summary", F.lit(50)), F.lit("...")),
+        reason=F.concat(F.lit("LLM categorized as "), "category", F.lit(": "), told),
         confidence=F.col("confidence"))
     spark, n = summaries.sparkSession, len(folders)
     listed = spark.createDataFrame([(i - n, prefix + f) for i, f in enumerate(folders)], "seq bigint, folder string")

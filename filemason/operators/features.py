@@ -47,10 +47,10 @@ def hash_features(content: Column, algorithm: str = "sha256") -> Column:
     return F.struct(digest(content, algorithm).alias("content_hash"), F.lit(algorithm).alias("hash_algorithm"))
 
 
-def text_features(content: Column, max_chars: int | None = None, preview_chars: int = 200, top_k: int = 10) -> Column:
+def text_features(content: Column, max_chars: int | None = None, preview_chars: int = 200, top_k: int | None = 10) -> Column:
     """Counts, flags, preview and keywords of a text.
 
-    The whole text is measured; pass ``max_chars=5000`` to measure only what a bounded reader sees.
+    Without ``top_k`` no keywords are computed. The whole text is measured; pass ``max_chars=5000`` to measure only what a bounded reader sees.
     """
     body = X.unix_lines(content)
     if max_chars is not None:
@@ -69,7 +69,7 @@ def text_features(content: Column, max_chars: int | None = None, preview_chars:
             F.lower(t).contains("http").alias("has_urls"),
             (t.contains("@") & t.contains(".")).alias("has_emails"),
             X.truncated(t, preview_chars, "...").alias("content_preview"),
-            X.top_keywords(w, top_k).alias("top_keywords"),
+            (F.lit(None).cast("array<string>") if top_k is None else X.top_keywords(w, top_k)).alias("top_keywords"),
         ))
 
     empty = F.struct(

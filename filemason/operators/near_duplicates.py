@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..plans.actions import action_rows
 from ..session import materialize
 from . import pairing
+from .ranking import rank_in_group
 
 # Names listed in a review action; the whole group stays in the long table.
 REVIEW_LIST = 1000
@@ -116,17 +117,21 @@ def first_per_group(rows: DataFrame, group: str, k: int, *order: Column | str) -
 
 
 def review_actions(groups: DataFrame) -> DataFrame:
-    """One review move per near-duplicate group, for its seed, naming the members in order."""
-    listed = first_per_group(groups, "seed_seq", REVIEW_LIST, "seq")
-    listed = listed.groupBy("seed_seq").agg(
-        F.first("group_size").alias("group_size"),
+    """Review moves of near-duplicate groups, naming the members in order.
+
+    A group has one action, for its seed; one of more than ``REVIEW_LIST`` members has another for each further so many, for the first
+    of them, so that every member is named and no list grows without bound.
+    """
+    ranked = rank_in_group(groups, ["seed_seq"], "seq", "pos")
+    part = F.floor((F.col("pos") - 1) / REVIEW_LIST)
+    listed = ranked.groupBy("seed_seq", part.alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("seq", "name", "path"))).alias("members"))
-    more = F.col("group_size") - F.size("members")
     names = F.array_join(F.transform("members", lambda m: m["name"]), ", ")
-    reason = F.concat(F.lit("Similar to: "), names,
-                      F.when(more > 0, F.concat(F.lit(", … and "), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
+    more = F.when(F.col("part") > 0, F.concat(F.lit(" (part "), (F.col("part") + 1).cast("string"), F.lit(")"))).otherwise(F.lit(""))
+    reason = F.concat(F.lit("Similar to"), more, F.lit(": "), names)
+    first = F.get("members", F.lit(0))
     return action_rows(
-        listed, "move", seq=F.col("seed_seq"), source=F.get("members", F.lit(0))["path"],
+        listed, "move", seq=F.when(F.col("part") == 0, F.col("seed_seq")).otherwise(first["seq"]), source=first["path"],
         destination=F.lit("_Needs_Review/Similar_Files"), reason=reason, confidence=0.6,
         metadata=F.create_map(F.lit("similar_group"), F.transform("members", lambda m: m["path"])))
 

@@ -32,9 +32,10 @@ def clustering_strategy(files: DataFrame, as_of: Column, min_cluster_size: int =
 
 
 def enrichment_strategy(files: DataFrame, make_model: Callable = enrich.offline_model, folder_model: Callable | None = None,
-                        **options) -> DataFrame:
+                        reason_chars: int | None = None, **options) -> DataFrame:
     summaries = enrich.summarize(files, make_model, **options)
-    return enrich.enrichment_plan(summaries, enrich.propose_folders(summaries, folder_model, options.get("criteria")))
+    return enrich.enrichment_plan(summaries, enrich.propose_folders(summaries, folder_model, options.get("criteria")),
+                                  reason_chars=reason_chars)
 
 
 def rules_strategy(files: DataFrame, as_of: Column, rules: R.RuleSet | None = None, target: str = "organized") -> DataFrame:

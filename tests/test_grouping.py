@@ -94,14 +94,16 @@ def test_thresholds_are_guarded(spark):
         near_duplicates.similar_files(files, 0.7)
 
 
-def test_review_lists_are_bounded_but_counted(spark, monkeypatch):
+def test_review_lists_name_every_member(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "REVIEW_LIST", 3)
     files = file_rows(spark, ["same name.txt"] * 5)
     groups = near_duplicates.near_duplicate_groups(files)
     assert groups.count() == 5
-    action = near_duplicates.review_actions(groups).first()
-    assert action["reason"] == "Similar to: same name.txt, same name.txt, same name.txt, … and 2 more"
-    assert action["destination"] == "_Needs_Review/Similar_Files" and len(action["metadata"]["similar_group"]) == 3
+    first, second = near_duplicates.review_actions(groups).orderBy("seq").collect()
+    assert first["reason"] == "Similar to: same name.txt, same name.txt, same name.txt"
+    assert second["reason"] == "Similar to (part 2): same name.txt, same name.txt"
+    assert {a["destination"] for a in (first, second)} == {"_Needs_Review/Similar_Files"}
+    assert len(first["metadata"]["similar_group"]) == 3 and len(second["metadata"]["similar_group"]) == 2
 
 
 def test_pair_joins_are_equi_joins(spark):

@@ -101,7 +101,7 @@ def test_strategies(spark):
     ('a {broken} b', "text", "General", "a {broken} b", 0.5),
 ])
 def test_answers(spark, text, form, category, summary, confidence):
-    p = spark.createDataFrame([(text,)], "t string").select(enrich.parsed_answer(F.col("t")).alias("p")).first()["p"]
+    p = spark.createDataFrame([(text,)], "t string").select(enrich.parsed_answer(F.col("t"), summary_chars=100).alias("p")).first()["p"]
     assert (p["form"], p["category"], p["summary"], p["confidence"]) == (form, category, summary, confidence)
 
 
