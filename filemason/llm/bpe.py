@@ -241,11 +241,12 @@ class Encoder:
         parts, wholes = self.parts, {p[0] for segments in pieces for p in segments if p[0] not in self.machine.special}
         if len(parts) > KEPT_PARTS:
             parts.clear()
-        missing = {w for segments in pieces for p in segments for w in p[1:]} - parts.keys()
+        missing = {w for w in set().union(*(p[1:] for segments in pieces for p in segments)) if w not in parts}
         wanted = {" " + w: w for w in missing}
         split = {w: self._split(w) for w in wanted} | {w: self.split(w) for w in wholes}
         unknown = {x for found in split.values() for x in found}
-        known, words = {x: self.words[x] for x in unknown & self.words.keys()}, unknown - self.words.keys()
+        words = {x for x in unknown if x not in self.words}
+        known = {x: self.words[x] for x in unknown - words}
         self.learn(words)
         known |= {x: self.words[x] for x in words}
         ids = {w: b"".join([known[x] for x in found]) for w, found in split.items()}

@@ -53,7 +53,7 @@ class Shingles:
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         words = self.words
-        for w in set().union(*split) - words.keys():
+        for w in [w for w in set().union(*split) if w not in words]:
             words[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
         counts = np.array([len(s) for s in split], np.int64)
         found = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.uint64, int(counts.sum()))

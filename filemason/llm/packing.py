@@ -52,10 +52,11 @@ class WordEncoder(bpe.Encoder):
             parts.clear()
         parts.update(special)
         parts[""] = b""
-        missing = {w for segments in rows for r in segments for w in r} - parts.keys()
+        missing = {w for w in set().union(*(r for segments in rows for r in segments)) if w not in parts}
         split = {w: self._split_word(w) for w in missing}
         unknown = {x for found in split.values() for x in found}
-        known, words = {x: self.words[x] for x in unknown & self.words.keys()}, unknown - self.words.keys()
+        words = {x for x in unknown if x not in self.words}
+        known = {x: self.words[x] for x in unknown - words}
         marked = {x for x in words if "\0" in x}  # a zero byte in a text is no word's end
         self.learn(words - marked, b"\0")
         known |= {x: self.words[x] for x in words - marked} | {x: self._with_zeros(x) for x in marked}
