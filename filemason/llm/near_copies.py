@@ -14,16 +14,14 @@ from pyspark.sql.window import Window
 
 from ..operators.clustering import components
 from ..session import materialize
-from .common import kept, small_batches
+from .common import kept, partitions, small_batches
 
 #: Words of a shingle, bands of a signature and samples of a band, similarity from which documents are near copies.
 WORDS, BANDS, ROWS, SIMILARITY = 5, 12, 3, 0.8
 #: Hashed word frequencies, and distinct words whose hashes a task keeps.
 FREQUENCIES, KEPT_WORDS = 1 << 16, 800_000
-#: Equal samples below which two signatures can't belong to near copies (five deviations below the expected number).
-LEAST_EQUAL = 16
-#: Comparisons to which the texts that have their turn in a bucket of a band come, at most or in expectation.
-TURN_PAIRS = 1 << 14
+#: Texts of a candidate group that are compared in one task with as many others.
+BLOCK = 512
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -158,7 +156,7 @@ def similarity(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.
 
 
 def _signatures(rows: DataFrame, rarity) -> DataFrame:
-    schema = T._parse_datatype_string("node binary, bands array<long>, samples binary")
+    schema = T._parse_datatype_string("node binary, bands array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = kept("shingle words", lambda: Shingles(np.zeros(0)))
@@ -173,98 +171,108 @@ def _signatures(rows: DataFrame, rarity) -> DataFrame:
                 bands[:, b] = _mixed(bands[:, b] + np.uint64(b))
             some = samples.any(axis=1)
             ends = np.cumsum([0, *np.where(some, BANDS, 0)]).astype(np.int32)
-            small = samples.astype(np.uint32)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[some].ravel().view(np.int64))),
-                pa.array([s.tobytes() for s in small], pa.binary())], names=schema.names)
+                batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[some].ravel().view(np.int64)))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _equal_samples(pairs: DataFrame, samples: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree often enough for near copies."""
-    a, b = (samples.select(F.col("node").alias(x), F.col("samples").alias(f"s{x}")) for x in ("a", "b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in (2, 3))
-            keep = pa.array((left == right).sum(axis=1) >= LEAST_EQUAL)
-            yield batch.select([0, 1]).filter(keep)
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
-
-
-def _links(pairs: DataFrame, texts: DataFrame, rarity, least: float) -> DataFrame:
-    """The pairs whose texts are at least so similar."""
-    a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
+    """The smallest of the places joined to each place by pairs."""
+    root = list(range(n))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in pairs.tolist():
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return np.array([top(x) for x in range(n)])
+
+
+def _alike(sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Pairs of a place in ``left`` and one in ``right`` whose sets are at least so similar.
+
+    For few sets each pair is compared; for more, the weights that each shingle contributes are added up in a
+    matrix of all pairs, whose size is bounded by the blocks."""
+    if len(left) * len(right) <= 64:
+        return np.array([(x, y) for x in left for y in right if x < y and similarity(sets[x], sets[y]) >= least], np.int64).reshape(-1, 2)
+    row, column = np.full(len(sets), -1), np.full(len(sets), -1)
+    row[left], column[right] = np.arange(len(left)), np.arange(len(right))
+    owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+    shingle, weight = (np.concatenate(c) for c in zip(*sets))
+    order = np.argsort(shingle, kind="stable")
+    owner, shingle, weight = owner[order], shingle[order], weight[order]
+    first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+    shared = np.zeros((len(left), len(right)), np.float64)
+    for x, y in zip(first, np.append(first[1:], len(shingle))):
+        if y - x > 1:
+            o, w = owner[x:y], weight[x:y]
+            l, r = row[o] >= 0, column[o] >= 0
+            shared[np.ix_(row[o[l]], column[o[r]])] += np.minimum.outer(w[l], w[r])
+    whole = np.array([w.sum() for _, w in sets])
+    union = whole[left][:, None] + whole[right][None, :] - shared
+    x, y = np.nonzero(shared >= least * union)
+    x, y = left[x], right[y]
+    return np.stack([x, y], axis=1)[x != y]
+
+
+def _links(rows: DataFrame, rarity, least: float) -> DataFrame:
+    """(a, b) links that join what is alike, from texts sorted by their part: a candidate group and two of its blocks."""
+
+    def compare(part: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         shingles = kept("shingle words", lambda: Shingles(np.zeros(0)))
         shingles.rarity = rarity.value
+        owner, h, w = shingles([r[4] for r in part])
+        cut = np.searchsorted(owner, np.arange(len(part) + 1))
+        ends = [i for i in range(1, len(part) + 1) if i == len(part) or part[i][:3] != part[i - 1][:3]]
+        for x, y in zip([0, *ends], ends):
+            one, other = part[x][1:3]
+            block = np.array([r[3] for r in part[x:y]])
+            sets = [(h[a:b], w[a:b]) for a, b in zip(cut[x:y], cut[x + 1:y + 1])]
+            pairs = _alike(sets, np.flatnonzero(block == one), np.flatnonzero(block == other), least)
+            for i, r in enumerate(_roots(y - x, pairs)):
+                if i != r:
+                    yield part[x + i][5], part[x + r][5]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[tuple] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                both = part.column(2).to_pylist() + part.column(3).to_pylist()
-                names = {t: i for i, t in enumerate(dict.fromkeys(both))}
-                owner, h, w = shingles(list(names))
-                cut = np.searchsorted(owner, np.arange(len(names) + 1))
-                sets = [(h[x:y], w[x:y]) for x, y in zip(cut, cut[1:])]
-                n = part.num_rows
-                keep = [similarity(sets[names[both[i]]], sets[names[both[n + i]]]) >= least for i in range(n)]
-                yield part.select([0, 1]).filter(pa.array(keep))
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(part) >= BLOCK and row[:3] != part[-1][:3]:
+                    found = list(compare(part))
+                    part = []
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                part.append(row)
+        found = list(compare(part)) if part else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return rows.select("root", "one", "other", "block", "text", "node").mapInArrow(run, "a binary, b binary")
 
 
 def _classes(sketch: DataFrame, texts: DataFrame, rarity, least: float) -> DataFrame:
     """(node, root) of the classes of near copies among distinct texts that share a band with another.
 
-    In each bucket of a band, some texts outside the bucket's largest class so far are compared with all of its texts that belong to
-    other classes, round after round, until every text outside its buckets' largest classes has had its turn. So each two
-    texts of a bucket are compared unless they are in one class already. In the first two rounds it is one text of
-    each bucket, by which large groups come together; then as many as make some ``TURN_PAIRS`` comparisons (all of a small
-    bucket, at least one), so a round handles a bucket of n texts in n comparisons, or a fixed number of them.
+    Texts joined by shared bands are a candidate group. All texts of a group are compared exactly, in the tasks: a group of
+    more than ``BLOCK`` texts is dealt into blocks, and each two blocks meet in a task, so no task holds more than two of
+    them. Only links that join what is alike leave a task, at most one for each text.
     """
     buckets = sketch.select("node", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = materialize(buckets.join(shared, "band", "left_semi"), "buckets")
-    nodes = members.select("node").distinct()
-    texts = materialize(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    samples = materialize(sketch.select("node", "samples").join(nodes, "node", "left_semi"), "samples")
-    roots, done, rounds = None, None, 0
-    while True:
-        label = F.col("node") if roots is None else F.coalesce("root", "node")
-        placed = (members if roots is None else members.join(roots, "node", "left")).select("band", "node", label.alias("root"))
-        sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("classes"), F.sum("n").alias("size")).where("classes > 1")
-        placed = materialize(placed.join(largest.select("band", "most", "size"), "band"), "placed")
-        waiting = placed.where("root <> most").select("band", "node", "size", F.xxhash64("node", "band").alias("h"))
-        waiting = waiting if done is None else waiting.join(done, "node", "left_anti")
-        counts = waiting.groupBy("band").agg(F.min("h").alias("first"), F.count("*").alias("left"))
-        share = F.lit(0.0) if rounds < 2 else TURN_PAIRS / (F.col("size") * F.col("left"))
-        rounds += 1
-        now = (F.col("h") == F.col("first")) | (F.pmod(F.xxhash64("h", F.lit(rounds)), F.lit(1 << 20)) < share * (1 << 20))
-        chosen = materialize(waiting.join(counts, "band").where(now).select("node").distinct(), "turn")
-        if not chosen.take(1):
-            return roots if roots is not None else nodes.limit(0).select("node", F.col("node").alias("root"))
-        done = chosen if done is None else materialize(done.unionByName(chosen), "done")
-        asks = placed.join(chosen, "node", "left_semi").select("band", F.col("node").alias("x"), F.col("root").alias("rx"))
-        pairs = placed.join(asks, "band").where("root <> rx").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        similar = materialize(_equal_samples(pairs.distinct(), samples), "pairs")
-        links = materialize(_links(similar, texts, rarity, least), "links")
-        if roots is not None:
-            old = roots.select("node", F.col("root").alias("r"))
-            for x in ("a", "b"):
-                links = links.join(old.withColumnRenamed("node", x), x, "left").withColumn(x, F.coalesce("r", x)).drop("r")
-        if not links.take(1):
-            continue
-        merged = components(links.select("a", "b")).select(F.col("seq").alias("node"), F.col("root").alias("top"))
-        if roots is None:
-            roots = materialize(merged.select("node", F.col("top").alias("root")), "roots")
-        else:
-            known = roots.unionByName(merged.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
-            tops = merged.select(F.col("node").alias("root"), "top")
-            roots = materialize(known.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1").select("band", "lead")
+    stars = buckets.join(materialize(shared, "buckets"), "band").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    groups = materialize(components(stars).select(F.col("seq").alias("node"), "root"), "groups")
+    sizes = materialize(groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    placed = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = texts.join(groups.select("node"), "node", "left_semi").dropDuplicates(["node"]).join(placed, "node")
+    dealt = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"one": F.least("block", "with"), "other": F.greatest("block", "with")})
+    parts = dealt.repartition(partitions(sketch.sparkSession), "root", "one", "other").sortWithinPartitions("root", "one", "other")
+    links = materialize(_links(parts, rarity, least), "links")
+    return components(links).select(F.col("seq").alias("node"), "root")
 
 
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similar: float = SIMILARITY) -> DataFrame:
@@ -276,7 +284,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     equal. Repeated rows are in one class; a null id is the smallest of its class only if all ids there are null. No rows give no rows.
 
     Equal texts are one node throughout, so the size of a group of copies is of no account; only the distinct texts of shared
-    buckets are shuffled for comparing.
+    bands are shuffled for comparing.
     """
     spark = docs.sparkSession
     small_batches(spark)
