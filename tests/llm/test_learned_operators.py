@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from filemason.llm import neighbour_search, quality, queries
+from filemason.llm import neighbour_search, quality
 
 from .test_dedup_operators import docs, prose
 
@@ -116,9 +116,3 @@ def test_pipeline_over_a_small_corpus(spark, tmp_path):
     assert passage in seen["substring dedup"][501]["text"] and passage[5:] not in seen["substring dedup"][502]["text"]
     assert seen["packing"].keys() == seen["substring dedup"].keys()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
-
-
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op1_chat_formatting"}))
-def test_query_runs_on_given_tables(spark, name):
-    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert df.count() > 0
