@@ -60,8 +60,6 @@ def test_long_chain_and_random_tree(spark):
 
 
 def test_escapes_come_back():
-    from pyspark.sql import functions as F  # noqa: F401
-
     rng = random.Random(3)
     for _ in range(500):
         text = "".join(rng.choice(["\\", "#", "<", "/turn>", "</turn>", "### ", "x", "\n"]) for _ in range(rng.randint(0, 12)))
