@@ -200,7 +200,8 @@ def _alike(sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: n
     For few sets each pair is compared; for more, the weights that each shingle contributes are added up in a
     matrix of all pairs, whose size is bounded by the blocks."""
     if len(left) * len(right) <= 64:
-        return np.array([(x, y) for x in left for y in right if x < y and similarity(sets[x], sets[y]) >= least], np.int64).reshape(-1, 2)
+        once = [(x, y) for x in left for y in right if x < y or x not in right]
+        return np.array([(x, y) for x, y in once if similarity(sets[x], sets[y]) >= least], np.int64).reshape(-1, 2)
     row, column = np.full(len(sets), -1), np.full(len(sets), -1)
     row[left], column[right] = np.arange(len(left)), np.arange(len(right))
     owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])

@@ -87,7 +87,9 @@ def edited(text, changes):
     return " ".join(words)
 
 
-def test_near_copies_equal_all_pairs(spark):
+@pytest.mark.parametrize("block", [512, 8, 16])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     texts = []
     for size in (1, 3, 2, 40):  # a group of many near copies at all similarities, chains among them
         base = prose(150)
