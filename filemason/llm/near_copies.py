@@ -268,7 +268,9 @@ def _classes(sketch: DataFrame, texts: DataFrame, rarity, least: float) -> DataF
     groups = materialize(components(stars).select(F.col("seq").alias("node"), "root"), "groups")
     sizes = materialize(groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     placed = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = texts.join(groups.select("node"), "node", "left_semi").dropDuplicates(["node"]).join(placed, "node")
+    # merge joins at every size: what is joined to the texts grows with them
+    members = texts.join(groups.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    members = members.join(placed.hint("merge"), "node")
     dealt = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"one": F.least("block", "with"), "other": F.greatest("block", "with")})
     parts = dealt.repartition(partitions(sketch.sparkSession), "root", "one", "other").sortWithinPartitions("root", "one", "other")
