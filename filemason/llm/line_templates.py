@@ -23,6 +23,11 @@ class TemplateTree:
     A template recurs if it is in ``min_docs`` different texts, and with ``spread`` times as many different
     first lines or different last lines (by leaf): copies and near copies of a document share both.
     Lines of fewer than ``min_words`` words always stay.
+
+    With ``absolute`` a template also recurs if it is in ``min_docs`` different documents whatever their share: a text
+    of whose words at least ``own`` stand in lines that open unlike those of ``min_docs`` texts counts as a document of
+    its own, others by the most frequent of three sampled line openings, so near copies fall together
+    in at most three.
     """
 
     depth: int = 3
@@ -31,6 +36,8 @@ class TemplateTree:
     likeness: float = 0.7
     min_docs: int = 5
     spread: float = 0.5
+    absolute: bool = False
+    own: float = 0.3
 
 
 def masked(line: Column) -> Column:
@@ -54,7 +61,24 @@ def _lines(docs: DataFrame, tree: TemplateTree) -> DataFrame:
     rows = docs.select("doc", "copy", first.alias("first"), last.alias("last"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
     rows = rows.withColumn("line", masked(F.col("line"))).withColumn("words", words(F.col("line"))).where(F.col("words") >= tree.min_words)
     return rows.select("doc", "copy", "first", "last", "place", leaf(F.col("line"), tree).alias("leaf"),
-                       F.xxhash64("line").alias("line_id"), "words", "line")
+                       F.xxhash64("line").alias("line_id"), "words", "line",
+                       *([F.xxhash64(F.substring_index("line", " ", tree.depth)).alias("lead")] if tree.absolute else []))
+
+
+def documents(narrow: DataFrame, tree: TemplateTree) -> DataFrame:
+    """(copy, document) of every text: the same document for what is nearly copied, see ``TemplateTree``."""
+    leads = materialize(narrow.groupBy("copy", "lead").agg(F.max("words").alias("words")), "leads")
+    often = leads.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") >= tree.min_docs)
+    held = leads.join(often, "lead", "left")
+    sketches = F.array(*(F.min(F.xxhash64("lead", F.lit(k))) for k in range(3)))
+    texts = held.groupBy("copy").agg((F.sum(F.when(F.col("n").isNull(), F.col("words")).otherwise(0)) / F.sum("words")).alias("share"),
+                                     sketches.alias("sketches"))
+    texts = materialize(texts, "texts")
+    alone = texts.where(F.col("share") >= tree.own).select("copy", F.col("copy").alias("document"))
+    sampled = texts.where(F.col("share") < tree.own).select("copy", F.posexplode("sketches").alias("k", "sketch"))
+    counts = sampled.groupBy("k", "sketch").agg(F.count("*").alias("n"))
+    near = sampled.join(counts, ["k", "sketch"]).groupBy("copy").agg(F.max(F.struct("n", "k", "sketch"))["sketch"].alias("document"))
+    return alone.unionByName(near)
 
 
 def recurring(lines: DataFrame, narrow: DataFrame, tree: TemplateTree) -> DataFrame:
@@ -76,8 +100,13 @@ def recurring(lines: DataFrame, narrow: DataFrame, tree: TemplateTree) -> DataFr
     seen = narrow.select("leaf", "line_id", "copy", "first", "last").distinct().join(known, ["leaf", "line_id"])
     counts = seen.groupBy("leaf", "template").agg(
         F.count_distinct("copy").alias("docs"), F.count_distinct("first").alias("firsts"), F.count_distinct("last").alias("lasts"))
-    often = counts.where((F.col("docs") >= tree.min_docs) & (F.greatest("firsts", "lasts") >= tree.spread * F.col("docs")))
-    return known.join(often.select("leaf", "template"), ["leaf", "template"], "left_semi").select("leaf", "line_id")
+    often = counts.where((F.col("docs") >= tree.min_docs) & (F.greatest("firsts", "lasts") >= tree.spread * F.col("docs"))).select("leaf", "template")
+    if not tree.absolute:
+        return known.join(often, ["leaf", "template"], "left_semi").select("leaf", "line_id")
+    seen = materialize(seen.select("leaf", "line_id", "template", "copy").join(documents(narrow, tree), "copy"), "seen")
+    spread = seen.groupBy("leaf", "template").agg(F.count_distinct("document").alias("docs")).where(F.col("docs") >= tree.min_docs)
+    often = often.unionByName(spread.select("leaf", "template")).distinct()
+    return known.join(often, ["leaf", "template"], "left_semi").select("leaf", "line_id")
 
 
 def drop_recurring_lines(docs: DataFrame, tree: TemplateTree = TemplateTree(), id_column: str = "doc_id", text: str = "text",

@@ -35,6 +35,23 @@ def test_recurring_templates_go(spark):
         assert left[i]["text"] == "\n".join(x for x in text.split("\n") if not x.startswith("Nobody"))
 
 
+ABSOLUTE = line_templates.TemplateTree(absolute=True)
+
+
+def test_frequent_lines_go_whatever_their_share(spark):
+    header, footer, opening = "Welcome to the pages of our town", "Contact the office for more on this", "It was a dark and stormy night"
+    site = [(i, "\n".join([header, "Home and news and people", prose(20), prose(15), footer])) for i in range(60)]
+    half = [(100 + i, "\n".join(([opening] if i % 2 else [prose(9), opening]) + [prose(12), "Set in type by the old press"])) for i in range(60)]
+    base = [prose(12) for _ in range(20)]
+    near = [(200 + i, "\n".join(base[:i % 20] + [edited(base[i % 20], 2)] + base[i % 20 + 1:])) for i in range(60)]
+    left = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs(spark, site + half + near), ABSOLUTE).collect()}
+    for i, text in site:
+        assert left[i] == "\n".join(text.split("\n")[2:4])
+    for i, text in half:
+        assert left[i] == "\n".join(x for x in text.split("\n") if x != opening and not x.startswith("Set in"))
+    assert all(left[i] == text for i, text in near)  # near copies are no documents of their own
+
+
 def test_lines_of_messy_documents(spark, messy, nothing):
     left = line_templates.drop_recurring_lines(messy)
     assert left.columns == messy.columns
