@@ -18,7 +18,7 @@ from .common import small_batches
 FEATURES, LATENT, VOTERS, CHUNK = 4096, 64, 15, 1 << 21
 #: Symbols that running text rarely holds, and how strongly the two shares of ``shapes`` count.
 SYMBOLS, SHAPE_SCALE = b"|#$%&*+<=>@[]^_`{}~\\/", 4.0
-#: Bounds of what the classifier is fitted on: labelled rows of each label, and rows for the latent space.
+#: Bounds of what the classifier is fitted on: half the labelled rows, and rows for the latent space.
 LABELLED_ROWS, LATENT_ROWS = 4096, 2048
 
 
@@ -110,8 +110,9 @@ def score_quality(docs: DataFrame, labelled: DataFrame, learns: Callable[[Column
     """All columns of ``docs`` and ``score``, the likeliness of label 1 between 0 and 1 for every whole text.
 
     ``labelled`` has ids with labels 0 and 1 (null ones, and ids without a document, count for nothing; repeated ids with their mean);
-    ``learns``, a condition on the id, says which of them may be learnt from. At most ``labelled_rows`` of either
-    label, chosen by a hash of the id, are the voters, so what is broadcast has a fixed bound; feature rarities come
+    ``learns``, a condition on the id, says which of them may be learnt from. At most twice ``labelled_rows`` ids,
+    chosen by a hash of the id whatever their label, are the voters, so that labels keep their ratio and what is broadcast has a
+    fixed bound; feature rarities come
     from all documents. Labels, and columns other than the text, are no input of a score. Null texts are empty;
     an empty text, or any where there are no labels, gets the share of label 1 (0.5 without labels). Equal texts get equal
     scores; a column named ``score`` is replaced. No rows give no rows.
@@ -121,11 +122,9 @@ def score_quality(docs: DataFrame, labelled: DataFrame, learns: Callable[[Column
     docs = docs.drop("score")
     usable = labelled.select(F.col(id_column).alias("id"), F.col(label).cast("double").alias("label")).where("label is not null and id is not null")
     usable = usable.groupBy("id").agg(F.avg("label").alias("label")).where(learns(F.col("id")))
-    order = [F.xxhash64("id"), "id"]
-    sides = [usable.where(side).orderBy(*order).limit(labelled_rows) for side in ("label >= 0.5", "label < 0.5")]
     share = usable.agg(F.avg("label").alias("share")).first()["share"]
     prior = 0.5 if share is None else float(share)
-    voters = F.broadcast(sides[0].unionByName(sides[1]))  # at most twice labelled_rows ids
+    voters = F.broadcast(usable.orderBy(F.xxhash64("id"), "id").limit(2 * labelled_rows))
     texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(voters, "id")
     texts = materialize(texts.select("id", "label", "text"), "labelled")
     idf = inverse_frequencies(docs, text)

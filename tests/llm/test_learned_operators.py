@@ -51,6 +51,13 @@ def test_scores_of_messy_documents(spark, messy, nothing):
     assert {r["score"] for r in quality.score_quality(messy, known.limit(0), quality.learnt_from).collect()} == {0.5}
 
 
+def test_bounded_voters_keep_the_ratio_of_labels(spark):
+    rows = [(i, prose(30)) for i in range(700)]  # the texts tell nothing of the labels, which are 6 to 1
+    known = spark.createDataFrame([(i, int(i % 7 > 0)) for i, _ in rows], "doc_id long, quality int")
+    mean = [quality.score_quality(docs(spark, rows), known, quality.learnt_from, labelled_rows=n).agg(F.avg("score")).first()[0] for n in (4096, 60)]
+    assert abs(mean[0] - 6 / 7) < 0.05 and abs(mean[0] - mean[1]) < 0.1
+
+
 def brute(vectors, asks, k):
     out = {}
     for i in asks:
