@@ -7,14 +7,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..operators.clustering import components
 from ..session import materialize
-from .common import kept, partitions, small_batches
+from .common import kept, partitions, same, small_batches
 
 #: Words of a shingle, bands of a signature and samples of a band, similarity from which documents are near copies.
 WORDS, BANDS, ROWS, SIMILARITY = 5, 12, 3, 0.8
@@ -278,6 +277,23 @@ def _classes(sketch: DataFrame, texts: DataFrame, rarity, least: float) -> DataF
     return components(links).select(F.col("seq").alias("node"), "root")
 
 
+def _node(body: Column) -> Column:
+    return F.unhex(F.md5(body.cast("binary")))
+
+
+def _placed(docs: DataFrame, id_column: str, text: str, similar: float) -> DataFrame:
+    """(id, node, root) for every row: the hash of its text, and that of its class."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(id_column).alias("id"), _node(body).alias("node"), body.alias("text"))
+    rarity = spark.sparkContext.broadcast(word_rarity(docs, text))
+    names = materialize(rows.select("id", "node"), "names")
+    sketch = materialize(_signatures(rows.select("node", "text"), rarity).dropDuplicates(["node"]), "sketches")
+    roots = _classes(sketch, rows.select("node", "text"), rarity, similar)
+    return names.join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+
+
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similar: float = SIMILARITY) -> DataFrame:
     """``(id, class_id, n_copies)`` for every row: the smallest id of its class, and how many rows the class has.
 
@@ -289,22 +305,22 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     Equal texts are one node throughout, so the size of a group of copies is of no account; only the distinct texts of shared
     bands are shuffled for comparing.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id_column).alias("id"), F.unhex(F.md5(body.cast("binary"))).alias("node"), body.alias("text"))
-    rarity = spark.sparkContext.broadcast(word_rarity(docs, text))
-    names = materialize(rows.select("id", "node"), "names")
-    sketch = materialize(_signatures(rows.select("node", "text"), rarity).dropDuplicates(["node"]), "sketches")
-    roots = _classes(sketch, rows.select("node", "text"), rarity, similar)
-    placed = names.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    placed = _placed(docs, id_column, text, similar)
     classes = placed.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"))
     return placed.join(classes, "root").select(F.col("id").alias(id_column), "class_id", "n_copies")
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similar: float = SIMILARITY) -> DataFrame:
-    """One row of ``docs`` for each class of near copies: that of the smallest id, of these the one with the smallest text."""
-    classes = near_copies(docs, id_column, text, similar).select("class_id").distinct()
-    first = docs.join(classes, docs[id_column].eqNullSafe(classes["class_id"]), "left_semi")
-    order = Window.partitionBy(id_column).orderBy(F.coalesce(F.col(text), F.lit("")), F.to_json(F.struct(*(docs[c] for c in docs.columns))))
-    return first.withColumn("_first", F.row_number().over(order)).where("_first = 1").select(*docs.columns)
+    """One row of ``docs`` for each class of near copies: that of the smallest id (null ones last), of these the one with the smallest text."""
+    placed = materialize(_placed(docs, id_column, text, similar), "placed")
+    ids = placed.groupBy("root", "id").agg(F.count("*").alias("n"))
+    first = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("first"))
+    first = first.select(F.col("root").alias("_root"), F.col("first.id").alias("_first"), F.col("first.n").alias("_n"))
+    chosen = placed.join(first, (F.col("root") == F.col("_root")) & F.col("id").eqNullSafe(F.col("_first")))
+    chosen = chosen.select("_root", F.col("id").alias("_id"), F.col("node").alias("_node"), "_n").distinct()
+    keyed = docs.withColumns({"_id": F.col(id_column), "_node": _node(F.coalesce(F.col(text), F.lit("")))})
+    # merge joins at every size, as above
+    rows = keyed.join(chosen.hint("merge"), same(keyed, chosen, ["_id", "_node"])).select("_root", "_n", *(docs[c] for c in docs.columns))
+    order = F.struct(F.coalesce(F.col(text), F.lit("")), F.to_json(F.struct(*docs.columns)))
+    tied = rows.where("_n > 1").groupBy("_root").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return rows.where("_n = 1").select(*docs.columns).unionByName(tied)

@@ -141,6 +141,14 @@ def test_near_copies_of_messy_documents(messy, nothing):
     assert near_copies.near_copies(nothing).count() == 0 and near_copies.drop_near_copies(nothing).count() == 0
 
 
+def test_a_row_for_each_class_whatever_its_ids(spark):
+    a, b, c, d, e = (prose(60) for _ in range(5))
+    near = a.rsplit(" ", 1)[0] + " end"
+    rows = [(None, b), (None, c), (None, b), (7, d), (7, e), (3, a), (5, near), (5, "z " + prose(60))]
+    kept = [tuple(r) for r in near_copies.drop_near_copies(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, b), (None, c), (7, d), (7, e), (3, a), rows[-1]], key=str)
+
+
 def plain_repeats(rows, length):
     seen, out = {}, []
     for i, text in rows:
