@@ -27,7 +27,8 @@ class TemplateTree:
     With ``absolute`` a template also recurs if it is in ``min_docs`` different documents whatever their share: a text
     of whose words at least ``own`` stand in lines that open unlike those of ``min_docs`` texts counts as a document of
     its own, others by the most frequent of three sampled line openings, so near copies fall together
-    in at most three.
+    in at most three. Then a leaf also holds any number of templates with one variable word
+    after the first ``depth`` ones, in lines of at least twice as many words.
     """
 
     depth: int = 3
@@ -81,6 +82,22 @@ def documents(narrow: DataFrame, tree: TemplateTree) -> DataFrame:
     return alone.unionByName(near)
 
 
+def recurring_patterns(seen: DataFrame, several: DataFrame, tree: TemplateTree) -> DataFrame:
+    """(leaf, line_id) of the lines that differ from those of ``min_docs`` documents in the same word only."""
+    split = several.withColumn("parts", F.split("line", " ")).where(F.size("parts") >= 2 * tree.depth)
+    hashes = split.select("leaf", "line_id", F.transform("parts", lambda w, i: F.xxhash64(i, w)).alias("hashes"))
+    whole = F.aggregate("hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
+    hashes = hashes.withColumn("whole", whole)
+    rest = F.slice(F.transform("hashes", lambda h, i: F.struct(i.alias("at"), F.col("whole").bitwiseXOR(h).alias("pattern"))), tree.depth + 1, 1 << 30)
+    patterns = hashes.select("leaf", "line_id", F.explode(rest).alias("p")).select("leaf", "line_id", "p.at", "p.pattern")
+    # only patterns of several lines are new, and only these meet the documents
+    shared = patterns.groupBy("leaf", "at", "pattern").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    patterns = materialize(patterns.join(shared, ["leaf", "at", "pattern"]), "patterns")
+    held = seen.select("leaf", "line_id", "document").distinct().join(patterns, ["leaf", "line_id"])
+    counts = held.groupBy("leaf", "at", "pattern").agg(F.count_distinct("document").alias("docs")).where(F.col("docs") >= tree.min_docs)
+    return patterns.join(counts, ["leaf", "at", "pattern"], "left_semi").select("leaf", "line_id")
+
+
 def recurring(lines: DataFrame, narrow: DataFrame, tree: TemplateTree) -> DataFrame:
     """(leaf, line_id) of every masked line whose template recurs."""
     texts = narrow.groupBy("leaf", "line_id").agg(F.max("words").alias("words"))
@@ -106,7 +123,8 @@ def recurring(lines: DataFrame, narrow: DataFrame, tree: TemplateTree) -> DataFr
     seen = materialize(seen.select("leaf", "line_id", "template", "copy").join(documents(narrow, tree), "copy"), "seen")
     spread = seen.groupBy("leaf", "template").agg(F.count_distinct("document").alias("docs")).where(F.col("docs") >= tree.min_docs)
     often = often.unionByName(spread.select("leaf", "template")).distinct()
-    return known.join(often, ["leaf", "template"], "left_semi").select("leaf", "line_id")
+    gone = known.join(often, ["leaf", "template"], "left_semi").select("leaf", "line_id")
+    return gone.unionByName(recurring_patterns(seen, several, tree)).distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, tree: TemplateTree = TemplateTree(), id_column: str = "doc_id", text: str = "text",

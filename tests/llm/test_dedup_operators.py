@@ -52,6 +52,14 @@ def test_frequent_lines_go_whatever_their_share(spark):
     assert all(left[i] == text for i, text in near)  # near copies are no documents of their own
 
 
+def test_leaf_with_several_templates(spark):
+    forms = ["This page was made by {} for all readers here", "This page was last seen {} on some other day"]
+    rows = [(i, "\n".join([prose(9), forms[i % 2].format(VOCABULARY[i]), prose(9)])) for i in range(40)]
+    rows += [(100 + i, "\n".join([prose(9), "This page was " + prose(6), prose(9)])) for i in range(60)]
+    left = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs(spark, rows), ABSOLUTE).collect()}
+    assert all(left[i] == ("\n".join(text.split("\n")[::2]) if i < 100 else text) for i, text in rows)
+
+
 def test_lines_of_messy_documents(spark, messy, nothing):
     left = line_templates.drop_recurring_lines(messy)
     assert left.columns == messy.columns
