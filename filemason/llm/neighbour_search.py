@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by multi-index hashing of learned rotated binary codes."""
+"""Approximate nearest neighbours by scanning learned rotated binary codes in blocks."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from ..session import materialize
 
 #: Rows of a block of the index, queries that meet it at a time, and queries worked on together.
 BLOCK_ROWS, BLOCK_QUERIES, TOGETHER = 8192, 1024, 64
-SUBSTRING = 16
 
 
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -59,26 +58,20 @@ def _lift(v: np.ndarray, longest: float, query: bool) -> np.ndarray:
 
 
 class Block:
-    """Multi-index over the codes of one block: for each substring, its distinct values and the rows with each."""
+    """The codes of one block. At the radius that the k-th neighbour needs nearly all rows share a near substring, so
+    no tables of substrings are kept."""
 
     def __init__(self, vectors: np.ndarray, directions: np.ndarray, longest: float, margin: float) -> None:
         self.vectors, self.directions, self.longest, self.margin = vectors, directions, longest, margin
         codes = _codes(_lift(vectors, longest, False), directions)
         self.whole = codes.view(np.uint64)
-        self.tables = [np.unique(column, return_inverse=True) for column in codes.view(np.uint16).T]
 
     def within(self, codes: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of every code within each query's radius: by the pigeonhole principle one of m substrings is
-        within radius/m, so the rows under those substring values are all that can be; their whole codes decide."""
-        near = np.zeros((len(codes), len(self.vectors)), bool)
-        share = (radius // len(self.tables))[:, None]
-        for sub, (values, rows) in zip(codes.view(np.uint16).T, self.tables):
-            near |= (np.bitwise_count(sub[:, None] ^ values[None, :]) <= share)[:, rows]
-        apart = np.zeros(near.shape, np.uint16)
+        """(query, row) of every code within each query's radius."""
+        apart = np.zeros((len(codes), len(self.whole)), np.uint16)
         for ours, theirs in zip(codes.view(np.uint64).T, self.whole.T):
             apart += np.bitwise_count(ours[:, None] ^ theirs[None, :])
-        near &= apart <= radius[:, None]
-        return np.nonzero(near)
+        return np.nonzero(apart <= radius[:, None])
 
     def nearest(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(rows, scores) of the k best of each query. The radius grows until a row at the k-th best angle found would
@@ -122,7 +115,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
 
     The code's rotations are learned on at most ``sample`` distinct vectors; every vector is indexed. Equal vectors are searched
     and found once: of each only the k + 1 smallest ids can be among the nearest. Blocks of queries meet blocks of the
-    index, each with its own multi-index, and only the best k + 1 of each query and block are shuffled.
+    index, and only the best k + 1 of each query and block are shuffled.
     """
     spark, keep = vectors.sparkSession, k + 1
     own = vectors.select("*", is_query.alias("_asks")).select(F.col(id_column), F.col(vector), "_asks")
