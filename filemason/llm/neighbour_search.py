@@ -74,7 +74,7 @@ class Block:
         return np.nonzero(apart <= radius[:, None])
 
     def nearest(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(rows, scores) of the k best of each query. The radius grows until a row at the k-th best angle found would
+        """(rows, scores) of the k best of each query, with all that tie with the last of them. The radius grows until a row at the k-th best angle found would
         have its code inside with the wanted certainty: ``margin`` standard deviations beyond its expected distance."""
         bits = len(self.directions)
         codes = _codes(_lift(queries, self.longest, True), self.directions)
@@ -88,7 +88,7 @@ class Block:
             for at, i in enumerate(todo):
                 rows, scores = r[ends[at]:ends[at + 1]], score[ends[at]:ends[at + 1]]
                 if len(rows) > k:
-                    best = np.argpartition(-scores, k - 1)[:k]
+                    best = scores >= np.partition(scores, -k)[-k]
                     rows, scores = rows[best], scores[best]
                 wanted = bits
                 if len(rows) >= k:

@@ -95,6 +95,18 @@ def test_vectors_that_take_no_part_and_ties(spark):
     assert neighbour_search.search(frame.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_different_vectors_with_equal_scores(spark):
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.integers(0, 2, 10).astype(float).tolist() for i in range(400)}
+    vectors = {i: v for i, v in vectors.items() if any(v)}
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    rows = neighbour_search.search(frame, F.col("vec_id") % 20 == 0, 5, margin=50.0).collect()
+    found = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found == brute(vectors, [i for i in vectors if i % 20 == 0], 5)
+
+
 def test_pipeline_over_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
