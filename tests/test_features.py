@@ -80,8 +80,10 @@ def test_filters(spark):
     assert names(scan_filters.visible(files, "/in", include_hidden=True, size_limit_mb=5)) == [".h.txt", "a.txt", "b.py", "c.md"]
     assert names(scan_filters.visible(files, "/in", max_depth=0)) == []
     assert names(scan_filters.filtered(files, as_of(), min_age_days=10, max_age_days=0)) == [".h.txt", "a.txt", "c.md"]
-    gated = {r["name"]: r["g"] for r in files.withColumn("text", F.lit("t")).select("name", scan_filters.gated_text().alias("g")).collect()}
-    assert gated["a.txt"] == "t" and gated["b.py"] == ""
+    texts = files.withColumn("text", F.lit("t"))
+    gated = lambda **bound: {r["name"]: r["g"] for r in texts.select("name", scan_filters.gated_text(**bound).alias("g")).collect()}
+    assert gated(max_file_size_kb=50) == {"a.txt": "t", ".h.txt": "t", "b.py": "", "c.md": "t"}
+    assert gated() == dict.fromkeys(["a.txt", ".h.txt", "b.py", "c.md"], "t")
 
 
 def test_feature_matrix_and_projection(spark):
