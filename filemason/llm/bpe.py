@@ -105,7 +105,8 @@ def compile_automaton(path: str) -> Automaton:
     reached = {vocabulary[c + e] for c in symbol for e in {"", end} if c + e in vocabulary}
     sharing, like = {0: len(reached)}, {0: len(reached)}
     rows, columns = 1024, 1024
-    barred = np.zeros((rows, columns), bool)
+    barred = np.zeros((rows, columns // 8), np.uint8)  # a bit per state and kind
+    place = lambda k: (int(k) >> 3, np.uint8(7 - (int(k) & 7)))  # noqa: E731  byte and shift of a kind
 
     def own(of: np.ndarray, token: int, share: dict[int, int], always: bool = False) -> tuple[int, int]:
         """Give a token a state or kind of its own, if others share it; (its old one, its present one)."""
@@ -118,26 +119,29 @@ def compile_automaton(path: str) -> Automaton:
 
     for left, right in merges:
         u, v, w = vocabulary[left], vocabulary[right], vocabulary[left + right]
-        if u not in reached or v not in reached or w in reached or barred[state[u], kind[v]]:
+        at, shift = place(kind[v])
+        if u not in reached or v not in reached or w in reached or barred[state[u], at] >> shift & 1:
             continue
         if len(sharing) + 1 >= rows or len(like) + 1 >= columns:
             more = (rows * 2 if len(sharing) + 1 >= rows else rows, columns * 2 if len(like) + 1 >= columns else columns)
-            larger = np.zeros(more, bool)
-            larger[:rows, :columns] = barred
+            larger = np.zeros((more[0], more[1] // 8), np.uint8)
+            larger[:rows, :columns // 8] = barred
             barred, (rows, columns) = larger, more
         leads = int(state[v])
         old, now = own(state, u, sharing, always=u == v)
         if now != old:
             barred[now] = barred[old]
         old, now = own(kind, v, like)
+        at, shift = place(now)
         if now != old:
-            barred[:, now] = barred[:, old]
-        barred[state[u], kind[v]] = True
+            old_at, old_shift = place(old)
+            barred[:, at] |= (barred[:, old_at] >> old_shift & 1) << shift
+        barred[state[u], at] |= np.uint8(1) << shift
         state[w], kind[w] = leads, kind[u]
         sharing[leads] += 1
         like[int(kind[u])] += 1
         reached.add(w)
-    packed = np.packbits(barred[:len(sharing), :len(like)], axis=1)
+    packed = barred[:len(sharing), :(len(like) + 7) // 8]
     usable = {labels[t]: t for t in reached if not end or labels[t].strip(b"\0")}  # with word ends, no word holds a zero byte
     for content, i in special.items():
         labels.setdefault(i, bytes(symbol[c] for c in content) if all(c in symbol for c in content) else content.encode())
