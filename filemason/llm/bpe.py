@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,39 +44,8 @@ class Automaton:
     kind: list[int]
     barred: bytes
     stride: int
-    longest: int
     zero: tuple[int, int]  # the tokens of a zero byte inside and at the end of a word
 
-    def word(self, word: bytes) -> list[int]:
-        """The tokens of a pre-split word.
-
-        ``last[i]`` is the token that ends the only accepted sequence for the first i bytes: an arc whose label ends
-        there and that the state before it allows.
-        """
-        n = len(word)
-        tokens, state, kind, barred, stride = self.tokens, self.state, self.kind, self.barred, self.stride
-        last, longest = [-1] * (n + 1), self.longest
-        size = [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                t = tokens.get(word[start:end])
-                if t is None:
-                    continue
-                if start:
-                    before = last[start]
-                    if before < 0:
-                        continue
-                    k = kind[t]
-                    if barred[state[before] * stride + (k >> 3)] >> (7 - (k & 7)) & 1:
-                        continue
-                last[end], size[end] = t, end - start
-                break
-        found = []
-        while n:
-            found.append(last[n])
-            n -= size[n]
-        return found[::-1]
-
 
 def compile_automaton(path: str) -> Automaton:
     """Merge by merge, from a tokenizers file with a byte-level BPE model.
@@ -146,15 +115,65 @@ def compile_automaton(path: str) -> Automaton:
     for content, i in special.items():
         labels.setdefault(i, bytes(symbol[c] for c in content) if all(c in symbol for c in content) else content.encode())
     return Automaton(usable, labels, special, state.tolist(), kind.tolist(), packed.tobytes(), packed.shape[1],
-                     max(map(len, usable)), tuple(vocabulary.get(next(c for c in symbol if not symbol[c]) + e, -1) for e in ("", end)))
+                     tuple(vocabulary.get(next(c for c in symbol if not symbol[c]) + e, -1) for e in ("", end)))
+
+
+class Arcs:
+    """The usable tokens' labels as a table of transitions by one byte: ``step[node << 8 | byte]`` is the next node and
+    ``token[node]`` the token whose label ends there (-1: none). The table is kept as a dict for single words and, by hashing
+    into a power of two of slots, as arrays for many words at once."""
+
+    SHIFT, FACTOR = 20, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, tokens: dict[bytes, int]) -> None:
+        step, ends = {}, [-1]
+        for label, token in tokens.items():
+            node = 0
+            for byte in label:
+                key = node << 8 | byte
+                node = step.get(key)
+                if node is None:
+                    node = step[key] = len(ends)
+                    ends.append(-1)
+            ends[node] = token
+        self.step, self.ends, self.token = step, ends, np.array(ends, np.int32)
+        while len(step) * 2 > 1 << self.SHIFT:
+            self.SHIFT += 1
+        self.keys, self.nodes = np.full(1 << self.SHIFT, -1, np.int64), np.zeros(1 << self.SHIFT, np.int32)
+        keys, nodes = np.array([*step], np.int64), np.array([*step.values()], np.int32)
+        at = self._slot(keys)
+        while len(keys):  # a slot goes to one of the keys that want it; the others move on
+            free = np.flatnonzero(self.keys[at] < 0)
+            self.keys[at[free]], self.nodes[at[free]] = keys[free], nodes[free]
+            left = np.flatnonzero(self.keys[at] != keys)
+            won = np.flatnonzero(self.keys[at] == keys)
+            self.nodes[at[won]] = nodes[won]
+            keys, nodes, at = keys[left], nodes[left], at[left] + 1 & (1 << self.SHIFT) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * self.FACTOR >> np.uint64(64 - self.SHIFT)).astype(np.int64)
+
+    def follow(self, nodes: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The next node of each, or -1."""
+        keys = nodes.astype(np.int64) << 8 | byte
+        at = self._slot(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.nodes[at], -1)
+        more = np.flatnonzero((there != keys) & (there >= 0))
+        while len(more):
+            at[more] = at[more] + 1 & (1 << self.SHIFT) - 1
+            there = self.keys[at[more]]
+            hit = there == keys[more]
+            out[more[hit]] = self.nodes[at[more[hit]]]
+            more = more[~hit & (there >= 0)]
+        return out
 
 
 class Encoder:
     """Ids of whole texts, as little-endian 32-bit numbers."""
 
-    #: Words of up to so many bytes go through the automaton together, those of one length at a time.
+    #: Words of up to so many bytes go through the automaton together.
     TOGETHER = 32
-    BASE = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, automaton: Automaton) -> None:
         import regex
@@ -166,64 +185,94 @@ class Encoder:
         self.parts: dict[str, bytes] = {}  # ids of what stands between two single spaces, with the first of them
         self.barred = np.frombuffer(automaton.barred, np.uint8).reshape(-1, automaton.stride)
         self.state, self.kind = np.array(automaton.state, np.int32), np.array(automaton.kind, np.int32)
-        arcs: dict[int, list[tuple[int, int]]] = {}
-        for label, token in automaton.tokens.items():
-            if len(label) <= self.TOGETHER:
-                number = 0
-                for byte in label:
-                    number = (number * int(self.BASE) + byte + 1) & (2**64 - 1)
-                arcs.setdefault(len(label), []).append((number, token))
-        self.arcs = {n: (np.array([x for x, _ in sorted(found)], np.uint64), np.array([y for _, y in sorted(found)], np.int32))
-                     for n, found in arcs.items()}
+        self.arcs = Arcs(automaton.tokens)
+
+    def word(self, word: bytes) -> list[int]:
+        """The tokens of a pre-split word of any length: from each byte that an accepted sequence reaches, the transitions are
+        followed byte by byte, and a token that ends on the way is taken if the state before allows it. Each prefix has one
+        accepted sequence at most; ``last[i]`` is the token that ends the one of the first i bytes."""
+        n, machine = len(word), self.machine
+        step, ends, state, kind, barred, stride = self.arcs.step.get, self.arcs.ends, machine.state, machine.kind, machine.barred, machine.stride
+        last, came = [-1] * (n + 1), [0] * (n + 1)
+        for start in range(n):
+            if start and last[start] < 0:
+                continue
+            row, node = state[last[start]] * stride if start else -1, 0
+            for at in range(start, n):
+                node = step(node << 8 | word[at])
+                if node is None:
+                    break
+                t = ends[node]
+                if t >= 0:
+                    k = kind[t]
+                    if row < 0 or not barred[row + (k >> 3)] >> (7 - (k & 7)) & 1:
+                        last[at + 1], came[at + 1] = t, start
+        found = []
+        while n:
+            found.append(last[n])
+            n = came[n]
+        return found[::-1]
 
     def _together(self, words: list[bytes]) -> list[bytes]:
-        """``Automaton.word`` for many words of one length: labels are looked up by 64-bit numbers, all words at once."""
-        n, m = len(words[0]), len(words)
-        text = np.frombuffer(b"".join(words), np.uint8).reshape(m, n)
-        number, power = np.zeros((n + 1, m), np.uint64), [np.uint64(1)]
-        for i in range(n):
-            number[i + 1] = number[i] * self.BASE + (text[:, i].astype(np.uint64) + np.uint64(1))
-            power.append(np.uint64(int(power[-1]) * int(self.BASE) & (2**64 - 1)))
-        last, came = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int32)
-        for end in range(1, n + 1):
-            for start in range(end):
-                if end - start not in self.arcs:
-                    continue
-                numbers, tokens = self.arcs[end - start]
-                wanted = number[end] - number[start] * power[end - start]
-                at = np.searchsorted(numbers, wanted)
-                at[at == len(numbers)] = 0
-                hit = np.flatnonzero(numbers[at] == wanted)
-                found = tokens[at[hit]]
+        """``word`` for many words at once, each up to ``TOGETHER`` bytes long: one array operation for a step of all."""
+        m, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-lengths, kind="stable")  # the longest first: those that reach a byte are a head of the arrays
+        lengths = lengths[order]
+        n = int(lengths[0])
+        text = np.frombuffer(b"".join([words[i].ljust(n, b"\0") for i in order.tolist()]), np.uint8).reshape(m, n).T.copy()
+        reach = np.searchsorted(-lengths, -np.arange(n + 1), side="right")  # words of at least i bytes
+        last, came = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int8)
+        for start in range(n):
+            rows = np.arange(reach[start + 1]) if not start else np.flatnonzero(last[start, :reach[start + 1]] >= 0)
+            nodes, states = np.zeros(len(rows), np.int32), self.state[last[start, rows]] if start else None
+            for end in range(start + 1, n + 1):
+                inside = np.searchsorted(rows, reach[end])
+                if not inside:
+                    break
+                rows, nodes = rows[:inside], nodes[:inside]
+                nodes = self.arcs.follow(nodes, text[end - 1, rows])
+                alive = np.flatnonzero(nodes >= 0)
+                rows, nodes = rows[alive], nodes[alive]
+                token = self.arcs.token[nodes]
                 if start:
-                    k = self.kind[found]
-                    free = self.barred[self.state[last[start, hit]], k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1 == 0
-                    hit, found = hit[free], found[free]
-                last[end, hit], came[end, hit] = found, start
-        ids, used, at, rows = np.zeros((m, n), "<i4"), np.zeros(m, np.int64), np.full(m, n), np.arange(m)
+                    states = states[:inside][alive]
+                    hit = np.flatnonzero(token >= 0)
+                    k = self.kind[token[hit]]
+                    hit = hit[self.barred[states[hit], k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1 == 0]
+                else:
+                    hit = np.flatnonzero(token >= 0)
+                last[end, rows[hit]], came[end, rows[hit]] = token[hit], start
+        ids, used, at, rows = np.zeros((m, n), "<i4"), np.zeros(m, np.int64), lengths.copy(), np.arange(m)
         while len(rows):
             used[rows] += 1
             ids[rows, n - used[rows]] = last[at[rows], rows]
             at[rows] = came[at[rows], rows]
             rows = rows[at[rows] > 0]
         joined, begin = ids.tobytes(), (np.arange(m) * n + n - used) * 4
-        return [joined[x:y] for x, y in zip(begin.tolist(), range(4 * n, 4 * n * m + 1, 4 * n))]
+        out: list[bytes] = [b""] * m
+        for i, x, y in zip(order.tolist(), begin.tolist(), range(4 * n, 4 * n * m + 1, 4 * n)):
+            out[i] = joined[x:y]
+        return out
 
-    def learn(self, words: set[str], end: bytes = b"") -> None:
-        """Encode the words that aren't known yet; ``end`` is what marks the end of a word."""
-        if len(self.words) + len(words) > KEPT_WORDS:
-            self.words.clear()
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
+    def ids(self, words: Iterable[str], end: bytes = b"") -> Iterator[tuple[str, bytes]]:
+        """Words with their ids; ``end`` is what marks the end of a word."""
+        short: list[str] = []
+        raws: list[bytes] = []
         for w in words:
             raw = w.encode("utf-8", "replace") + end
             if len(raw) <= self.TOGETHER:
-                by_length.setdefault(len(raw), []).append((w, raw))
+                short.append(w)
+                raws.append(raw)
             else:
-                self.words[w] = np.array(self.machine.word(raw), "<i4").tobytes()
-        for found in by_length.values():
-            for i in range(0, len(found), 20_000):
-                names, raws = zip(*found[i:i + 20_000])
-                self.words.update(zip(names, self._together(raws)))
+                yield w, np.array(self.word(raw), "<i4").tobytes()
+        for i in range(0, len(short), 20_000):
+            yield from zip(short[i:i + 20_000], self._together(raws[i:i + 20_000]))
+
+    def learn(self, words: set[str]) -> None:
+        """Encode the words that aren't known yet."""
+        if len(self.words) + len(words) > KEPT_WORDS:
+            self.words.clear()
+        self.words.update(self.ids(words))
 
     def _split(self, part: str) -> list[str]:
         """``PATTERN`` on a part with one leading space: plain words, also before a comma or full stop, need no search."""

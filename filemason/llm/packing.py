@@ -26,6 +26,9 @@ class WordEncoder(bpe.Encoder):
     looked up one by one; those not met before are split and go through the automaton together.
     """
 
+    #: Words and what stands between spaces that a task keeps; then it starts afresh.
+    KEPT = 700_000
+
     def __init__(self, automaton: bpe.Automaton) -> None:
         import regex
 
@@ -38,8 +41,6 @@ class WordEncoder(bpe.Encoder):
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
     def _split_word(self, part: str) -> list[str]:
-        if part.isalpha():
-            return [part]
         if part[-1] in ",." and part[:-1].isalpha():
             return [part[:-1], part[-1]]
         return self.words_in(part)
@@ -47,26 +48,23 @@ class WordEncoder(bpe.Encoder):
     def texts(self, texts: list[str]) -> list[bytes]:
         special, parts = {s: np.array([i], "<i4").tobytes() for s, i in self.machine.special.items()}, self.parts
         cut = [[p for p in self.special.split(t) if p] if special and any(s in t for s in special) else [t] for t in texts]
-        rows = [[[s] if s in special else self._normal(s).replace("\n", " ").split(" ") for s in segments] for segments in cut]
-        if len(parts) > bpe.KEPT_PARTS:
+        rows = [[None if s in special else self._normal(s).replace("\n", " ").split(" ") for s in segments] for segments in cut]
+        if len(parts) > self.KEPT:
             parts.clear()
-        parts.update(special)
         parts[""] = b""
-        missing = {w for w in set().union(*(r for segments in rows for r in segments)) if w not in parts}
-        split = {w: self._split_word(w) for w in missing}
-        unknown = {x for found in split.values() for x in found}
-        words = {x for x in unknown if x not in self.words}
-        known = {x: self.words[x] for x in unknown - words}
+        missing = {w for w in set().union(*(r for segments in rows for r in segments if r)) if w not in parts}
+        split = {w: self._split_word(w) for w in missing if not w.isalpha()}
+        words = missing.difference(split)  # letters alone are one word, also where they stand in a longer part
+        words |= {x for found in split.values() for x in found if x not in parts}
         marked = {x for x in words if "\0" in x}  # a zero byte in a text is no word's end
-        self.learn(words - marked, b"\0")
-        known |= {x: self.words[x] for x in words - marked} | {x: self._with_zeros(x) for x in marked}
-        parts.update((w, b"".join([known[x] for x in found])) for w, found in split.items())
+        parts.update(self.ids(words - marked, b"\0"))
+        parts.update((x, self._with_zeros(x)) for x in marked)
+        parts.update((w, b"".join([parts[x] for x in found])) for w, found in split.items())
         get = parts.__getitem__
-        out = [b"".join([b"".join(map(get, r)) for r in segments]) for segments in rows]
-        for w in [w for w in missing if len(w) > 64]:
+        out = [b"".join([special[s] if r is None else b"".join(map(get, r)) for s, r in zip(segments, found)])
+               for segments, found in zip(cut, rows)]
+        for w in [w for w in missing | words if len(w) > 64]:
             del parts[w]
-        for w in [w for w in words - marked if len(w) > 64]:
-            del self.words[w]
         return out
 
     def _with_zeros(self, word: str) -> bytes:
@@ -76,7 +74,7 @@ class WordEncoder(bpe.Encoder):
         pieces = word.encode("utf-8", "replace").split(b"\0")
         for i, piece in enumerate(pieces):
             ending = i == len(pieces) - 1
-            found.append(np.array(self.machine.word(piece + b"\0" if ending else piece), "<i4").tobytes() if piece else b"")
+            found.append(np.array(self.word(piece + b"\0" if ending else piece), "<i4").tobytes() if piece else b"")
             if not ending:
                 found.append(np.array([last if i == len(pieces) - 2 and not pieces[-1] else zero], "<i4").tobytes())
         return b"".join(found)

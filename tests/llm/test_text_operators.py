@@ -37,11 +37,28 @@ def test_automaton_equals_the_library(byte_path):
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert got == want
     for word in ("hello", "ing" * 20, "é日"):
-        assert machine.word(word.encode()) == library.encode(word, add_special_tokens=False).ids
+        assert encoder.word(word.encode()) == library.encode(word, add_special_tokens=False).ids
     for ids in want:
         assert b"".join(machine.labels[i] for i in ids).decode("utf-8", "replace") == library.decode(ids, skip_special_tokens=False)
 
 
+def test_long_runs_without_a_space(byte_path):
+    import time
+
+    library, encoder = Tokenizer.from_file(byte_path), bpe.Encoder(bpe.compile_automaton(byte_path))
+    for run in ("".join(random.choice("abcdefghij") for _ in range(1_000_000)), "-" * 100_000, "ab" * 100_000):
+        start = time.perf_counter()
+        got = np.frombuffer(encoder.texts([run])[0], "<i4").tolist()
+        assert time.perf_counter() - start < 4
+        assert got[:900] == library.encode(run[:60_000], add_special_tokens=False).ids[:900]
+
+
+def test_special_strings_in_other_cases(word_path):
+    library, encoder = Tokenizer.from_file(word_path), packing.WordEncoder(bpe.compile_automaton(word_path))
+    for text in ("<|ENDOFTEXT|> a", "x <|endoftext|> <|EndOfText|> y", "It's 'Quoted', 1.5 - l'été. done.,"):
+        assert np.frombuffer(encoder.texts([text])[0], "<i4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_merge_gadget_on_small_merge_lists(tmp_path):
     """Every string over two letters, for merge lists with overlaps and repeats, against one-merge-at-a-time replacement."""
     import itertools
@@ -52,6 +69,7 @@ def test_merge_gadget_on_small_merge_lists(tmp_path):
         path = tmp_path / "t.json"
         path.write_text(json.dumps({"model": {"vocab": {n: i for i, n in enumerate(dict.fromkeys(names))}, "merges": merges}}))
         machine = bpe.compile_automaton(str(path))
+        encoder = bpe.Encoder(machine)
         for n in range(1, 9):
             for letters in itertools.product("ab", repeat=n):
                 parts = list(letters)
@@ -61,7 +79,7 @@ def test_merge_gadget_on_small_merge_lists(tmp_path):
                         if parts[i:i + 2] == [left, right]:
                             parts[i:i + 2] = [left + right]
                         i += 1
-                assert [machine.labels[t].decode() for t in machine.word("".join(letters).encode())] == parts
+                assert [machine.labels[t].decode() for t in encoder.word("".join(letters).encode())] == parts
 
 
 def test_encode_and_decode_rows(spark, messy, nothing, byte_path):
