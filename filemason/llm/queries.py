@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, line_templates, near_copies, neighbour_search, packing, quality, substrings, token_counts
+from . import bpe, chat, fingerprints, lexical_search, line_templates, near_copies, neighbour_search, packing, quality, substrings, token_counts
 from .common import rank_in_group, small_batches, table
 
 
@@ -139,6 +139,11 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that rank highest for each benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality": op2_quality,
@@ -150,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_templates": op8_line_templates,
     "op9_fingerprints": op9_fingerprints,
     "op10_substrings": op10_substrings,
+    "op11_lexical_search": op11_lexical_search,
 }
 #: The pipeline is registered beside these by the module at the repository's top.
-SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op8_line_templates": OP8_SQL}
+SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op8_line_templates": OP8_SQL, "op11_lexical_search": lexical_search.oracle_sql()}
