@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, lexical_search, license_scan, line_templates, near_copies, neighbour_search, packing, quality, substrings, token_counts
+from . import bpe, chat, fingerprints, lexical_search, license_scan, line_templates, near_copies, neighbour_search, packing, quality, substrings, token_counts, whitening
 from .common import rank_in_group, small_batches, table
 
 
@@ -144,6 +144,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 16 principal axes of the distinct ones, with unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's words, licence phrases and licence labels."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
@@ -161,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_substrings": op10_substrings,
     "op11_lexical_search": op11_lexical_search,
+    "op12_whitening": op12_whitening,
     "op13_license_scan": op13_license_scan,
 }
 #: The pipeline is registered beside these by the module at the repository's top.
