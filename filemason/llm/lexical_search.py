@@ -159,7 +159,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, id_column: str = "doc
     visits = held.withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int")).withColumn(
         "bundle", F.explode(F.sequence(F.lit(0), F.lit(n_bundles - 1))))
     nothing = F.lit(b"")
-    carried = visits.join(copies, ["bundle", "share"]).drop("share").withColumn("at", nothing).withColumn("scores", nothing)
+    carried = visits.join(copies.hint("merge"), ["bundle", "share"]).drop("share").withColumn("at", nothing).withColumn("scores", nothing)
     schema = T._parse_datatype_string(", ".join(f"{name} {kind}" for name, kind in carried.dtypes))
     arrow = to_arrow_schema(schema)
 
