@@ -11,6 +11,7 @@ from ..operators import cluster_report as R
 from ..operators import clustering as C
 from ..operators import neighbours as NB
 from ..operators import vectors as VE
+from ..operators import ward as W
 from . import views
 from .inventory_queries import AGE_SQL
 from .views import CLUSTERED_SQL, FILES_SQL, sql, sql_in
@@ -84,6 +85,16 @@ def bisecting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.bisecting(_embeddings(spark, sf_dir), 8)
 
 
+def ward_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every merge of the vectors by Ward's rule."""
+    return W.ward_merges(_embeddings(spark, sf_dir)).select("a", "b", F.round("height", 6).alias("height"), "size")
+
+
+def ward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's cluster by Ward's rule, as many clusters as by default."""
+    return W.ward(_embeddings(spark, sf_dir)).select("seq", F.col("label").cast("long").alias("label"))
+
+
 def pca_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, _ = _metadata_vectors(spark, sf_dir)
     points, _ = VE.project_2d(VE.standardize(vectors))
@@ -121,7 +132,7 @@ def largest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     common_words, metadata_vector, name_vector, standardised, tfidf, cosine_neighbours, dbscan, dbscan_dense,
     cluster_totals, kmeans, bisecting, pca_points, cluster_counts, cluster_profile, cluster_plan, fallback_plan,
-    cluster_samples, largest_cluster)}
+    cluster_samples, largest_cluster, ward_merges, ward)}
 
 NAME_WORDS_SQL = "list_filter(regexp_split_to_array(lower(name), '[_\\-\\s\\.]+'), lambda w: length(w) > 2)"
 COMMON_WORDS_SQL = f"""
@@ -291,3 +302,39 @@ SQL = {
 
 SQL["tfidf"] = sql(tfidf_sql(V.ENGLISH_STOP_WORDS), """
     SELECT seq, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY seq)), 6) AS weight FROM weighted""")
+
+#: All pairs of mutual nearest clusters merge in a round, until one is left.
+WARD_SQL = ["""
+ward_points AS (
+  SELECT embedding::DOUBLE[] AS c, min(vec_id)::BIGINT AS id, count(*)::DOUBLE AS n FROM embeddings GROUP BY embedding
+)""", """
+ward_rounds AS (
+  SELECT false AS merge, id, NULL::BIGINT AS b, n, c, NULL::DOUBLE AS height FROM ward_points
+  UNION ALL
+  (WITH live AS (SELECT id, n, c FROM ward_rounds WHERE NOT merge),
+   near AS (
+     SELECT x.id, min({'d': 2 * x.n * y.n / (x.n + y.n) * list_distance(x.c, y.c) ** 2, 'other': y.id}) AS best
+     FROM live x JOIN live y ON x.id <> y.id GROUP BY x.id),
+   pairs AS (
+     SELECT x.id AS a, y.id AS b, x.best.d AS d FROM near x JOIN near y ON x.best.other = y.id AND y.best.other = x.id WHERE x.id < y.id),
+   merged AS (
+     SELECT a, b, d, l.n + r.n AS n, list_transform(list_zip(l.c, r.c), lambda z: (z[1] * l.n + z[2] * r.n) / (l.n + r.n)) AS c
+     FROM pairs JOIN live l ON l.id = a JOIN live r ON r.id = b)
+   SELECT false, id, NULL, n, c, NULL FROM live
+   WHERE id NOT IN (SELECT a FROM pairs) AND id NOT IN (SELECT b FROM pairs) AND EXISTS (SELECT 1 FROM pairs)
+   UNION ALL SELECT false, a, NULL, n, c, NULL FROM merged
+   UNION ALL SELECT true, a, b, n, NULL, sqrt(d) FROM merged)
+)"""]
+SQL["ward_merges"] = sql(*WARD_SQL, """
+    SELECT id AS a, b, round(height, 6) AS height, n::BIGINT AS size FROM ward_rounds WHERE merge""", recursive=True)
+SQL["ward"] = sql(*WARD_SQL, """
+    wanted AS (SELECT least(8, greatest(2, count(*) // 4)) AS k FROM embeddings)""", """
+    kept AS (
+      SELECT a, b FROM (SELECT id AS a, b, row_number() OVER (ORDER BY height DESC, id DESC, b DESC) AS n FROM ward_rounds WHERE merge), wanted
+      WHERE n >= k)""", """
+    climbs AS (
+      SELECT id AS first, id AS root FROM ward_points
+      UNION ALL SELECT first, a FROM climbs JOIN kept ON b = root)""", """
+    roots AS (SELECT first, min(root) AS root FROM climbs GROUP BY first)""", """
+    SELECT e.vec_id AS seq, dense_rank() OVER (ORDER BY root) - 1 AS label
+    FROM embeddings e JOIN ward_points p ON p.c = e.embedding::DOUBLE[] JOIN roots r ON r.first = p.id""", recursive=True)

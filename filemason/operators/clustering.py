@@ -1,4 +1,4 @@
-"""DBSCAN, k-means and bisecting (top-down hierarchical) clustering. Input is ``(seq, vector array)``, output ``(seq, label)``."""
+"""DBSCAN and k-means clustering, hierarchical clustering top-down; bottom-up it is in ``ward``. Input is ``(seq, vector array)``, output ``(seq, label)``."""
 
 from __future__ import annotations
 
@@ -157,5 +157,9 @@ def cluster(vectors: DataFrame, algorithm: str = "dbscan", eps: float = 0.5, min
     if algorithm == "kmeans":
         return kmeans(vectors, n_clusters)
     if algorithm == "hierarchical":
+        from .ward import ward
+
+        return ward(vectors, n_clusters)
+    if algorithm == "bisecting":
         return bisecting(vectors, n_clusters)
     raise ValueError(f"unknown clustering algorithm: {algorithm}")
