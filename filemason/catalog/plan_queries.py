@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cluster_report as R
@@ -78,6 +78,27 @@ def execution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AP.execution_summary(log).withColumn("success_rate", F.round("success_rate", 6))
 
 
+def _exchange(files: DataFrame) -> DataFrame:
+    """Every file is copied onto itself and the copy renamed; neighbours (2k and 2k + 1) then change places by way of a third name,
+    which is deleted in the end although nothing is left there."""
+    spare, own = F.concat("parent_dir", F.lit("/.moving")), conflicts.numbered(F.col("path"), F.lit(1))
+    pairs = files.where("seq % 2 = 0").join(files.select((F.col("seq") - 1).alias("seq"), F.col("path").alias("other")), "seq")
+
+    def step(rows: DataFrame, kind: str, source: Column, target: Column | None, at: int) -> DataFrame:
+        return A.action_rows(rows, kind, source=source, destination=target, seq=F.col("seq") * 3 + at)
+
+    return A.compose(
+        step(files, "copy", F.col("path"), F.col("path"), 0), step(files, "rename", own, F.concat("parent_dir", F.lit("/kept")), 0),
+        step(pairs, "move", F.col("path"), spare, 0), step(pairs, "move", F.col("other"), F.col("path"), 1),
+        step(pairs, "move", spare, F.col("other"), 2), step(pairs, "delete", spare, None, 0))
+
+
+def apply_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions that need what earlier ones have freed or made."""
+    files = _inventory(spark, sf_dir)
+    return AP.apply_plan(files, _exchange(files)).files.select("seq", "path")
+
+
 def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus profile before and after its duplicates are deleted and the rest is moved."""
     files = views.files(spark, sf_dir).drop("source")
@@ -113,7 +134,8 @@ def strategy_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    organize_rules, organize_clustering, organize_enrichment, strategy_comparison, conflict_names, dry_run_log, apply_plan, apply_plan_backup, apply_log, execution_summary, before_after)}
+    organize_rules, organize_clustering, organize_enrichment, strategy_comparison, conflict_names, dry_run_log, apply_plan, apply_plan_backup, apply_log, apply_chained, execution_summary,
+    before_after)}
 
 COLLECTED_SQL = """
 wishes AS (
@@ -208,6 +230,9 @@ SQL = {
         SELECT seq, 'move' AS action_type, 'executed' AS status,
                'Moved: ' || regexp_extract(path, '[^/]*$') || ' → ' || final AS message FROM resolved
         UNION ALL SELECT seq, 'delete', 'executed', NULL FROM deletions"""),
+    "apply_chained": sql(FILES_SQL, """
+        SELECT coalesce(o.seq, f.seq) AS seq, f.path FROM files f LEFT JOIN files o ON o.seq = xor(f.seq, 1)
+        UNION ALL SELECT seq, parent_dir || '/kept' FROM files"""),
     "execution_summary": sql(FILES_SQL, DUP_SQL, """
         counts AS (
           SELECT (SELECT count(*) FROM files WHERE seq IN (SELECT doc_id FROM labels)) AS failed,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..session import materialize
+from . import chains
 from .actions import action_text, ordered
 from .conflicts import resolve
 
@@ -60,11 +61,12 @@ class Applied:
 
 
 def apply_plan(files: DataFrame, actions: DataFrame, backup: bool = False, backup_dir: str = ".backups") -> Applied:
-    """Apply a plan to an inventory as one table transformation.
+    """Apply a plan to an inventory as one table transformation, with the outcome of its actions running one after another.
 
-    Copies, moves and renames need their source: it must be in the inventory and not have been moved or
-    renamed by an earlier action. Destinations that are planned directories receive the file's name.
-    Deleting what is no longer there counts as executed. With ``backup`` a deleted file leaves a copy.
+    Copies, moves and renames need their source: it must be in the inventory, or where an earlier action put it, and not
+    have been moved or renamed since. A name that an action frees can be taken by later ones. Destinations that are planned
+    directories receive the file's name. Deleting what is no longer there counts as executed. With ``backup`` a deleted file
+    leaves a copy. Actions that share no name with others are resolved by ranks, the others folded by ``chains``.
     """
     todo = numbered_actions(actions)
     here = files.select(F.col("path").alias("source")).distinct().withColumn("known", F.lit(True))
@@ -78,35 +80,46 @@ def apply_plan(files: DataFrame, actions: DataFrame, backup: bool = False, backu
     placed_ok = F.col("known") & (F.col("first_order").isNull() | (F.col("first_order") >= F.col("order")))
     relocated = F.col("known") & F.col("first_order").isNotNull()
     target = F.when(F.col("is_dir"), F.concat("destination", F.lit("/"), P.file_name(F.col("source")))).otherwise(F.col("destination"))
-    status = (
-        F.when(kind.isin(PLACED), F.when(F.coalesce(placed_ok, F.lit(False)), "executed").otherwise("failed"))
-        .when((kind == "delete") & F.coalesce(F.col("known") & ~F.coalesce(relocated, F.lit(False)), F.lit(False)), "executed")
-        .when(kind == "delete", "nothing to delete")
-        .otherwise("executed")
+    ok = (
+        F.when(kind.isin(PLACED), F.coalesce(placed_ok, F.lit(False)))
+        .when(kind == "delete", F.coalesce(F.col("known") & ~F.coalesce(relocated, F.lit(False)), F.lit(False)))
+        .otherwise(True)
     )
     state = materialize(
-        state.select("order", "seq", "action_type", "source", "reason", status.alias("status"),
-                     F.when(kind.isin(PLACED), target).otherwise(F.col("destination")).alias("destination")), "state")
-    done = state.where("status = 'executed'")
-    placed = done.where(F.col("action_type").isin(PLACED))
-    final = materialize(resolve(placed.select("order", "destination"), files.select("path")).select("order", "final"), "final")
-    placed = placed.join(final, "order")
-
-    moved = placed.where(F.col("action_type").isin("move", "rename")).select(F.col("source").alias("path"), "final")
-    copied = placed.where("action_type = 'copy'").select(F.col("source").alias("path"), "final")
-    deleted = done.where("action_type = 'delete'").select(F.col("source").alias("path")).distinct()
-
+        state.select("order", "seq", "action_type", "source", "reason", ok.alias("ok"),
+                     F.when(kind.isin(PLACED), target).otherwise(F.col("destination")).alias("target")), "state")
+
+    plain = state
+    tangled = chains.tangled_names(state)
+    if tangled is not None:
+        chained = materialize(chains.run_chained(state, files, *tangled), "chained")
+        plain = state.join(chained, "order", "left_anti")
+    wishes = plain.where(kind.isin(PLACED) & F.col("ok"))
+    final = resolve(wishes.select("order", F.col("target").alias("destination")), files.select("path")).select("order", "final")
+    missing = F.when(kind == "delete", "nothing to delete").otherwise("failed")
+    outcome = plain.select("order", F.when(F.col("ok"), "executed").otherwise(missing).alias("status"),
+                           F.when(F.col("ok"), F.col("source")).alias("origin"), F.lit(-1).cast("bigint").alias("made"))
+    outcome = outcome.join(final, "order", "left").select("order", "status", "final", "origin", "made")
+    if tangled is not None:
+        outcome = outcome.unionByName(chained)
+    done = materialize(state.drop("ok").join(outcome, "order"), "done")
+
+    executed = done.where("status = 'executed'")
+    consuming = executed.where(kind.isin("move", "rename", "delete"))
     columns = files.columns
 
     def at_new_path(rows: DataFrame) -> DataFrame:
         return rows.withColumn("path", F.col("final")).transform(P.with_path_columns).select(*columns)
 
-    leaving = moved.select("path").unionByName(deleted)
+    leaving = consuming.where("made = -1").select(F.col("origin").alias("path")).distinct()
     kept = files.join(leaving, "path", "left_anti").select(*columns)
-    after = kept.unionByName(at_new_path(files.join(moved, "path"))).unionByName(at_new_path(files.join(copied, "path")))
+    moved_on = consuming.where("made >= 0").select(F.col("made").alias("order"))
+    arrived = executed.where(kind.isin(PLACED)).join(moved_on, "order", "left_anti").select(F.col("origin").alias("path"), "final")
+    after = kept.unionByName(at_new_path(files.join(arrived, "path")))
     if backup:
+        deleted = executed.where("action_type = 'delete'").select(F.col("origin").alias("path"), F.col("source").alias("at")).distinct()
         saved = files.join(deleted, "path").withColumn(
-            "final", F.concat(P.parent_dir(F.col("path")), F.lit(f"/{backup_dir}/"), P.file_name(F.col("path")), F.lit(".backup")))
+            "final", F.concat(P.parent_dir(F.col("at")), F.lit(f"/{backup_dir}/"), P.file_name(F.col("at")), F.lit(".backup"))).drop("at")
         after = after.join(saved.select(F.col("final").alias("path")), "path", "left_anti").unionByName(at_new_path(saved))
 
     name, target = P.file_name(F.col("source")), F.coalesce("final", "destination")
@@ -118,7 +131,7 @@ def apply_plan(files: DataFrame, actions: DataFrame, backup: bool = False, backu
         .when(kind == "rename", F.concat(F.lit("Renamed: "), name, F.lit(" → "), P.file_name(target)))
         .when(F.col("status") == "executed", F.concat(F.lit("Deleted: "), name, F.lit(" ("), F.col("reason"), F.lit(")")))
     )
-    log = state.join(final, "order", "left").select(
+    log = done.withColumnRenamed("target", "destination").select(
         "order", "seq", "action_type", "source",
         F.when(F.col("status") == "failed", "failed").otherwise("executed").alias("status"), message.alias("message"))
     return Applied(after, log)

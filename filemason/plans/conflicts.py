@@ -32,7 +32,7 @@ def numbered(path: Column, number: Column) -> Column:
     return X.let(parts, lambda p: F.concat(p["folder"], p["stem"], tail, p["ext"]))
 
 
-def _parent(path: Column) -> Column:
+def parent_name(path: Column) -> Column:
     """``(name, number)`` when the path reads ``name`` numbered once, else NULL."""
     def strip(p: Column) -> Column:
         tail = F.regexp_extract(p["stem"], r"_([1-9][0-9]{0,17})$", 1)
@@ -89,7 +89,7 @@ def resolve(wishes: DataFrame, existing: DataFrame, chunk: int = CHUNK) -> DataF
     * otherwise the family of such names is numbered one by one in a grouped task, but only as many
       wishes per name as its highest foreign number; the rest follow from the last number given.
 
-    Existing names count as taken throughout, also when the plan moves the file away.
+    Existing names count as taken throughout; plans that free names they also wish go through ``chains``.
     """
     wishes = materialize(wishes.select("order", F.col("destination").alias("name")), "wishes")
     names = wishes.groupBy("name").agg(F.count("*").alias("n"))
@@ -107,7 +107,7 @@ def resolve(wishes: DataFrame, existing: DataFrame, chunk: int = CHUNK) -> DataF
         "name", "family", F.coalesce("contested", F.lit(False)).alias("contested")), "families")
 
     # Numbers already used under names that need numbers, by existing files.
-    used = held.select(_parent(F.col("name")).alias("p")).where("p IS NOT NULL").select("p.name", "p.number")
+    used = held.select(parent_name(F.col("name")).alias("p")).where("p IS NOT NULL").select("p.name", "p.number")
     used = materialize(used.join(family, "name", "left_semi").distinct(), "used")
 
     free = wishes.join(family, "name", "left_anti").select("order", "name", F.lit(0).cast("bigint").alias("number"))
@@ -131,7 +131,7 @@ def resolve(wishes: DataFrame, existing: DataFrame, chunk: int = CHUNK) -> DataF
 
     # Contested families: fold the first wishes of each name, up to its highest foreign number.
     foreign = used.unionByName(
-        names.select(_parent(F.col("name")).alias("p")).where("p IS NOT NULL").select("p.name", "p.number"))
+        names.select(parent_name(F.col("name")).alias("p")).where("p IS NOT NULL").select("p.name", "p.number"))
     foreign = foreign.groupBy("name").agg(F.max("number").alias("highest"))
     knotted = ranked.where("contested").join(foreign, "name", "left").withColumn(
         "folded", F.coalesce("highest", F.lit(0)) + 1)
