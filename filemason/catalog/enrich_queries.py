@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from .. import fixed_values as V
 from ..functions import text as X
 from ..operators import enrich as E
 from ..operators import usage as U
+from ..operators.budget import Budget
+from ..session import scratch_root
 from ..sources import cache_store as CS
+from ..sources.result_store import ResultStore
 from . import views
 from .inventory_queries import AS_OF_SQL
 from .usage_queries import _PRICES
@@ -51,6 +56,23 @@ def enrich_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq", "summary", "category", "topics", "importance", "suggested_folder", "confidence", "prompt_tokens")
 
 
+def enrich_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files after a run that has read the labelled ones: their results come from the store."""
+    files = views.files(spark, sf_dir)
+    labelled = views.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"))
+    run = E.ModelRun(views.as_of(), ResultStore(spark, f"{scratch_root(spark)}/results-{uuid.uuid4().hex}"))
+    E.summarize(files.join(labelled, "seq", "left_semi"), run=run)
+    return E.summarize(files, run=run).select("seq", "origin", "summary", "category", "confidence", "prompt_tokens")
+
+
+def enrich_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files under a limit that a part of them uses up, with what their calls cost."""
+    run = E.ModelRun(views.as_of(), budget=Budget(0.5, "openai", "gpt-4"))
+    summaries = E.summarize(views.files(spark, sf_dir), run=run)
+    priced = U.with_cost(summaries.withColumns({"provider": F.lit("openai"), "model": F.lit("gpt-4")}))
+    return priced.select("seq", "origin", "category", F.round("cost_usd", 6).alias("cost_usd"))
+
+
 def usage_metering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger rows of the stub's calls, with costs, in total."""
     summaries = E.summarize(views.files(spark, sf_dir))
@@ -133,7 +155,7 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     prompts, metadata_summaries, parsed_answers, enrich_stub, usage_metering, budget_cut, category_report,
     category_files, folder_prompt, fallback_folders, folder_match, enrichment_plan, enrichment_preview,
-    cache_key, cache_split, cache_stats, cache_upsert)}
+    cache_key, cache_split, cache_stats, cache_upsert, enrich_cached, enrich_limited)}
 
 
 def _prompt_sql(task: str) -> str:
@@ -189,7 +211,7 @@ listed AS (
 )"""
 STUB_SQL = f"""
 stub AS (
-  SELECT seq, name, file_type, size, text, size <= 51200 AND file_type IN ('document', 'code') AND text <> '' AS asked,
+  SELECT seq, name, file_type, size, text, file_type IN ('document', 'code') AND text <> '' AS asked,
          {_category_sql(False)} AS asked_category, {_category_sql(True)} AS category, {_FOLDER_SQL} AS folder,
          {_prompt_sql("Describe this file.")} AS prompt
   FROM files
@@ -235,6 +257,20 @@ SQL = {
                CASE WHEN asked THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence,
                CASE WHEN asked THEN prompt_tokens ELSE 0 END::BIGINT AS prompt_tokens
         FROM stub_calls"""),
+    "enrich_cached": sql(FILES_SQL, STUB_SQL, """
+        SELECT seq, CASE WHEN NOT asked THEN 'metadata' WHEN doc_id IS NULL THEN 'model' ELSE 'cache' END AS origin,
+               CASE WHEN asked THEN 'About ' || name ELSE file_type || ' file: ' || name END AS summary,
+               CASE WHEN asked THEN asked_category ELSE category END AS category, CASE WHEN asked THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence,
+               CASE WHEN asked AND doc_id IS NULL THEN prompt_tokens ELSE 0 END::BIGINT AS prompt_tokens
+        FROM stub_calls LEFT JOIN (SELECT DISTINCT doc_id FROM labels) ON doc_id = seq"""),
+    "enrich_limited": sql(FILES_SQL, STUB_SQL, f"""
+        prices(provider, model, input, output) AS (VALUES {_PRICES})""", """
+        costs AS (
+          SELECT *, CASE WHEN asked THEN (prompt_tokens / 1000 * input + completion_tokens / 1000 * output)::DECIMAL(30, 12) ELSE 0 END AS cost
+          FROM stub_calls, prices WHERE model = 'gpt-4')""", """
+        admitted AS (SELECT *, asked AND sum(cost) OVER (ORDER BY seq) - cost < 0.5 AS used FROM costs)""", """
+        SELECT seq, CASE WHEN used THEN 'model' ELSE 'metadata' END AS origin, CASE WHEN used THEN asked_category ELSE category END AS category,
+               CASE WHEN used THEN round(cost::DOUBLE, 6) ELSE 0 END::DOUBLE AS cost_usd FROM admitted"""),
     "usage_metering": sql(FILES_SQL, STUB_SQL, f"""
         prices(provider, model, input, output) AS (VALUES {_PRICES})""", """
         SELECT round(sum(prompt_tokens / 1000 * input + completion_tokens / 1000 * output), 4) AS cost_usd, count(*) AS calls

@@ -9,9 +9,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +21,12 @@ from .. import fixed_values as V
 from ..functions import text as X
 from ..session import materialize
 from ..plans.actions import action_rows, compose
-from ..schemas import ANSWER, FOLDER_ANSWER
+from ..schemas import ANSWER, FOLDER_ANSWER, USAGE
+from ..sources import cache_store
+from ..sources import ledger as usage_ledger
+from ..sources.result_store import ResultStore
+from . import budget, usage
+from .budget import Budget
 from .near_duplicates import first_per_group
 from .ranking import running_sum
 from .scan_filters import gated_text
@@ -152,32 +159,95 @@ def metadata_summaries(files: DataFrame) -> DataFrame:
                         metadata_summary().alias("s")).select("seq", "file_name", "file_path", "file_type", "s.*")
 
 
+@dataclass
+class ModelRun:
+    """What surrounds the model calls of a run: results kept from earlier runs, a cost limit, and a ledger of the calls.
+
+    ``store`` is looked up before the model and takes the new results, under keys salted by ``salt`` (say, the model and the
+    prompt's version) that expire after ``ttl_seconds``, if given. ``budget`` names provider and model and limits what is spent; what the ledger has already
+    counts as spent. Every call goes to the ledger at ``ledger``, those for folders too.
+    """
+
+    at: Column
+    store: ResultStore | None = None
+    budget: Budget | None = None
+    ledger: str | None = None
+    salt: str | None = None
+    ttl_seconds: int | None = None
+    operation: str = "organization"
+
+    def start(self, spark: SparkSession) -> None:
+        """Refuses to start when the limit is already reached."""
+        if self.budget is None:
+            return
+        if self.ledger is not None and not self.budget.spent_usd:
+            try:
+                self.budget.spent_usd = usage.totals(usage_ledger.read(spark, self.ledger)).first()["cost_usd"]
+            except AnalysisException:  # no ledger yet
+                self.budget.spent_usd = 0.0
+        self.budget.start()
+
+    def record(self, calls: DataFrame) -> None:
+        """Append the ledger rows of calls that used tokens."""
+        if self.ledger is not None:
+            about = self.budget or Budget(0.0)
+            rows = metered(calls, about.provider, about.model, self.at, self.operation)
+            usage_ledger.append(usage.with_cost(rows, about.prices).select(*USAGE.fieldNames()), self.ledger)
+
+
 def summarize(files: DataFrame, make_model: Callable[[], Model] = offline_model, content: str = "text",
               max_file_size_kb: int | None = None, batch_size: int = 5, criteria: str | None = None,
-              max_chars: int | None = None) -> DataFrame:
+              max_chars: int | None = None, run: ModelRun | None = None) -> DataFrame:
     """Summaries by the model for text files with content, by metadata for all others and for failures.
 
-    Carries ``prompt_tokens`` and ``completion_tokens`` (0 where no model was asked). The answers are written once, so
-    that the model is called once per file, however often the summaries are used. Whole texts are read, of any size, unless
-    ``max_file_size_kb`` or ``max_chars`` bounds them.
+    Carries ``prompt_tokens`` and ``completion_tokens`` (0 where no model was asked) and ``origin``: 'model', 'cache' or 'metadata'. The
+    answers are written once, so that the model is called once per file, however often the summaries are used. Whole texts are
+    read, of any size, unless ``max_file_size_kb`` or ``max_chars`` bounds them. With a ``run``, results kept by its store are used instead of
+    the model (failures aren't kept), files beyond its budget get metadata summaries, and its ledger gets the calls.
     """
     files = files.withColumn("content", gated_text(content, max_file_size_kb))
-    keep = ["seq", "name", "path", "file_type"]
-    asked = files.where(F.col("content") != "").select(*keep, analysis_prompt(F.col("content"), criteria, max_chars).alias("prompt"))
-    answered = materialize(infer(asked, make_model, batch_size).drop("prompt"), "answers").withColumn("parsed", parsed_answer(F.col("answer")))
+    keep, zero = ["seq", "name", "path", "file_type"], F.lit(0).cast("bigint")
+    named = [F.col("name").alias("file_name"), F.col("path").alias("file_path"), "file_type"]
+    prompt = analysis_prompt(F.col("content"), criteria, max_chars).alias("prompt")
+    texts = files.where(F.col("content") != "")
+    stored = None
+    if run is not None and run.store is not None:
+        stored, texts = run.store.split(texts, run.at, cache_store.cache_key(run.salt))
+        keep = [*keep, "key"]
+    asked = texts.select(*keep, prompt)
+    if run is not None and run.budget is not None:
+        answered, paid = budget.answered_within(asked, run.budget, lambda rows: infer(rows, make_model, batch_size))
+        answered = answered.drop("prompt")
+    else:
+        answered = paid = materialize(infer(asked, make_model, batch_size).drop("prompt"), "answers")
+    answered = answered.withColumn("parsed", parsed_answer(F.col("answer")))
     failed = F.col("answer").isNull() | (F.col("parsed.form") == "not an object")
     chosen = [F.when(failed, metadata_summary()[f]).otherwise(F.col(f"parsed.{f}")).alias(f) for f in SUMMARY_FIELDS]
-    named = [F.col("name").alias("file_name"), F.col("path").alias("file_path"), "file_type"]
-    by_model = answered.select("seq", *named, *chosen, "prompt_tokens", "completion_tokens")
-    zero = F.lit(0).cast("bigint")
-    by_metadata = metadata_summaries(files.where(F.col("content") == "")).select(
-        "*", zero.alias("prompt_tokens"), zero.alias("completion_tokens"))
-    return by_model.unionByName(by_metadata)
-
-
-def metered(summaries: DataFrame, provider: str, model: str, at: Column, operation: str = "organization") -> DataFrame:
-    """Ledger rows, still without cost, for the model calls behind summaries."""
-    return summaries.where("prompt_tokens + completion_tokens > 0").select(
+    tokens = ["prompt_tokens", "completion_tokens"]
+    by_model = answered.select("seq", *named, *chosen, *tokens, F.when(failed, "metadata").otherwise("model").alias("origin"))
+    untold = files.where(F.col("content") == "")
+    if run is not None and run.budget is not None:
+        untold = untold.select(*files.columns).unionByName(texts.select(*files.columns).join(answered.select("seq"), "seq", "left_anti").select(*files.columns))
+    by_metadata = metadata_summaries(untold).select("*", *(zero.alias(t) for t in tokens), F.lit("metadata").alias("origin"))
+    summaries = by_model.unionByName(by_metadata)
+    if run is None:
+        return summaries
+    if stored is not None:
+        told = F.from_json("value", ANSWER)
+        summaries = summaries.unionByName(stored.select("seq", *named, told.alias("told")).select(
+            "seq", "file_name", "file_path", "file_type", *(F.col(f"told.{f}") for f in SUMMARY_FIELDS), *(zero.alias(t) for t in tokens),
+            F.lit("cache").alias("origin")))
+    summaries = materialize(summaries, "summaries")  # before the store goes on
+    run.record(paid)
+    if run.store is not None:
+        new = answered.where(~failed).select("key", F.to_json(F.struct(*(F.col(f"parsed.{f}").alias(f) for f in SUMMARY_FIELDS))).alias("value"))
+        run.store.upsert(cache_store.entries(new, F.col("key"), F.col("value"), run.at, run.ttl_seconds))
+    return summaries
+
+
+def metered(calls: DataFrame, provider: str, model: str, at: Column, operation: str = "organization") -> DataFrame:
+    """Ledger rows, still without cost, for model calls (or the summaries they led to)."""
+    return calls.where("prompt_tokens + completion_tokens > 0").select(
         at.alias("timestamp"), F.lit(provider).alias("provider"), F.lit(model).alias("model"),
         "prompt_tokens", "completion_tokens", F.lit(operation).alias("operation"))
 
@@ -224,10 +294,13 @@ def fallback_folders(summaries: DataFrame) -> DataFrame:
     return category_report(summaries).select("first_seq", F.posexplode(folders).alias("pos", "folder"))
 
 
-def propose_folders(summaries: DataFrame, make_model: Callable[[], Model] | None = None, criteria: str | None = None) -> list[str]:
+def propose_folders(summaries: DataFrame, make_model: Callable[[], Model] | None = None, criteria: str | None = None,
+                    run: ModelRun | None = None) -> list[str]:
     """Folder paths from one model call over the folder prompt, or the fallback without a (usable) answer."""
     if make_model is not None:
-        asked = infer(folder_prompt(summaries, criteria), make_model, 1)
+        asked = materialize(infer(folder_prompt(summaries, criteria), make_model, 1), "folders")
+        if run is not None:
+            run.record(asked)
         answer = F.try_parse_json("answer")
         usable = asked.where(F.schema_of_variant(answer).startswith("OBJECT")).select(
             F.from_json("answer", FOLDER_ANSWER)["directories"].alias("d")).first()

@@ -32,10 +32,14 @@ def clustering_strategy(files: DataFrame, as_of: Column, min_cluster_size: int =
 
 
 def enrichment_strategy(files: DataFrame, make_model: Callable = enrich.offline_model, folder_model: Callable | None = None,
-                        reason_chars: int | None = None, **options) -> DataFrame:
-    summaries = enrich.summarize(files, make_model, **options)
-    return enrich.enrichment_plan(summaries, enrich.propose_folders(summaries, folder_model, options.get("criteria")),
-                                  reason_chars=reason_chars)
+                        reason_chars: int | None = None, run: enrich.ModelRun | None = None, **options) -> DataFrame:
+    """Moves into folders proposed from the files' summaries. A ``run`` brings results of earlier runs, a cost limit (reached
+    before the first call, the run is refused) and a ledger of the calls."""
+    if run is not None:
+        run.start(files.sparkSession)
+    summaries = enrich.summarize(files, make_model, run=run, **options)
+    folders = enrich.propose_folders(summaries, folder_model, options.get("criteria"), run)
+    return enrich.enrichment_plan(summaries, folders, reason_chars=reason_chars)
 
 
 def rules_strategy(files: DataFrame, as_of: Column, rules: R.RuleSet | None = None, target: str = "organized") -> DataFrame:
