@@ -1,107 +1,135 @@
-"""Directory trees as inventories: a Spark data source that lists subtrees in parallel."""
+"""Directory trees as inventories: folders are listed in rounds of jobs, and files are looked at by as many tasks as there are."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from ..functions import paths as P
 from ..schemas import FILES, SCANNED
 from ..session import materialize
 
-NAME = "file_inventory"
-
-
-@dataclass
-class _Subtree(InputPartition):
-    """A folder at some depth below the root; listed alone or with everything under it."""
-
-    path: str
-    depth: int
-    deep: bool
-
-
-class _InventoryReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.root = os.path.abspath(options["path"])
-        self.hidden = str(options.get("include_hidden", "false")).lower() == "true"
-        depth = options.get("max_depth", "")
-        self.max_depth = int(depth) if depth not in ("", None) else None
-        self.limit_bytes = float(options.get("size_limit_mb", 0) or 0) * 1048576
-        self.split_depth = int(options.get("split_depth", 2))
-
-    def _entries(self, folder: str) -> tuple[list[os.DirEntry], str | None]:
-        try:
-            with os.scandir(folder) as it:
-                found = [e for e in it if self.hidden or not e.name.startswith(".")]
-            return found, None
-        except OSError as e:
-            return [], f"Cannot access {folder}: {e}"
-
-    def partitions(self) -> list[InputPartition]:
-        """Folders above ``split_depth`` one by one, and each folder at that depth as a whole subtree."""
-        parts, level = [], [self.root]
-        for depth in range(self.split_depth):
-            parts += [_Subtree(p, depth, False) for p in level]
-            level = [e.path for p in level for e in self._entries(p)[0] if e.is_dir(follow_symlinks=False)]
-        return parts + [_Subtree(p, self.split_depth, True) for p in level]
-
-    def read(self, part: _Subtree) -> Iterator[tuple]:
-        todo = [(part.path, part.depth)]
-        while todo:
-            folder, depth = todo.pop()
-            if self.max_depth is not None and depth > self.max_depth:
-                continue
-            entries, error = self._entries(folder)
-            if error:
-                yield folder, None, None, None, None, error
-            for entry in entries:
-                try:
-                    if entry.is_dir(follow_symlinks=False):
-                        if part.deep:
-                            todo.append((entry.path, depth + 1))
-                    elif entry.is_file():
-                        s = entry.stat()
-                        if not self.limit_bytes or s.st_size <= self.limit_bytes:
-                            yield entry.path, s.st_size, s.st_ctime, s.st_mtime, s.st_atime, None
-                except OSError as e:
-                    yield entry.path, None, None, None, None, f"Cannot access {entry.path}: {e}"
+#: Folders that a task lists for each folder it was given, in the first round and at most; the rest is dealt out anew.
+FIRST_BURST, LAST_BURST = 8, 512
+_LISTED = "kind string, path string, depth int, error string"
 
 
-class InventorySource(DataSource):
-    """``spark.read.format("file_inventory").load(root)``; options include_hidden, max_depth, size_limit_mb
-    and split_depth. Linked folders are not followed, so that a loop of links cannot occur."""
+def _is_loop(path: str) -> bool:
+    """Whether a linked folder is one of the folders on the way to it, by device and inode."""
+    own = os.stat(path)
+    above = os.path.dirname(path)
+    while True:
+        there = os.stat(above)
+        if (there.st_dev, there.st_ino) == (own.st_dev, own.st_ino):
+            return True
+        if above == os.path.dirname(above):
+            return False
+        above = os.path.dirname(above)
 
-    @classmethod
-    def name(cls) -> str:
-        return NAME
 
-    def schema(self) -> StructType:
-        return SCANNED
+def list_folder(folder: str, hidden: bool) -> Iterator[tuple[str, str, str | None]]:
+    """``(kind, path, error)`` of what a folder holds: files, folders (through links too) and what can't be read."""
+    try:
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                if not hidden and entry.name.startswith("."):
+                    continue
+                try:
+                    if entry.is_file():
+                        yield "file", entry.path, None
+                    elif entry.is_dir():
+                        if entry.is_symlink() and _is_loop(entry.path):
+                            yield "error", entry.path, f"Loop of links: {entry.path}"
+                        else:
+                            yield "folder", entry.path, None
+                except OSError as e:
+                    yield "error", entry.path, f"Cannot access {entry.path}: {e}"
+    except OSError as e:
+        yield "error", folder, f"Cannot access {folder}: {e}"
+
+
+def _expand(folders: DataFrame, hidden: bool, max_depth: int | None, burst: int) -> DataFrame:
+    """Files, errors and folders still to list, after each given folder and up to ``burst`` folders below it were listed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for path, depth in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                todo = [(path, depth)]
+                listed = 0
+                while todo and listed < burst:
+                    folder, at = todo.pop()
+                    listed += 1
+                    for kind, found, error in list_folder(folder, hidden):
+                        if kind == "folder":
+                            if max_depth is None or at < max_depth:
+                                todo.append((found, at + 1))
+                            continue
+                        rows.append((kind, found, at, error))
+                        if len(rows) >= 10_000:
+                            yield told(rows)
+                            rows = []
+                rows += [("folder", p, d, None) for p, d in todo]
+        yield told(rows)
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [(), (), (), ()]
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["kind", "path", "depth", "error"])
+
+    return folders.mapInArrow(run, _LISTED)
+
+
+def _looked_at(files: DataFrame, limit_bytes: float) -> DataFrame:
+    """The files' sizes and times."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    s = os.stat(path)
+                    if not limit_bytes or s.st_size <= limit_bytes:
+                        rows.append((path, s.st_size, s.st_ctime, s.st_mtime, s.st_atime, None))
+                except OSError as e:
+                    rows.append((path, None, None, None, None, f"Cannot access {path}: {e}"))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=SCANNED.fieldNames())
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _InventoryReader(self.options)
+    return files.mapInArrow(run, SCANNED)
 
 
 def scan_tree(spark: SparkSession, root: str, include_hidden: bool = False, max_depth: int | None = None,
-              size_limit_mb: float | None = None) -> DataFrame:
-    """Files and unreadable paths (``error`` set) under a folder that every executor can reach."""
+              size_limit_mb: float | None = None, tasks: int | None = None) -> DataFrame:
+    """Files and unreadable paths (``error`` set) under a folder that every executor can reach.
+
+    Folders are listed in rounds: each task lists the folders it was given and some below them, and what is left is dealt out
+    to all tasks again, so neither a wide nor a deep branch stays with one of them. Each round is written. Files are dealt
+    out by their paths before they are looked at, those of one folder too. Linked folders are followed unless that
+    would lead back to a folder on the way; such loops are errors. The driver lists nothing.
+    """
     if not os.path.exists(root):
         raise FileNotFoundError(f"Directory does not exist: {root}")
     if not os.path.isdir(root):
         raise NotADirectoryError(f"Path is not a directory: {root}")
-    spark.dataSource.register(InventorySource)
-    return (
-        spark.read.format(NAME).option("include_hidden", str(include_hidden).lower())
-        .option("max_depth", "" if max_depth is None else str(max_depth))
-        .option("size_limit_mb", str(size_limit_mb or 0)).load(root)
-    )
+    tasks = tasks or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    todo = spark.createDataFrame([(os.path.abspath(root), 0)], "path string, depth int")
+    if max_depth is not None and max_depth < 0:
+        todo = todo.limit(0)
+    rounds, burst = [], FIRST_BURST
+    while not todo.isEmpty():
+        found = materialize(_expand(todo.repartition(tasks, "path"), include_hidden, max_depth, burst), "listed")
+        rounds.append(found.where("kind <> 'folder'"))
+        todo = found.where("kind = 'folder'").select("path", "depth")
+        burst = min(LAST_BURST, burst * 2)
+    listed = reduce(DataFrame.unionByName, rounds) if rounds else spark.createDataFrame([], _LISTED)
+    files = listed.where("kind = 'file'").select("path").repartition(tasks, "path")
+    errors = listed.where("kind = 'error'").select("path", *(F.lit(None).cast(f.dataType).alias(f.name) for f in SCANNED.fields[1:-1]), "error")
+    return materialize(_looked_at(files, float(size_limit_mb or 0) * 1048576).unionByName(errors), "scanned")
 
 
 def as_files(scanned: DataFrame) -> DataFrame:

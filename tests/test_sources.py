@@ -65,12 +65,38 @@ def test_inventory_rows(spark, tree):
 
 
 def test_scan_errors(spark, tree):
-    reader = inventory._InventoryReader({"path": str(tree)})
-    gone = list(reader.read(inventory._Subtree(str(tree / "missing"), 1, True)))
-    assert gone[0][1] is None and gone[0][5].startswith(f"Cannot access {tree / 'missing'}")
+    gone = list(inventory.list_folder(str(tree / "missing"), False))
+    assert gone[0][0] == "error" and gone[0][2].startswith(f"Cannot access {tree / 'missing'}")
     assert inventory.scan_errors(inventory.scan_tree(spark, str(tree))).count() == 0
 
 
+def test_links_are_followed_but_not_in_circles(spark, tree):
+    (tree / "other").symlink_to(tree / "sub")
+    (tree / "sub/back").symlink_to(tree)
+    (tree / "sub/deep/self").symlink_to(tree / "sub/deep")
+    (tree / "broken").symlink_to(tree / "nowhere")
+    scanned = inventory.scan_tree(spark, str(tree))
+    assert names(inventory.as_files(scanned)) == sorted(["a.txt", "b.txt", "big.bin", "c.py", "d.md", "empty.txt", "b.txt", "big.bin", "c.py"])
+    loops = [r["path"].removeprefix(str(tree)) for r in inventory.scan_errors(scanned).collect()]
+    assert sorted(loops) == ["/other/back", "/other/deep/self", "/sub/back", "/sub/deep/self"]
+
+
+def test_wide_and_deep_folders_are_shared_out(spark, tmp_path, monkeypatch):
+    (tmp_path / "wide").mkdir()
+    for i in range(3000):
+        (tmp_path / f"wide/{i}.txt").touch()
+    deep = tmp_path / "deep"
+    for i in range(120):
+        deep = deep / "d"
+        deep.mkdir(parents=True)
+        (deep / "f.txt").touch()
+    monkeypatch.setattr(os, "scandir", lambda *_: pytest.fail("the driver lists nothing"))
+    found = inventory.scan_tree(spark, str(tmp_path), tasks=4)
+    assert found.count() == 3120 and found.where("error IS NOT NULL").count() == 0
+    sizes = [r["n"] for r in found.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.3 * min(sizes)
+
+
 def test_texts_and_digests(spark, tree):
     files = inventory.scan_inventory(spark, str(tree))
     texts = {r["name"]: r["text"] for r in content.read_texts(files).collect()}
