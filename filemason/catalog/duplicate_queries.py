@@ -53,6 +53,10 @@ def _titled_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.near_duplicate_groups(views.titled(spark, sf_dir), 0.8)
 
 
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.near_duplicate_pairs(views.titled(spark, sf_dir), 0.8).withColumn("similarity", F.round("similarity", 6))
+
+
 def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _titled_groups(spark, sf_dir).select(
         "seed_seq", "seq", "path", "group_size", F.round("similarity", 6).alias("similarity"))
@@ -81,7 +85,7 @@ def file_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         exact_duplicates, same_size_files, duplicate_stats, keep_newest, plan_union, plan_order, action_text,
-        near_dup_groups, near_dup_review, similar_hash_groups, similar_hash_savings, file_similarity,
+        near_dup_pairs, near_dup_groups, near_dup_review, similar_hash_groups, similar_hash_savings, file_similarity,
     )
 }
 
@@ -184,6 +188,10 @@ SQL = {
           WHEN 'move' THEN 'MOVE: ' || regexp_extract(source, '[^/]*$') || ' → ' || destination
           WHEN 'delete' THEN 'DELETE: ' || regexp_extract(source, '[^/]*$') || ' (' || reason || ')'
           ELSE 'CREATE: ' || destination || '/' END AS action FROM plan"""),
+    "near_dup_pairs": sql(TITLED_SQL, NAMES_SQL, """
+        profiles AS (SELECT min(seq) AS seq, count(*) AS n, list_sort(words) AS words, size FROM names GROUP BY list_sort(words), size)""", f"""
+        SELECT a.seq AS seq_a, b.seq AS seq_b, a.n AS n_a, b.n AS n_b, round({NEAR_SQL}, 6) AS similarity
+        FROM profiles a JOIN profiles b ON a.seq < b.seq AND {NEAR_SQL} >= 0.8::DOUBLE"""),
     "near_dup_groups": sql(*NEAR_GROUPS_SQL, """
         SELECT seed_seq, seq, path, group_size, similarity FROM near_groups""", recursive=True),
     "near_dup_review": sql(*NEAR_GROUPS_SQL, """

@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import enrich as E
 from ..operators import usage as U
 from ..operators.budget import Budget
+from ..operators.folder_match import match_folders
 from ..session import scratch_root
 from ..sources import cache_store as CS
 from ..sources.result_store import ResultStore
@@ -104,7 +105,7 @@ def fallback_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folder_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     summaries = _summaries(spark, sf_dir)
-    return summaries.select("seq", E.match_folder(E.propose_folders(summaries)).alias("folder"))
+    return match_folders(summaries, E.propose_folders(summaries)).select("seq", "folder")
 
 
 def enrichment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from ..sources import ledger as usage_ledger
 from ..sources.result_store import ResultStore
 from . import budget, usage
 from .budget import Budget
+from .folder_match import match_folders
 from .near_duplicates import first_per_group
 from .ranking import running_sum
 from .scan_filters import gated_text
@@ -35,7 +36,6 @@ Model = Callable[[list[str]], list[tuple[str, int, int]]]
 
 # What a bounded prompt holds of a text; prompts hold whole texts unless asked otherwise.
 BOUNDED_PROMPT_CHARS = 2000
-MAX_FOLDERS = 10_000
 
 _ANSWER_FORM = (
     "Answer with one JSON object with the fields summary (one or two sentences), category, topics (two or three "
@@ -294,73 +294,45 @@ def fallback_folders(summaries: DataFrame) -> DataFrame:
     return category_report(summaries).select("first_seq", F.posexplode(folders).alias("pos", "folder"))
 
 
+def numbered_folders(folders: DataFrame) -> DataFrame:
+    """``(pos, folder)`` of ordered ``(folder)`` rows, written so that the numbers stay."""
+    return materialize(folders.select(F.monotonically_increasing_id().alias("pos"), "folder"), "folders")
+
+
 def propose_folders(summaries: DataFrame, make_model: Callable[[], Model] | None = None, criteria: str | None = None,
-                    run: ModelRun | None = None) -> list[str]:
-    """Folder paths from one model call over the folder prompt, or the fallback without a (usable) answer."""
+                    run: ModelRun | None = None) -> DataFrame:
+    """``(pos, folder)`` from one model call over the folder prompt, or the fallback without a (usable) answer."""
     if make_model is not None:
         asked = materialize(infer(folder_prompt(summaries, criteria), make_model, 1), "folders")
         if run is not None:
             run.record(asked)
         answer = F.try_parse_json("answer")
         usable = asked.where(F.schema_of_variant(answer).startswith("OBJECT")).select(
-            F.from_json("answer", FOLDER_ANSWER)["directories"].alias("d")).first()
-        if usable is not None:
-            return list(usable["d"] or [])
-    rows = fallback_folders(summaries).orderBy("first_seq", "pos").select("folder").limit(MAX_FOLDERS + 1).collect()
-    if len(rows) > MAX_FOLDERS:
-        raise ValueError(f"more than {MAX_FOLDERS} folders: merge categories first")
-    return [r["folder"] for r in rows]
-
-
-def match_folder(folders: Sequence[str]) -> Column:
-    """The best folder of a summary: 3 for its category, 2 per topic and 4 for the suggested folder if the
-    folder's path contains them; the earliest of equal ones; by category, else Documents, if none scores."""
-    if len(folders) > MAX_FOLDERS:
-        raise ValueError(f"more than {MAX_FOLDERS} folders")
-    category, suggested = F.lower("category"), F.lower("suggested_folder")
-    topics = F.transform("topics", F.lower)
-
-    def best(lists: Column) -> Column:
-        c, t, s = lists["category"], lists["topics"], lists["suggested"]
-        listed = F.array(*[F.struct(F.lit(f).alias("folder"), F.lit(f.lower()).alias("lower")) for f in folders])
-        scored = F.transform(listed, lambda f, i: F.struct(
-            (F.when(f["lower"].contains(c), 3).otherwise(0)
-             + 2 * F.size(F.filter(t, lambda x: f["lower"].contains(x)))
-             + F.when((s != "") & f["lower"].contains(s), 4).otherwise(0)).alias("score"),
-            (-i).alias("order"), f["folder"].alias("folder")))
-        return X.let(F.array_max(scored), lambda b: F.when(b["score"] > 0, b["folder"]))
-
-    inputs = F.struct(category.alias("category"), topics.alias("topics"), suggested.alias("suggested"))
-    found = X.let(inputs, best) if folders else F.lit(None).cast("string")
-
-    def first_with(word: str) -> Column:
-        return F.lit(next((f for f in folders if word in f.lower()), "Documents"))
-
-    return F.coalesce(
-        found,
-        F.when(category.isin(V.WORK_CATEGORIES), first_with("work")),
-        F.when(category.isin(V.PERSONAL_CATEGORIES), first_with("personal")),
-        F.lit("Documents"))
-
-
-def enrichment_plan(summaries: DataFrame, folders: Sequence[str], target: str = "", reason_chars: int | None = None) -> DataFrame:
-    """Create the proposed folders and move each file to its best one; reasons tell the whole summary or its first ``reason_chars``."""
+            F.from_json("answer", FOLDER_ANSWER)["directories"].alias("d"))
+        if not usable.isEmpty():
+            return materialize(usable.select(F.posexplode("d").alias("pos", "folder")).select(F.col("pos").cast("bigint"), "folder"), "folders")
+    return numbered_folders(fallback_folders(summaries).orderBy("first_seq", "pos"))
+
+
+def enrichment_plan(summaries: DataFrame, folders: DataFrame, target: str = "", reason_chars: int | None = None) -> DataFrame:
+    """Create the proposed folders ``(pos, folder)`` and move each file to its best one; reasons tell the whole summary or its
+    first ``reason_chars``."""
     prefix = f"{target}/" if target else ""
-    rows = summaries.withColumn("folder", match_folder(folders))
     told = F.col("summary") if reason_chars is None else F.concat(F.left("summary", F.lit(reason_chars)), F.lit("..."))
     moves = action_rows(
-        rows, "move", source=F.col("file_path"),
+        match_folders(summaries, folders), "move", source=F.col("file_path"),
         destination=F.concat(F.lit(prefix), "folder", F.lit("/"), "file_name"),
         reason=F.concat(F.lit("LLM categorized as "), "category", F.lit(": "), told),
         confidence=F.col("confidence"))
-    spark, n = summaries.sparkSession, len(folders)
-    listed = spark.createDataFrame([(i - n, prefix + f) for i, f in enumerate(folders)], "seq bigint, folder string")
-    dirs = action_rows(listed, "create_dir", source=F.lit(""), destination=F.col("folder"), reason=F.lit("LLM-suggested directory structure"))
+    # before every file, in their own order
+    dirs = action_rows(folders, "create_dir", seq=F.col("pos") - (1 << 62), source=F.lit(""), destination=F.concat(F.lit(prefix), "folder"),
+                       reason=F.lit("LLM-suggested directory structure"))
     return compose(dirs, moves)
 
 
 def preview(files: DataFrame, max_files: int = 10, make_model: Callable[[], Model] = offline_model, content: str = "text") -> DataFrame:
     """Categories and proposed folders for the first ``max_files`` files, without moving anything."""
     summaries = summarize(files.orderBy("seq").limit(max_files), make_model, content)
-    folders = F.array(*[F.lit(f) for f in propose_folders(summaries)])
-    return category_report(summaries).select("category", "n_files", F.array_join(folders, ", ").alias("folders"))
+    listed = propose_folders(summaries).agg(F.sort_array(F.collect_list(F.struct("pos", "folder"))).alias("f"))  # of the files shown
+    folders = F.array_join(F.transform("f", lambda x: x["folder"]), ", ").alias("folders")
+    return category_report(summaries).crossJoin(listed.select(folders)).select("category", "n_files", "folders")

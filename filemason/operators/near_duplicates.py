@@ -75,12 +75,9 @@ def with_size_windows(nodes: DataFrame, min_ratio: float) -> DataFrame:
         F.xxhash64(k["key"], w).alias("key"), k["side"].alias("side"))))))
 
 
-def near_duplicate_groups(files: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Groups of near-duplicate text files: ``(seed_seq, seq, path, name, similarity)``, seeds included.
-
-    Files with the same words and size behave alike, so only the first of them takes part in pairing and
-    the others follow it.
-    """
+def _near_profiles(files: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, pairing.Similar]:
+    """Text files with their name words, profiles (equal words and size) with number and first file, profiles with
+    blocking keys, and the test of two profiles."""
     if threshold <= 0.3:
         raise ValueError("at a threshold of 0.3 or less files without a common word could match")
     text = materialize(
@@ -95,7 +92,29 @@ def near_duplicate_groups(files: DataFrame, threshold: float = 0.8) -> DataFrame
         return near & (near_similarity(a, b) >= threshold)
 
     nodes = with_prefix_keys(profiles.drop("n"), (threshold - 0.3) / 0.7)
-    nodes = with_size_windows(nodes, (threshold - 0.7) / 0.3 - 1e-6)
+    return text, profiles, with_size_windows(nodes, (threshold - 0.7) / 0.3 - 1e-6), similar
+
+
+def near_duplicate_pairs(files: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Pairs of near-duplicate text files: ``(seq_a, seq_b, n_a, n_b, similarity)`` with ``seq_a < seq_b``.
+
+    A profile of equal name words and size, whose files are 1.0 alike, stands for all of them with their number and the first one's
+    ``seq``, so copies aren't listed pair by pair.
+    """
+    _, profiles, nodes, similar = _near_profiles(files, threshold)
+    pairs = pairing.similar_pairs(nodes, similar).select(
+        F.col("lo").alias("seq_a"), F.col("hi").alias("seq_b"), near_similarity(F.col("lo_item"), F.col("hi_item")).alias("similarity"))
+    number = lambda side: profiles.select(F.col("seq").alias(f"seq_{side}"), F.col("n").alias(f"n_{side}"))
+    return pairs.join(number("a"), "seq_a").join(number("b"), "seq_b").select("seq_a", "seq_b", "n_a", "n_b", "similarity")
+
+
+def near_duplicate_groups(files: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Groups of near-duplicate text files: ``(seed_seq, seq, path, name, similarity)``, seeds included.
+
+    Files with the same words and size behave alike, so only the first of them takes part in pairing and
+    the others follow it.
+    """
+    text, profiles, nodes, similar = _near_profiles(files, threshold)
     under = pairing.greedy_seeds(nodes, similar)
     placed = (
         profiles.join(under, "seq", "left")

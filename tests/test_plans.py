@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import file_rows
 from filemason.catalog.views import as_of
 from filemason.operators import duplicates, enrich
+from filemason.operators.folder_match import match_folders
 from filemason.plans import actions as A
 from filemason.plans import apply as AP
 from filemason.plans import organize
@@ -132,18 +133,41 @@ def test_folder_matching(spark):
     rows = [(0, "work", ["budget"], "", "a"), (1, "family", [], "zzz", "b"), (2, "odd", ["none"], "", "c"), (3, "", [], "", "d")]
     s = spark.createDataFrame(rows, "seq bigint, category string, topics array<string>, suggested_folder string, file_name string")
     folders = ["Archive/Work", "Work/Budget", "Personal/Home"]
-    match = lambda fs: [r["f"] for r in s.select("seq", enrich.match_folder(fs).alias("f")).orderBy("seq").collect()]
+    listed = lambda fs: spark.createDataFrame(list(enumerate(fs)), "pos bigint, folder string")
+    match = lambda fs: [r["folder"] for r in match_folders(s, listed(fs)).orderBy("seq").collect()]
     assert match(folders) == ["Work/Budget", "Personal/Home", "Documents", "Archive/Work"]
     assert match([]) == ["Documents"] * 4
 
 
+def test_folder_matching_equals_scoring_every_folder(spark):
+    """12 000 folders, and terms of any length, empty and repeated ones."""
+    import random
+
+    rng = random.Random(2)
+    words = ["work", "home", "tax", "a", "be", "project", "Über", "archiv", "2024", "x_y", ""]
+    folders = [f"{rng.choice(words)}{i}/{rng.choice(words)} {rng.choice(words)}" for i in range(12_000)]
+    rows = [(i, rng.choice([*words, "Business", "family", "odd"]), [rng.choice(words).upper() for _ in range(rng.randrange(4))],
+             rng.choice(["", "zzz", "77/", rng.choice(folders), *words]), "n") for i in range(300)]
+    rows += [(900, None, None, None, "n")]
+    s = spark.createDataFrame(rows, "seq bigint, category string, topics array<string>, suggested_folder string, file_name string")
+    found = {r["seq"]: r["folder"] for r in match_folders(s, spark.createDataFrame(list(enumerate(folders)), "pos bigint, folder string")).collect()}
+    lower = [f.lower() for f in folders]
+    for seq, category, topics, suggested, _ in rows:
+        c, t, g = "\0" if category is None else category.lower(), [x.lower() for x in topics or []], (suggested or "").lower()
+        scores = [3 * (c in f) + 2 * sum(x in f for x in t) + 4 * (bool(g) and g in f) for f in lower]
+        best = max(scores)
+        by_name = "work" if c in ("work", "business", "professional") else "personal" if c in ("personal", "family", "home") else None
+        want = folders[scores.index(best)] if best else next((f for f, x in zip(folders, lower) if by_name and by_name in x), "Documents")
+        assert found[seq] == want
+
+
 def test_folders_from_a_model(spark):
     rows = [(0, "Work", ["a"], "x", "n")]
     s = spark.createDataFrame(rows, "seq bigint, category string, topics array<string>, suggested_folder string, file_name string")
     good = lambda: lambda ps: [('{"directories":["A","B/C"],"reasoning":"r"}', 1, 1) for _ in ps]
     wrapped = lambda: lambda ps: [('Here: {"directories":["A"]}', 1, 1) for _ in ps]
-    assert enrich.propose_folders(s, good) == ["A", "B/C"]
-    assert enrich.propose_folders(s, wrapped) == ["Work/Projects", "Work/Documents"]
+    told = lambda model: [r["folder"] for r in enrich.propose_folders(s, model).orderBy("pos").collect()]
+    assert told(good) == ["A", "B/C"] and told(wrapped) == ["Work/Projects", "Work/Documents"]
 
 
 def test_cache_split_routes(spark):
