@@ -96,7 +96,7 @@ def category_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.folder_prompt(_summaries(spark, sf_dir))
+    return E.folder_prompt(_summaries(spark, sf_dir)).select("prompt")
 
 
 def fallback_folders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from . import budget, usage
 from .budget import Budget
 from .folder_match import match_folders
 from .near_duplicates import first_per_group
-from .ranking import running_sum
+from .ranking import rank_in_group, running_sum
 from .scan_filters import gated_text
 
 Model = Callable[[list[str]], list[tuple[str, int, int]]]
@@ -37,6 +37,9 @@ Model = Callable[[list[str]], list[tuple[str, int, int]]]
 # What a bounded prompt holds of a text; prompts hold whole texts unless asked otherwise.
 BOUNDED_PROMPT_CHARS = 2000
 
+#: Categories that one folder prompt tells of.
+CATEGORIES_PER_PROMPT = 200
+
 _ANSWER_FORM = (
     "Answer with one JSON object with the fields summary (one or two sentences), category, topics (two or three "
     "words), importance (high, medium or low), suggested_folder and confidence (0 to 1)."
@@ -269,19 +272,21 @@ def category_files(summaries: DataFrame, k: int = 5) -> DataFrame:
     return shown.select("category", "rank", "file_name", F.array_join(F.slice("topics", 1, 3), ", ").alias("topics"))
 
 
-def folder_prompt(summaries: DataFrame, criteria: str | None = None, k: int = 5) -> DataFrame:
-    """One row: the prompt that asks for a folder structure. Each category contributes ``k`` files and the
-    number of the others, so the prompt grows with the categories only."""
+def folder_prompt(summaries: DataFrame, criteria: str | None = None, k: int = 5, per_page: int = CATEGORIES_PER_PROMPT) -> DataFrame:
+    """``(page, prompt)``: prompts that ask for a folder structure, each for up to ``per_page`` categories in order of first
+    appearance. Each category contributes ``k`` files and the number of the others, so a prompt is bounded by its categories."""
     lines = category_files(summaries, k).select("category", "rank", F.concat(
         F.lit("  - "), "file_name", F.lit(" (topics: "), "topics", F.lit(")\n")).alias("line"))
     lines = lines.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("lines"))
     more = F.when(F.col("n_files") > k, F.concat(
         F.lit("  ... and "), (F.col("n_files") - k).cast("string"), F.lit(" more files\n"))).otherwise(F.lit(""))
     block = F.concat(F.lit("\n"), "category", F.lit(":\n"), F.array_join(F.transform("lines", lambda x: x["line"]), ""), more)
-    blocks = category_report(summaries).join(lines, "category").select(F.struct("first_seq", block.alias("block")).alias("b"))
-    listing = blocks.agg(F.sort_array(F.collect_list("b")).alias("b"))
+    placed = rank_in_group(category_report(summaries).withColumn("_all", F.lit(0)), ["_all"], "first_seq", "place")
+    paged = placed.withColumn("page", F.floor((F.col("place") - 1) / per_page))
+    blocks = paged.join(lines, "category").select("page", F.struct("first_seq", block.alias("block")).alias("b"))
+    listing = blocks.groupBy("page").agg(F.sort_array(F.collect_list("b")).alias("b"))
     task = f"Propose a folder structure by these criteria: {criteria}" if criteria else "Propose a folder structure."
-    return listing.select(F.concat(
+    return listing.select("page", F.concat(
         F.lit(f"{task}\nFiles:"), F.array_join(F.transform("b", lambda x: x["block"]), ""), F.lit(f"\n{_FOLDER_FORM}")).alias("prompt"))
 
 
@@ -301,16 +306,17 @@ def numbered_folders(folders: DataFrame) -> DataFrame:
 
 def propose_folders(summaries: DataFrame, make_model: Callable[[], Model] | None = None, criteria: str | None = None,
                     run: ModelRun | None = None) -> DataFrame:
-    """``(pos, folder)`` from one model call over the folder prompt, or the fallback without a (usable) answer."""
+    """``(pos, folder)`` from a model call over each page of the folder prompt, each folder once, or the fallback without a (usable) answer."""
     if make_model is not None:
         asked = materialize(infer(folder_prompt(summaries, criteria), make_model, 1), "folders")
         if run is not None:
             run.record(asked)
         answer = F.try_parse_json("answer")
         usable = asked.where(F.schema_of_variant(answer).startswith("OBJECT")).select(
-            F.from_json("answer", FOLDER_ANSWER)["directories"].alias("d"))
+            "page", F.from_json("answer", FOLDER_ANSWER)["directories"].alias("d"))
         if not usable.isEmpty():
-            return materialize(usable.select(F.posexplode("d").alias("pos", "folder")).select(F.col("pos").cast("bigint"), "folder"), "folders")
+            listed = usable.select("page", F.posexplode("d").alias("at", "folder"))
+            return numbered_folders(listed.groupBy("folder").agg(F.min(F.struct("page", "at")).alias("first")).orderBy("first"))
     return numbered_folders(fallback_folders(summaries).orderBy("first_seq", "pos"))
 
 

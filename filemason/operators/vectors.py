@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import log
+from math import ceil, log
 
 from pyspark.ml.feature import (
     PCA, CountVectorizerModel, ElementwiseProduct, HashingTF, IDF, Normalizer, StandardScaler,
@@ -115,40 +115,80 @@ def _frequent_terms(rows: DataFrame, wanted: int) -> list[str]:
     return [r["term"] for r in best.collect()]
 
 
-def vocabulary(rows: DataFrame, max_features: int = 1000, max_df: float = 0.95) -> tuple[list[str], list[int], int]:
-    """The most frequent terms of ``(seq, words)``, their document counts and the number of documents.
+#: Terms that a sketch of frequent terms keeps, how many of the leading ones are then counted exactly, and groups of partitions
+#: whose sketches are combined first.
+TRACKED, COUNTED, SKETCH_GROUPS = 200_000, 4000, 32
 
-    Terms in more than ``max_df`` of the documents do not count. Occurrences are ranked first; documents
-    are then counted for the leading terms only, and for more of them should too many prove too common.
+
+def _sketched_terms(terms: DataFrame) -> tuple[list[str], float]:
+    """The leading terms of ``(term)`` rows by a mergeable sketch, and a number of occurrences above which none is missing.
+
+    A sketch of ``TRACKED`` terms is wrong by at most 3.5 / slots of all occurrences, and tells every term that has more than twice that.
+    One sketch a partition is combined by groups of partitions, so no task merges all of them.
+    """
+    grouped = terms.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("g")).agg(
+        F.expr(f"approx_top_k_accumulate(term, {TRACKED})").alias("s"), F.count("*").alias("n"))
+    merged = grouped.agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"), F.sum("n").alias("n"))
+    row = merged.select(F.expr(f"approx_top_k_estimate(s, {COUNTED})").alias("found"), "n").first()
+    if not row["n"]:
+        return [], 0.0
+    slots = 1 << (ceil(TRACKED / 0.75) - 1).bit_length()
+    last = row["found"][-1]["count"] if len(row["found"]) == COUNTED else 0
+    return [r["item"] for r in row["found"]], max(2 * 3.5 / slots * row["n"], last)
+
+
+def known_terms(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``(seq, terms)``: the occurrences of these terms in each row's words, written."""
+    return materialize(rows.select("seq", _known_terms(names).alias("terms")), "terms")
+
+
+def _counted(known: DataFrame) -> list[tuple[str, int, int]]:
+    """(term, occurrences, documents), the most frequent first, ties in term order."""
+    told = known.select(F.explode(X.counted(F.col("terms"))).alias("c")).select(F.col("c.item").alias("term"), (-F.col("c.minus")).alias("n"))
+    rows = told.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()
+    return sorted(((r["term"], r["n"], r["docs"]) for r in rows), key=lambda r: (-r[1], r[0]))
+
+
+def vocabulary(rows: DataFrame, max_features: int = 1000, max_df: float = 0.95) -> tuple[list[str], list[int], int, DataFrame | None]:
+    """The most frequent terms of ``(seq, words)``, their document counts, the number of documents, and ``(seq, terms)`` with at least
+    the occurrences of these terms.
+
+    Terms in more than ``max_df`` of the documents do not count. A sketch in one pass over the texts names the leading
+    terms, a second pass counts these exactly; terms that the sketch can have missed are rarer than those taken. Where the sketch can't tell that (in small
+    corpora, or flat ones), all terms are counted.
     """
+    n_docs = rows.count()
+    names, enough = _sketched_terms(rows.select(F.explode(F.concat("words", _pairs(F.col("words")))).alias("term")))
+    if names:
+        known = known_terms(rows, names)
+        kept = [(t, docs) for t, n, docs in _counted(known) if n > enough and docs <= max_df * n_docs][:max_features]
+        if len(kept) == max_features:
+            return [t for t, _ in kept], [d for _, d in kept], n_docs, known
     wanted = max_features + 100
     while True:
         names = _frequent_terms(rows, wanted)
         if not names:
-            return [], [], 0
-        n_docs = rows.count()
-        seen = rows.select(F.explode(F.array_distinct(_known_terms(names))).alias("term"))
-        documents = {r["term"]: r["count"] for r in seen.groupBy("term").count().collect()}
-        kept = [t for t in names if documents[t] <= max_df * n_docs]
+            return [], [], 0, None
+        known = known_terms(rows, names)
+        kept = [(t, docs) for t, _, docs in _counted(known) if docs <= max_df * n_docs]
         if len(kept) >= max_features or len(names) < wanted:
             kept = kept[:max_features]
-            return kept, [documents[t] for t in kept], n_docs
+            return [t for t, _ in kept], [d for _, d in kept], n_docs, known
         wanted *= 2
 
 
 def tfidf(files: DataFrame, text: Column | None = None, max_features: int = 1000) -> tuple[DataFrame, list[str]]:
-    """``(seq, tfidf)`` unit vectors with smooth IDF, and the terms of their positions."""
+    """``(seq, tfidf)`` unit vectors with smooth IDF, and the terms of their positions. Texts are read twice."""
     text = clustering_text() if text is None else text
     rows = files.select("seq", term_words(text).alias("words"))
-    names, documents, n = vocabulary(rows, max_features)
+    names, documents, n, known = vocabulary(rows, max_features)
     if not names:
         return rows.select("seq", F.lit(None).alias("tfidf")).limit(0), []
     weights = Vectors.dense([log((n + 1) / (df + 1)) + 1 for df in documents])
     counts = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="tf")
     weighted = ElementwiseProduct(scalingVec=weights, inputCol="tf", outputCol="weighted")
     normal = Normalizer(p=2.0, inputCol="weighted", outputCol="tfidf")
-    terms = rows.select("seq", _known_terms(names).alias("terms"))
-    return normal.transform(weighted.transform(counts.transform(terms))).select("seq", "tfidf"), names
+    return normal.transform(weighted.transform(counts.transform(known))).select("seq", "tfidf"), names
 
 
 def feature_matrix(files: DataFrame, as_of: Column, feature_types: Sequence[str] = ("text", "metadata", "name_similarity"),

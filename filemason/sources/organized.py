@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 
 
-def write_organized(rows: DataFrame, path: str, files_per_folder: int = 1, file_format: str = "parquet") -> None:
+def write_organized(rows: DataFrame, path: str, rows_per_file: int = 100_000, file_format: str = "parquet") -> None:
     """Write rows that have a ``target_path`` partitioned by its folder.
 
-    Rows of a folder are spread over ``files_per_folder`` tasks, so a folder that holds much of the corpus
-    is not written by one of them.
+    Folders are counted first: one with up to ``rows_per_file`` rows is one file, a larger one as many tasks' files as its rows
+    need, so a folder that holds much of the corpus is not written by one of them.
     """
     placed = rows.withColumn("target_dir", P.parent_dir(F.col("target_path")))
-    salt = F.pmod(F.xxhash64("target_path"), F.lit(files_per_folder))
-    placed.repartition("target_dir", salt).write.partitionBy("target_dir").format(file_format).save(path)
+    writers = placed.groupBy("target_dir").agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("_writers"))
+    dealt = placed.join(writers.hint("merge"), "target_dir")
+    dealt = dealt.withColumn("_writer", F.pmod(F.xxhash64("target_path"), F.col("_writers")))
+    columns = [*rows.columns, "target_dir"]
+    dealt.repartition("target_dir", "_writer").select(*columns).write.partitionBy("target_dir").format(file_format).save(path)

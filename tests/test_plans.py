@@ -170,6 +170,20 @@ def test_folders_from_a_model(spark):
     assert told(good) == ["A", "B/C"] and told(wrapped) == ["Work/Projects", "Work/Documents"]
 
 
+def test_folder_prompts_have_pages(spark, tmp_path):
+    rows = [(i, f"Category {i}", ["t"], "x", f"n{i}") for i in range(5)]
+    s = spark.createDataFrame(rows, "seq bigint, category string, topics array<string>, suggested_folder string, file_name string")
+    pages = enrich.folder_prompt(s, per_page=2).orderBy("page").collect()
+    assert [r["prompt"].count("Category") for r in pages] == [2, 2, 1] and "Category 4" in pages[2]["prompt"]
+
+    def by_category():
+        return lambda prompts: [('{"directories":["All",%s],"reasoning":"r"}' % ",".join(
+            f'"{line[:-1]}"' for line in p.split("\n") if line.startswith("Category")), 1, 1) for p in prompts]
+
+    found = enrich.propose_folders(s, by_category).orderBy("pos").collect()
+    assert [r["folder"] for r in found] == ["All"] + [f"Category {i}" for i in range(5)]
+
+
 def test_cache_split_routes(spark):
     files = file_rows(spark, ["a.txt", "b.txt"])
     now = as_of()

@@ -176,11 +176,18 @@ def test_cache_versions(spark, tmp_path):
 
 
 def test_organized_sink(spark, tmp_path):
-    rows = spark.createDataFrame([("Documents/Work/a.txt", "x"), ("Documents/Work/b.txt", "y"), ("Other/c", "z")], "target_path string, text string")
-    organized.write_organized(rows, str(tmp_path / "out"), files_per_folder=4)
+    rows = [("Documents/Work/a.txt", "x"), ("Documents/Work/b.txt", "y"), ("Other/c", "z")] + [(f"Hot/{i}.txt", "h") for i in range(400)]
+    frame = spark.createDataFrame(rows, "target_path string, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would put these few rows together
+    try:
+        organized.write_organized(frame, str(tmp_path / "out"), rows_per_file=50)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert {(r["target_dir"], r["text"]) for r in back.collect()} == {("Documents/Work", "x"), ("Documents/Work", "y"), ("Other", "z")}
-
+    assert sorted((r["target_dir"], r["target_path"], r["text"]) for r in back.collect()) == sorted((p.rsplit("/", 1)[0], p, t) for p, t in rows)
+    files = {d.name: len(list(d.glob("part-*"))) for d in (tmp_path / "out").iterdir() if d.is_dir()}
+    hot = files.pop("target_dir=Hot")
+    assert set(files.values()) == {1} and 2 <= hot <= 8  # a folder's writers follow its size
 
 def test_unrelated_binaries_are_no_duplicates(spark, tmp_path):
     """Files of one size whose content is no text, or can't be read, are only duplicates if their bytes are equal."""
