@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,23 @@ class Automaton:
     zero: tuple[int, int]  # the tokens of a zero byte inside and at the end of a word
 
 
+def token_labels(path: str) -> tuple[dict[int, bytes], dict[str, int], dict]:
+    """The bytes of every token (a word's end is a zero byte behind its last one), the special strings, and the model of the file."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    symbol, end = byte_symbols(), model["model"].get("end_of_word_suffix") or ""
+
+    def label(name: str) -> bytes:
+        inside = name[:-len(end)] if end and name.endswith(end) and name != end else name
+        return bytes(symbol[c] for c in inside) + bytes(inside != name)
+
+    labels = {i: label(name) for name, i in model["model"]["vocab"].items()}
+    special = {a["content"]: a["id"] for a in model.get("added_tokens", [])}
+    for content, i in special.items():
+        labels.setdefault(i, bytes(symbol[c] for c in content) if all(c in symbol for c in content) else content.encode())
+    return labels, special, model["model"]
+
+
 def compile_automaton(path: str) -> Automaton:
     """Merge by merge, from a tokenizers file with a byte-level BPE model.
 
@@ -55,20 +72,11 @@ def compile_automaton(path: str) -> Automaton:
     already barred after u, the merge never happens and w has no arc. Tokens share a state (or a kind: being
     barred in the same states) until a merge tells them apart, so the table has one row per distinct state.
     """
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)
+    labels, special, model = token_labels(path)
     symbol = byte_symbols()
-    vocabulary, merges = model["model"]["vocab"], model["model"]["merges"]
+    vocabulary, merges = model["vocab"], model["merges"]
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-    end = model["model"].get("end_of_word_suffix") or ""
-
-    def label(name: str) -> bytes:
-        """Bytes of a token; a word's end is a zero byte behind its last one."""
-        inside = name[:-len(end)] if end and name.endswith(end) and name != end else name
-        return bytes(symbol[c] for c in inside) + bytes(inside != name)
-
-    labels = {i: label(name) for name, i in vocabulary.items()}
-    special = {a["content"]: a["id"] for a in model.get("added_tokens", [])}
+    end = model.get("end_of_word_suffix") or ""
     state, kind = np.zeros(max([*labels, *special.values()]) + 1, int), None
     kind = state.copy()
     reached = {vocabulary[c + e] for c in symbol for e in {"", end} if c + e in vocabulary}
@@ -112,8 +120,6 @@ def compile_automaton(path: str) -> Automaton:
         reached.add(w)
     packed = barred[:len(sharing), :(len(like) + 7) // 8]
     usable = {labels[t]: t for t in reached if not end or labels[t].strip(b"\0")}  # with word ends, no word holds a zero byte
-    for content, i in special.items():
-        labels.setdefault(i, bytes(symbol[c] for c in content) if all(c in symbol for c in content) else content.encode())
     return Automaton(usable, labels, special, state.tolist(), kind.tolist(), packed.tobytes(), packed.shape[1],
                      tuple(vocabulary.get(next(c for c in symbol if not symbol[c]) + e, -1) for e in ("", end)))
 
@@ -315,21 +321,20 @@ class Encoder:
         return out
 
 
-def shared_automaton(spark: SparkSession, path: str):
-    """The compiled automaton for all tasks; its size is that of the vocabulary, some 20 MB for 50 000 tokens."""
-    return spark.sparkContext.broadcast(vars(compile_automaton(path)))
+def automaton(path: str) -> Automaton:
+    """The compiled automaton of a vocabulary, compiled once in a Python worker: its size is that of the vocabulary, some 20 MB for
+    50 000 tokens, and nothing of it goes through the driver."""
+    return kept(f"automaton {path}", lambda: compile_automaton(path))
 
 
-def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", shared=None) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, ids array<int>)`` for every row: the ids of the whole text (null: empty) without added special tokens.
 
-    ``path`` is a tokenizers file with a byte-level BPE model; strings of its special tokens in a text
+    ``path`` is a tokenizers file with a byte-level BPE model that executors can read; strings of its special tokens in a text
     become those tokens. One pass without a shuffle. Empty texts have no ids; equal rows equal ids.
     """
-    shared = shared or shared_automaton(docs.sparkSession, path)
-
     def start() -> Callable:
-        encoder = kept(f"bpe {path}", lambda: Encoder(Automaton(**shared.value)))
+        encoder = kept(f"bpe {path}", lambda: Encoder(automaton(path)))
 
         def run(texts: list[str]) -> list[pa.Array]:
             found = encoder.texts(texts)
@@ -341,15 +346,14 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
     return per_text(docs, id_column, text, start, "ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids", shared=None) -> DataFrame:
+def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """``keep`` and ``decoded``: the arc labels of the ids, joined; bytes that are no UTF-8 become U+FFFD. Null ids: empty."""
-    shared = shared or shared_automaton(encoded.sparkSession, path)
     small_batches(encoded.sparkSession)
     rows = encoded.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        label = shared.value["labels"].__getitem__
+        label = kept(f"labels {path}", lambda: token_labels(path)[0]).__getitem__
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
             values, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *lists.value_lengths().to_pylist()])

@@ -88,13 +88,12 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: in
     give equal pieces. ``path`` is a tokenizers file of a lower-casing BPE model with word ends.
     """
     spark = docs.sparkSession
-    shared = bpe.shared_automaton(spark, path)
     small_batches(spark)
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("piece int, start long, length long, ids binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(f"word bpe {path}", lambda: WordEncoder(bpe.Automaton(**shared.value)))
+        encoder = kept(f"word bpe {path}", lambda: WordEncoder(bpe.automaton(path)))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, ids = [], [], [], [], []

@@ -80,11 +80,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """Ids of each document and the text that they decode to, as digests."""
     path = public_tokenizers.path(vocabulary)
-    shared = bpe.shared_automaton(spark, path)
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, shared=shared)
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
     digests = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
                              F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"))
-    decoded = bpe.decode(digests, path, ["doc_id", "n_tokens", "ids_sha256"], shared=shared)
+    decoded = bpe.decode(digests, path, ["doc_id", "n_tokens", "ids_sha256"])
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
