@@ -74,9 +74,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as .txt files named by their first four words, so that near copies share name words."""
+    """Documents as .txt files named by the four longest words of their whole text, so that near copies share name words."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    name = F.concat(F.array_join(F.slice(words, 1, 4), " "), F.lit(".txt"))
+    ranked = F.transform(X.counted(words), lambda c: F.struct((-F.length(c["item"])).alias("short"), c["first"].alias("first"), c["item"].alias("word")))
+    longest = F.coalesce(F.transform(F.slice(F.sort_array(ranked), 1, 4), lambda r: r["word"]), F.array().cast("array<string>"))
+    name = F.concat(F.array_join(longest, " "), F.lit(".txt"))
     return _as_files(table(spark, sf_dir, "documents"), name)
 
 
@@ -161,10 +163,15 @@ FILES_SQL = _sql_files(
     f"{_sql_list(STEMS)}[doc_id % 24 + 1] || '_' || (doc_id % 50) || "
     f"{_sql_list(SUFFIXES)}[CAST(floor(doc_id / 24) AS BIGINT) % 16 + 1]",
 )
-TITLED_SQL = _sql_files(
-    "titled",
-    "array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:4], ' ') || '.txt'",
-)
+TITLED_SQL = """
+title_words AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents)
+), longest AS (
+  SELECT doc_id, w, min(p) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, min(p)) AS r FROM title_words GROUP BY doc_id, w
+), titles AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY r) || '.txt' AS title FROM longest WHERE r <= 4 GROUP BY doc_id
+),""" + _sql_files("titled", "coalesce((SELECT title FROM titles t WHERE t.doc_id = documents.doc_id), '.txt')")
 CLUSTERED_SQL = FILES_SQL + """, clustered AS (
   SELECT *, CAST(substr(source, 4) AS INTEGER) - 1 AS label FROM files
 )"""
