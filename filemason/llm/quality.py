@@ -135,9 +135,17 @@ def score_quality(docs: DataFrame, labelled: DataFrame, learns: Callable[[Column
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], names=["v"])
 
     chosen = texts.orderBy(F.xxhash64("id"), "id").limit(LATENT_ROWS).select("text").mapInArrow(full, "v binary").collect()
-    sample = np.frombuffer(b"".join(r["v"] for r in chosen), "<f2").reshape(-1, FEATURES).astype(np.float32)
-    _, vectors = np.linalg.eigh((sample @ sample.T).astype(np.float64)) if len(sample) else (None, np.zeros((0, 0)))
-    axes = sample.T @ vectors[:, ::-1][:, :LATENT].astype(np.float32) if len(sample) else np.zeros((FEATURES, 1), np.float32)
+    sample = np.frombuffer(b"".join(r["v"] for r in chosen), "<f2").reshape(-1, FEATURES)
+    del chosen  # the driver holds the sample once, in half precision, and widens some features at a time
+    some = [slice(at, at + 512) for at in range(0, FEATURES, 512)]
+    products = np.zeros((len(sample), len(sample)))
+    for part in some:
+        wide = sample[:, part].astype(np.float32)
+        products += wide @ wide.T
+    _, vectors = np.linalg.eigh(products) if len(sample) else (None, np.zeros((0, 0)))
+    first = vectors[:, ::-1][:, :LATENT].astype(np.float32)
+    axes = np.vstack([sample[:, part].astype(np.float32).T @ first for part in some]) if len(sample) else np.zeros((FEATURES, 1), np.float32)
+    del sample, products, vectors
     axes /= np.maximum(np.linalg.norm(axes, axis=0), 1e-6)
 
     def latent(texts: list[str], counts: np.ndarray) -> np.ndarray:
