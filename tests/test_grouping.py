@@ -77,6 +77,36 @@ def test_similar_hashes(spark, monkeypatch, peel, block, threshold):
     assert got == groups_of(greedy(values, alike))
 
 
+def sequential_covered(edges):
+    """Nodes under a seed when nodes are visited in order."""
+    later, covered = {}, set()
+    for lo, hi in edges:
+        later.setdefault(lo, set()).add(hi)
+    for node in sorted({x for e in edges for x in e}):
+        if node not in covered:
+            covered |= later.get(node, set())
+    return covered
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_covered_equals_visiting_in_order(spark, monkeypatch, seed):
+    monkeypatch.setattr(pairing, "PLAIN_ROUNDS", seed % 3)
+    rng = random.Random(seed)
+    edges = {(i, i + 1) for i in range(40)} | {tuple(sorted(rng.sample(range(60), 2))) for _ in range(5 + 20 * (seed % 2))}
+    df = spark.createDataFrame(sorted(edges), "lo bigint, hi bigint")
+    assert {r["seq"] for r in pairing._covered(df).collect()} == sequential_covered(edges)
+
+
+def test_long_chain_settles_in_few_rounds(spark, monkeypatch):
+    written = []
+    keep = pairing.materialize
+    monkeypatch.setattr(pairing, "materialize", lambda df, label: written.append(label) or keep(df, label))
+    n = 10_000
+    edges = spark.range(n - 1).select(F.col("id").alias("lo"), (F.col("id") + 1).alias("hi"))
+    assert {r["seq"] for r in pairing._covered(edges).collect()} == set(range(1, n, 2))
+    assert len(written) <= 30
+
+
 @pytest.mark.parametrize("n", [10, 5000, 10**9])
 def test_masks_cover_every_pair(n):
     rng = random.Random(n)
