@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..operators import cluster_report as R
 from ..operators import clustering as C
+from ..operators import nearest as NV
 from ..operators import neighbours as NB
 from ..operators import vectors as VE
 from ..operators import ward as W
@@ -64,6 +65,11 @@ def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("seq_a", "seq_b", "n_a", "n_b", F.round("cosine", 6).alias("cosine"))
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of each one."""
+    return NV.nearest_vectors(_embeddings(spark, sf_dir), 10).withColumn("cosine", F.round("cosine", 6))
+
+
 def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.dbscan(_embeddings(spark, sf_dir), eps=0.65, min_samples=2)
 
@@ -130,7 +136,7 @@ def largest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    common_words, metadata_vector, name_vector, standardised, tfidf, cosine_neighbours, dbscan, dbscan_dense,
+    common_words, metadata_vector, name_vector, standardised, tfidf, cosine_neighbours, nearest_vectors, dbscan, dbscan_dense,
     cluster_totals, kmeans, bisecting, pca_points, cluster_counts, cluster_profile, cluster_plan, fallback_plan,
     cluster_samples, largest_cluster, ward_merges, ward)}
 
@@ -257,6 +263,18 @@ SQL = {
                  list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine
           FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
         WHERE cosine >= 0.3""",
+    "nearest_vectors": sql("""
+        units AS (
+          SELECT min(vec_id) AS seq, count(*) AS n, embedding::DOUBLE[] AS v FROM embeddings
+          WHERE list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 GROUP BY embedding
+        )""", """
+        paired AS (
+          SELECT a.seq, b.seq AS neighbour, b.n, list_cosine_similarity(a.v, b.v) AS cosine
+          FROM units a JOIN units b ON a.seq <> b.seq
+        )""", """
+        SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY cosine DESC, neighbour)::INTEGER AS rank, neighbour, n,
+               round(cosine, 6) AS cosine
+        FROM paired QUALIFY rank <= 10"""),
     "dbscan": sql(*dbscan_sql(0.65, 2), "SELECT seq, label FROM dbscan_labels", recursive=True),
     "dbscan_dense": sql(*dbscan_sql(0.65, 3), "SELECT seq, label FROM dbscan_labels", recursive=True),
     "cluster_totals": sql(*dbscan_sql(0.65, 2), """
