@@ -75,11 +75,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as .txt files named by the four longest words of their whole text, so that near copies share name words."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    ranked = F.transform(X.counted(words), lambda c: F.struct((-F.length(c["item"])).alias("short"), c["first"].alias("first"), c["item"].alias("word")))
+    words = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    ranked = F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("short"), i.alias("first"), w.alias("word")))
     longest = F.coalesce(F.transform(F.slice(F.sort_array(ranked), 1, 4), lambda r: r["word"]), F.array().cast("array<string>"))
     name = F.concat(F.array_join(longest, " "), F.lit(".txt"))
-    return _as_files(table(spark, sf_dir, "documents"), name)
+    # One row each: filters on what follows from the name then don't work it out a second time.
+    return _as_files(table(spark, sf_dir, "documents").withColumn("title", F.explode(F.array(name))), F.col("title"))
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
