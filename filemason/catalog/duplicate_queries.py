@@ -82,10 +82,16 @@ def file_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.similar_files(views.titled(spark, sf_dir), 0.9).withColumn("similarity", F.round("similarity", 6))
 
 
+def file_similarity_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar other files of each one."""
+    return N.most_similar_files(views.titled(spark, sf_dir), 5, 0.85).withColumn("similarity", F.round("similarity", 6))
+
+
 QUERIES = {
     f.__name__: f for f in (
         exact_duplicates, same_size_files, duplicate_stats, keep_newest, plan_union, plan_order, action_text,
         near_dup_pairs, near_dup_groups, near_dup_review, similar_hash_groups, similar_hash_savings, file_similarity,
+        file_similarity_top,
     )
 }
 
@@ -163,6 +169,23 @@ hash_pairs AS (
     ON a.seq < b.seq AND bit_count(xor(a.hash, b.hash)) <= 5
 )""", *greedy_sql("hashes", "hash_pairs")]
 
+SCORED_SQL = ["""
+profiles AS (
+  SELECT min(seq) AS seq, count(*) AS n, list_sort(words) AS words, size, extension, file_type, modified_at
+  FROM names GROUP BY list_sort(words), size, extension, file_type, modified_at
+)""", f"""
+scored AS (
+  SELECT a.seq AS seq_a, b.seq AS seq_b, a.n AS n_a, b.n AS n_b,
+         CASE WHEN a.file_type = b.file_type THEN 0.3::DOUBLE ELSE 0 END
+         + CASE WHEN a.extension = b.extension THEN 0.2::DOUBLE ELSE 0 END
+         + {JACCARD_SQL} * 0.3::DOUBLE
+         + CASE WHEN a.size > 0 AND b.size > 0
+                THEN least(a.size, b.size)::DOUBLE / greatest(a.size, b.size) ELSE 0 END * 0.1::DOUBLE
+         + greatest(0, 1 - abs(epoch_us(a.modified_at) - epoch_us(b.modified_at)) / (30 * 86400e6)) * 0.1::DOUBLE
+         AS similarity
+  FROM profiles a JOIN profiles b ON a.seq < b.seq
+)"""]
+
 SQL = {
     "exact_duplicates": sql(FILES_SQL, DUP_SQL, """
         SELECT group_id, seq, path, size, content_hash, n FROM members WHERE n > 1"""),
@@ -207,22 +230,15 @@ SQL = {
         SELECT seed_seq, count(*) AS n_images, round(avg(size), 6) AS avg_size,
                round(avg(size) * (count(*) - 1), 6) AS wasted_bytes
         FROM sized JOIN hashes USING (seq) WHERE group_size > 1 GROUP BY seed_seq""", recursive=True),
-    "file_similarity": sql(TITLED_SQL, NAMES_SQL, """
-        profiles AS (
-          SELECT min(seq) AS seq, count(*) AS n, list_sort(words) AS words, size, extension, file_type, modified_at
-          FROM names GROUP BY list_sort(words), size, extension, file_type, modified_at
-        )""", f"""
-        scored AS (
-          SELECT a.seq AS seq_a, b.seq AS seq_b, a.n AS n_a, b.n AS n_b,
-                 CASE WHEN a.file_type = b.file_type THEN 0.3::DOUBLE ELSE 0 END
-                 + CASE WHEN a.extension = b.extension THEN 0.2::DOUBLE ELSE 0 END
-                 + {JACCARD_SQL} * 0.3::DOUBLE
-                 + CASE WHEN a.size > 0 AND b.size > 0
-                        THEN least(a.size, b.size)::DOUBLE / greatest(a.size, b.size) ELSE 0 END * 0.1::DOUBLE
-                 + greatest(0, 1 - abs(epoch_us(a.modified_at) - epoch_us(b.modified_at)) / (30 * 86400e6)) * 0.1::DOUBLE
-                 AS similarity
-          FROM profiles a JOIN profiles b ON a.seq < b.seq
-        )""", """
+    "file_similarity": sql(TITLED_SQL, NAMES_SQL, *SCORED_SQL, """
         SELECT seq_a, seq_b, n_a, n_b, round(similarity, 6) AS similarity FROM scored
         WHERE similarity >= 0.9::DOUBLE"""),
+    "file_similarity_top": sql(TITLED_SQL, NAMES_SQL, *SCORED_SQL, """
+        sides AS (
+          SELECT seq_a AS seq, seq_b AS other, n_b AS n, round(similarity, 9) AS similarity FROM scored
+          UNION ALL SELECT seq_b, seq_a, n_a, round(similarity, 9) FROM scored
+        )""", """
+        SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY similarity DESC, other)::INTEGER AS rank, other, n,
+               round(similarity, 6) AS similarity
+        FROM sides WHERE similarity >= 0.85::DOUBLE QUALIFY rank <= 5"""),
 }

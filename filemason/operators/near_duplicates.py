@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,8 @@ from .ranking import rank_in_group
 
 # Names listed in a review action; the whole group stays in the long table.
 REVIEW_LIST = 1000
+# Bounds that the search for the most similar files tries before its own.
+TOP_BOUNDS = (0.95, 0.9)
 
 
 def word_set(name: Column) -> Column:
@@ -220,6 +224,17 @@ def file_similarity(a: Column, b: Column) -> Column:
     )
 
 
+def _file_profiles(files: DataFrame, min_sim: float) -> DataFrame:
+    """``(seq, item)`` of files equal in name words, type, extension, size and time: the first one's ``seq``, and the number ``n``."""
+    if min_sim <= 0.7:
+        raise ValueError("at 0.7 or less files without a common name word could match")
+    fields = ["words", "file_type", "extension", "size", "modified_at"]
+    return materialize(
+        files.select("seq", word_set(F.col("name")).alias("words"), *fields[1:])
+        .groupBy(*fields).agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+        .select("seq", F.struct(*fields, "n").alias("item")), "profiles")
+
+
 def similar_files(files: DataFrame, min_sim: float = 0.9) -> DataFrame:
     """Pairs of file profiles at least ``min_sim`` alike: ``(seq_a, seq_b, n_a, n_b, similarity)``.
 
@@ -240,3 +255,29 @@ def similar_files(files: DataFrame, min_sim: float = 0.9) -> DataFrame:
     return pairs.select(
         F.col("lo").alias("seq_a"), F.col("hi").alias("seq_b"), F.col("lo_item.n").alias("n_a"),
         F.col("hi_item.n").alias("n_b"), file_similarity(F.col("lo_item"), F.col("hi_item")).alias("similarity"))
+
+
+def most_similar_files(files: DataFrame, k: int = 5, min_sim: float = 0.8) -> DataFrame:
+    """``(seq, rank, other, n, similarity)``: for each file profile its k most similar others at least ``min_sim`` alike.
+
+    Profiles are those of ``similar_files``; ``n`` is the number of the other's files. Similarities count to nine digits, ties go to
+    the smaller ``seq``. The bound falls in rounds: a profile with k others above a round's bound can't have a better one
+    below it and is settled, so only what still lacks others meets by the more and commoner keys of a lower bound.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    profiles = _file_profiles(files, min_sim)
+    opened = profiles.select("seq", F.lit(True).alias("open"))
+    settled = []
+    for bound in sorted({b for b in TOP_BOUNDS if b > min_sim} | {min_sim}, reverse=True):
+        flagged = profiles.join(opened, "seq", "left").select(
+            "seq", F.col("item").withField("open", F.coalesce("open", F.lit(False))).alias("item"))
+        nodes = with_prefix_keys(flagged, (bound - 1e-9 - 0.7) / 0.3, [F.col("item.extension")] if bound > 0.8 + 1e-6 else None)
+        found = materialize(pairing.most_similar(nodes, lambda a, b: F.round(file_similarity(a, b), 9), k, bound), "similar")
+        if bound > min_sim:
+            full = found.where(F.col("rank") == k).select("seq")
+            opened = materialize(opened.join(full, "seq", "left_anti"), "open")
+            found = found.join(full, "seq", "left_semi")
+        settled.append(found)
+    number = profiles.select(F.col("seq").alias("other"), F.col("item.n").alias("n"))
+    return reduce(DataFrame.unionByName, settled).join(number, "other").select("seq", "rank", "other", "n", "similarity")

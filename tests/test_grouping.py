@@ -77,6 +77,26 @@ def test_similar_hashes(spark, monkeypatch, peel, block, threshold):
     assert got == groups_of(greedy(values, alike))
 
 
+@pytest.mark.parametrize("block", [4096, 4])
+def test_most_similar_files(spark, monkeypatch, block):
+    monkeypatch.setattr(pairing, "BLOCK_ROWS", block)
+    rng = random.Random(block)
+    words = ["a", "b", "c", "d", "hot"]
+    names = [" ".join(["hot", *rng.sample(words, rng.randint(1, 4))]) + rng.choice([".txt", ".md"]) for _ in range(60)]
+    files = file_rows(spark, names + names[:9], size=[rng.choice([0, 5, 6, 40]) for _ in names] + [7] * 9)
+    pairs = near_duplicates.similar_files(files, 0.72).collect()
+    wanted = {}
+    for p in pairs:
+        for a, b, n in ((p["seq_a"], p["seq_b"], p["n_b"]), (p["seq_b"], p["seq_a"], p["n_a"])):
+            wanted.setdefault(a, []).append((-round(p["similarity"], 9), b, n))
+    found = {}
+    for r in near_duplicates.most_similar_files(files, 3, 0.72).orderBy("seq", "rank").collect():
+        found.setdefault(r["seq"], []).append((-r["similarity"], r["other"], r["n"]))
+        assert r["rank"] == len(found[r["seq"]])
+    assert found == {a: sorted(x)[:3] for a, x in wanted.items()}
+    assert near_duplicates.most_similar_files(files.limit(0), 3).count() == 0
+
+
 def sequential_covered(edges):
     """Nodes under a seed when nodes are visited in order."""
     later, covered = {}, set()
