@@ -77,6 +77,15 @@ def test_similar_hashes(spark, monkeypatch, peel, block, threshold):
     assert got == groups_of(greedy(values, alike))
 
 
+def test_postings_are_never_broadcast(spark):
+    keys = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct(F.xxhash64(i, F.col("id") % 5).alias("key"), F.lit(0).alias("side")))
+    nodes = spark.range(40).select(F.col("id").alias("seq"), F.struct("id").alias("item"), keys.alias("keys"))
+    pairs = pairing.similar_pairs(nodes, lambda a, b: a["id"] % 5 == b["id"] % 5)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 5 * 28
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("block", [4096, 4])
 def test_most_similar_files(spark, monkeypatch, block):
     monkeypatch.setattr(pairing, "BLOCK_ROWS", block)
