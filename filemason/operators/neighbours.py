@@ -20,6 +20,9 @@ from ..session import materialize
 # Vectors per side of a block, and most pivots.
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
+# Rows that a task sends to cells at once, and pairs that it lists at once: what a Python worker holds stays the same however many pivots there are.
+SENT_ROWS = 8192
+LISTED_PAIRS = 1 << 16
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -49,6 +52,14 @@ def _pivots(points: DataFrame, wanted: int, apart: float) -> np.ndarray:
     return np.array(chosen)
 
 
+def slices(batches: Iterator[pd.DataFrame], copies: int) -> Iterator[pd.DataFrame]:
+    """Parts of the batches that make at most ``SENT_ROWS`` rows when each row is sent ``copies`` times."""
+    step = max(1, SENT_ROWS // copies)
+    for batch in batches:
+        for at in range(0, len(batch), step):
+            yield batch.iloc[at:at + step]
+
+
 def visits(points: DataFrame, max_distance: float, block_rows: int | None = None) -> DataFrame:
     """Rows ``(cell, probe, dense, seq, n, vector)``: each point at home and, as ``probe``, in the later cells
     that may hold a neighbour. Points marked ``dense`` are so close to their pivot that all those of one
@@ -63,9 +74,7 @@ def visits(points: DataFrame, max_distance: float, block_rows: int | None = None
     pivots = _pivots(points, min(MAX_PIVOTS, -(-total // block_rows)), angle / 2)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        for batch in slices(batches, len(pivots)):
             angles = np.arccos(np.clip(_matrix(batch["vector"]) @ pivots.T, -1, 1))
             home, least = angles.argmin(axis=1), angles.min(axis=1)
             near = angles - least[:, None] <= 2 * angle + 1e-9
@@ -142,8 +151,10 @@ def cosine_neighbours(vectors: DataFrame, min_cosine: float) -> DataFrame:
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         left, right, near = near_mask(group, limit)
         i, j = np.nonzero(near)
-        a, b = left.iloc[i], right.iloc[j]
-        cosine = np.einsum("ij,ij->i", _matrix(a["vector"]), _matrix(b["vector"])) if len(i) else np.zeros(0)
+        a, b = left[["seq", "n"]].iloc[i], right[["seq", "n"]].iloc[j]
+        of_left, of_right = _matrix(left["vector"]), _matrix(right["vector"])
+        parts = [slice(at, at + LISTED_PAIRS) for at in range(0, len(i), LISTED_PAIRS)]
+        cosine = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", of_left[i[p]], of_right[j[p]]) for p in parts)])
         swap = a["seq"].to_numpy() > b["seq"].to_numpy()
         pick = lambda c: (np.where(swap, b[c], a[c]), np.where(swap, a[c], b[c]))
         (seq_a, seq_b), (n_a, n_b) = pick("seq"), pick("n")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,3 +323,11 @@ def test_one_name_with_many_sizes(spark, monkeypatch):
     for r in got.collect():
         found.setdefault(r["seed_seq"], set()).add(r["seq"])
     assert found == groups_of(greedy(items, near))
+
+
+def test_rows_sent_to_cells_are_bounded():
+    batches = [pd.DataFrame({"seq": range(n)}) for n in (10_000, 0, 3)]
+    for copies in (1, 100, 10 * neighbours.SENT_ROWS):
+        parts = list(neighbours.slices(iter(batches), copies))
+        assert max(len(p) for p in parts) <= max(1, neighbours.SENT_ROWS // copies)
+        assert [s for p in parts for s in p["seq"]] == [*range(10_000), 0, 1, 2]
