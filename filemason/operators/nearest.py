@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .neighbours import distinct_vectors, unit_vectors
+from .neighbours import distinct_vectors, slices, unit_vectors
 
 # Vectors for each second pivot, and per side of a block.
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
 # Vectors of one first pivot that are compared with its second pivots in one task.
-SLICE_ROWS = 16 * BLOCK_ROWS
+SLICE_ROWS = 4 * BLOCK_ROWS
 # Angles are compared with this much slack, more than rounding can make of them.
 SLACK = 1e-6
 FOUND = "seq bigint, neighbour bigint, n bigint, cosine double"
@@ -131,9 +131,7 @@ def _reaching(tops: pd.DataFrame, k: int):
         np.array(tops["pivot"].tolist()), tops["radius"].to_numpy(), tops["size"].to_numpy(), tops["top"].to_numpy())
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        for batch in slices(batches, len(pivots)):
             angles = _angles(_matrix(batch["vector"]), pivots)
             far = np.minimum(angles + radius, np.pi)
             order = far.argsort(axis=1)
