@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import file_rows
-from filemason.operators import enrich, usage
+from filemason.operators import budget, enrich, usage
 from filemason.operators.budget import Budget, LimitReached
 from filemason.plans.organize import organize
 from filemason.sources import cache_store, ledger
@@ -147,3 +147,25 @@ def test_folder_calls_are_metered(spark, tmp_path):
     assert plan.where("action_type = 'create_dir'").count() == 1
     assert sorted(r["prompt_tokens"] for r in ledger.read(spark, str(tmp_path / "ledger")).collect()) == [5, 5, 100]
     assert cache_store.statistics(ResultStore(spark, str(tmp_path / "s")).read(), now()).first()["total_entries"] == 0
+
+
+def test_prompts_are_ranked_in_small_ranges(spark, monkeypatch):
+    """One task must not read the prompts of a million files."""
+    ranges = []
+    for name in ("rank_in_group", "running_sum"):
+        f = getattr(budget, name)
+        monkeypatch.setattr(budget, name, lambda *a, f=f: ranges.append(a[5] if len(a) > 5 else a[4] if isinstance(a[4], int) else None) or f(*a))
+    asked = spark.createDataFrame([(i * budget.CHUNK // 2, "x" * 4) for i in range(6)], "seq bigint, prompt string")
+    paid = lambda rows: rows.withColumns({"prompt_tokens": F.lit(1000), "completion_tokens": F.lit(0)})
+    admitted, _ = budget.answered_within(asked, Budget(0.0025, "openai", "gpt-3.5-turbo", first_wave=6), paid)
+    found = sorted(r["seq"] for r in admitted.collect())
+    assert found == [i * budget.CHUNK // 2 for i in range(len(found))] and 0 < len(found) < 6
+    assert len(ranges) == 2 and all(r is not None and r <= 4096 for r in ranges)
+
+
+def test_workers_hold_few_prompts(spark):
+    rows = spark.range(4).select(F.col("id").alias("seq"), F.lit("File: a").alias("prompt"))
+    answered = enrich.infer(rows, keep_prompt=False)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= enrich.PROMPTS_AT_ONCE
+    assert answered.columns == ["seq", "answer", "prompt_tokens", "completion_tokens", "error"] and answered.count() == 4
+    assert enrich.infer(rows).columns[:2] == ["seq", "prompt"]
