@@ -93,6 +93,22 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1).astype(np.float32)
 
 
+def latent_axes(sample: np.ndarray) -> np.ndarray:
+    """Unit columns that span the sample's leading latent dimensions, at most ``LATENT``; rows are in half precision, widened some features
+    at a time. Without rows there is one column of zeros."""
+    if not len(sample):
+        return np.zeros((FEATURES, 1), np.float32)
+    some = [slice(at, at + 512) for at in range(0, FEATURES, 512)]
+    products = np.zeros((len(sample), len(sample)))
+    for part in some:
+        wide = sample[:, part].astype(np.float32)
+        products += wide @ wide.T
+    _, vectors = np.linalg.eigh(products)
+    first = vectors[:, ::-1][:, :LATENT].astype(np.float32)
+    axes = np.vstack([sample[:, part].astype(np.float32).T @ first for part in some])
+    return axes / np.maximum(np.linalg.norm(axes, axis=0), 1e-6)
+
+
 def votes(latent: np.ndarray, labelled: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
     """Scores between 0 and 1: labels of the most similar labelled vectors, weighted by similarity; ``prior`` where nothing is similar."""
     if not len(labelled):
@@ -129,24 +145,14 @@ def score_quality(docs: DataFrame, labelled: DataFrame, learns: Callable[[Column
     texts = materialize(texts.select("id", "label", "text"), "labelled")
     idf = inverse_frequencies(docs, text)
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, counts in _blocks(batches, 0):
-            rows = weigh(counts, idf).astype("<f2")
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], names=["v"])
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [weigh(counts, idf).astype("<f2") for _, _, counts in _blocks(batches, 0)]
+        found = latent_axes(np.vstack(blocks) if blocks else np.zeros((0, FEATURES), "<f2"))
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["axes"])
 
-    chosen = texts.orderBy(F.xxhash64("id"), "id").limit(LATENT_ROWS).select("text").mapInArrow(full, "v binary").collect()
-    sample = np.frombuffer(b"".join(r["v"] for r in chosen), "<f2").reshape(-1, FEATURES)
-    del chosen  # the driver holds the sample once, in half precision, and widens some features at a time
-    some = [slice(at, at + 512) for at in range(0, FEATURES, 512)]
-    products = np.zeros((len(sample), len(sample)))
-    for part in some:
-        wide = sample[:, part].astype(np.float32)
-        products += wide @ wide.T
-    _, vectors = np.linalg.eigh(products) if len(sample) else (None, np.zeros((0, 0)))
-    first = vectors[:, ::-1][:, :LATENT].astype(np.float32)
-    axes = np.vstack([sample[:, part].astype(np.float32).T @ first for part in some]) if len(sample) else np.zeros((FEATURES, 1), np.float32)
-    del sample, products, vectors
-    axes /= np.maximum(np.linalg.norm(axes, axis=0), 1e-6)
+    chosen = texts.orderBy(F.xxhash64("id"), "id").limit(LATENT_ROWS).select("text")
+    fitted = chosen.coalesce(1).mapInArrow(fit, "axes binary").collect()  # at most LATENT_ROWS rows in a task; only the axes reach the driver
+    axes = np.frombuffer(fitted[0]["axes"], "<f4").reshape(FEATURES, -1) if fitted else np.zeros((FEATURES, 1), np.float32)
 
     def latent(texts: list[str], counts: np.ndarray) -> np.ndarray:
         found = weigh(counts, idf) @ axes

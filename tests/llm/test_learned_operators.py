@@ -51,6 +51,15 @@ def test_scores_of_messy_documents(spark, messy, nothing):
     assert {r["score"] for r in quality.score_quality(messy, known.limit(0), quality.learnt_from).collect()} == {0.5}
 
 
+def test_the_driver_fits_no_sample(spark, monkeypatch):
+    def refuse(*_):
+        raise MemoryError("the latent space is fitted on the driver")
+    rows, labels = corpus(60)
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    monkeypatch.setattr(np.linalg, "eigh", refuse)  # the tasks run in processes of their own
+    assert quality.score_quality(docs(spark, rows), known, quality.learnt_from).where("score between 0 and 1").count() == 60
+
+
 def test_bounded_voters_keep_the_ratio_of_labels(spark):
     rows = [(i, prose(30)) for i in range(700)]  # the texts tell nothing of the labels, which are 6 to 1
     known = spark.createDataFrame([(i, int(i % 7 > 0)) for i, _ in rows], "doc_id long, quality int")
