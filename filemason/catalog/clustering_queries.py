@@ -54,10 +54,10 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-zero weights of the 1000 most frequent one- and two-word terms of the whole documents."""
     docs = views.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "seq")
     vectors, names = VE.tfidf(docs, F.col("text"))
-    weights = F.transform(vector_to_array("tfidf"), lambda w, i: F.struct(i.alias("pos"), w.alias("weight")))
-    cells = vectors.select("seq", F.explode(F.filter(weights, lambda c: c["weight"] > 0)).alias("c"))
+    sparse = F.unwrap_udt("tfidf")  # the terms of a document are few of the 1000
+    cells = vectors.select("seq", F.explode(F.arrays_zip(sparse["indices"].alias("pos"), sparse["values"].alias("weight"))).alias("c"))
     terms = spark.createDataFrame(list(enumerate(names)), "pos int, term string")
-    return cells.select("seq", "c.pos", "c.weight").join(terms, "pos").select("seq", "term", F.round("weight", 6).alias("weight"))
+    return cells.select("seq", "c.pos", "c.weight").where("weight > 0").join(F.broadcast(terms), "pos").select("seq", "term", F.round("weight", 6).alias("weight"))
 
 
 def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

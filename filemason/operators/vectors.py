@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import ceil, log
+from math import log
 
 from pyspark.ml.feature import (
     PCA, CountVectorizerModel, ElementwiseProduct, HashingTF, IDF, Normalizer, StandardScaler,
-    VectorAssembler,
+    VectorAssembler, VectorSlicer,
 )
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -88,92 +88,68 @@ def _pairs(words: Column) -> Column:
     return F.array_compact(joined)
 
 
-def _known_terms(names: list[str]) -> Column:
-    """The one- and two-word terms of ``words`` that belong to a vocabulary."""
-    return F.filter(F.concat("words", _pairs(F.col("words"))), lambda t: t.isin(names))
+def _words_and_pairs(rows: DataFrame) -> DataFrame:
+    """``(seq, words, pairs)`` of ``(seq, words)``; a null word is in no pair."""
+    return rows.select("seq", F.array_compact("words").alias("words"), _pairs(F.col("words")).alias("pairs"))
 
 
-def _frequent_terms(rows: DataFrame, wanted: int) -> list[str]:
-    """The ``wanted`` most frequent one- and two-word terms, ties in term order.
+def _number(terms: DataFrame, column: Column) -> DataFrame:
+    """``(term, n)`` of the terms in an array column. An outer explode: for a plain one the array would be made a second time, to see if it is empty."""
+    return terms.select(F.explode_outer(column).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _frequent_terms(rows: DataFrame, single: DataFrame, wanted: int) -> tuple[list[str], DataFrame]:
+    """The ``wanted`` most frequent one- and two-word terms, ties in term order, and ``(seq, terms)``, written, with at least the
+    occurrences of these terms. ``single`` has the occurrences of each word.
 
     A pair occurs no more often than either of its words, so only pairs of words at least as frequent as
-    the last wanted single word can be among them; the others are never counted or shuffled.
+    the last wanted single word can be among them; the others are never made, counted or shuffled. Only where more than
+    four times as many words are that frequent (in flat corpora), all pairs are counted, in a pass of their own.
     """
-    single = rows.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    single = materialize(single, "words")
     order = [F.desc("n"), F.asc("term")]
     first = single.orderBy(*order).limit(wanted).collect()
-    pairs = _pairs(F.col("words"))
+    bounded, kept = True, rows
     if len(first) == wanted:
-        least = first[-1]["n"]
-        common = [r["term"] for r in single.where(F.col("n") >= least).limit(4 * wanted + 1).collect()]
-        if len(common) <= 4 * wanted:
-            kept = F.transform("words", lambda w: F.when(w.isin(common), w))
-            pairs = X.let(kept, _pairs)
-    double = rows.select(F.explode(pairs).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    best = single.unionByName(double).orderBy(*order).limit(wanted)
-    return [r["term"] for r in best.collect()]
-
-
-#: Terms that a sketch of frequent terms keeps, how many of the leading ones are then counted exactly, and groups of partitions
-#: whose sketches are combined first.
-TRACKED, COUNTED, SKETCH_GROUPS = 200_000, 4000, 32
-
-
-def _sketched_terms(terms: DataFrame) -> tuple[list[str], float]:
-    """The leading terms of ``(term)`` rows by a mergeable sketch, and a number of occurrences above which none is missing.
-
-    A sketch of ``TRACKED`` terms is wrong by at most 3.5 / slots of all occurrences, and tells every term that has more than twice that.
-    One sketch a partition is combined by groups of partitions, so no task merges all of them.
-    """
-    grouped = terms.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("g")).agg(
-        F.expr(f"approx_top_k_accumulate(term, {TRACKED})").alias("s"), F.count("*").alias("n"))
-    merged = grouped.agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"), F.sum("n").alias("n"))
-    row = merged.select(F.expr(f"approx_top_k_estimate(s, {COUNTED})").alias("found"), "n").first()
-    if not row["n"]:
-        return [], 0.0
-    slots = 1 << (ceil(TRACKED / 0.75) - 1).bit_length()
-    last = row["found"][-1]["count"] if len(row["found"]) == COUNTED else 0
-    return [r["item"] for r in row["found"]], max(2 * 3.5 / slots * row["n"], last)
-
-
-def known_terms(rows: DataFrame, names: list[str]) -> DataFrame:
-    """``(seq, terms)``: the occurrences of these terms in each row's words, written."""
-    return materialize(rows.select("seq", _known_terms(names).alias("terms")), "terms")
-
-
-def _counted(known: DataFrame) -> list[tuple[str, int, int]]:
-    """(term, occurrences, documents), the most frequent first, ties in term order."""
-    told = known.select(F.explode(X.counted(F.col("terms"))).alias("c")).select(F.col("c.item").alias("term"), (-F.col("c.minus")).alias("n"))
-    rows = told.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()
-    return sorted(((r["term"], r["n"], r["docs"]) for r in rows), key=lambda r: (-r[1], r[0]))
+        common = [r["term"] for r in single.where(F.col("n") >= first[-1]["n"]).limit(4 * wanted + 1).collect()]
+        bounded = len(common) <= 4 * wanted
+        if bounded:
+            kept = rows.select("seq", F.transform("words", lambda w: F.when(w.isin(common), w)).alias("words"))
+    terms = _words_and_pairs(kept)
+    if bounded:
+        terms = materialize(terms, "terms")
+    best = single.unionByName(_number(terms, F.col("pairs"))).orderBy(*order).limit(wanted)
+    names = [r["term"] for r in best.collect()]
+    every = F.coalesce(F.concat("words", "pairs"), F.array().cast("array<string>"))  # a null text has no terms
+    if bounded:
+        return names, terms.select("seq", every.alias("terms"))
+    return names, materialize(terms.select("seq", F.filter(every, lambda t: t.isin(names)).alias("terms")), "terms")
 
 
 def vocabulary(rows: DataFrame, max_features: int = 1000, max_df: float = 0.95) -> tuple[list[str], list[int], int, DataFrame | None]:
-    """The most frequent terms of ``(seq, words)``, their document counts, the number of documents, and ``(seq, terms)`` with at least
-    the occurrences of these terms.
+    """The most frequent terms of ``(seq, words)``, their document counts, the number of documents, and ``(seq, tf)``, vectors of the
+    occurrences of these terms.
 
-    Terms in more than ``max_df`` of the documents do not count. A sketch in one pass over the texts names the leading
-    terms, a second pass counts these exactly; terms that the sketch can have missed are rarer than those taken. Where the sketch can't tell that (in small
-    corpora, or flat ones), all terms are counted.
+    Terms in more than ``max_df`` of the documents do not count. One pass over the texts counts all words, a second one writes the
+    frequent ones and the pairs of these; everything else is counted in what was written.
     """
     n_docs = rows.count()
-    names, enough = _sketched_terms(rows.select(F.explode(F.concat("words", _pairs(F.col("words")))).alias("term")))
-    if names:
-        known = known_terms(rows, names)
-        kept = [(t, docs) for t, n, docs in _counted(known) if n > enough and docs <= max_df * n_docs][:max_features]
-        if len(kept) == max_features:
-            return [t for t, _ in kept], [d for _, d in kept], n_docs, known
+    single = materialize(_number(rows, F.col("words")), "words")
     wanted = max_features + 100
     while True:
-        names = _frequent_terms(rows, wanted)
+        names, known = _frequent_terms(rows, single, wanted)
         if not names:
             return [], [], 0, None
-        known = known_terms(rows, names)
-        kept = [(t, docs) for t, _, docs in _counted(known) if docs <= max_df * n_docs]
+        counts = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="tf").transform(known)
+        counts = materialize(counts.select("seq", "tf"), "counts")
+        held = counts.select(F.explode(F.unwrap_udt("tf")["indices"]).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+        documents = {r["at"]: r["n"] for r in held.collect()}
+        kept = [i for i in range(len(names)) if documents[i] <= max_df * n_docs]
         if len(kept) >= max_features or len(names) < wanted:
             kept = kept[:max_features]
-            return [t for t, _ in kept], [d for _, d in kept], n_docs, known
+            if kept:
+                sliced = VectorSlicer(inputCol="tf", outputCol="kept", indices=kept).transform(counts)
+                counts = sliced.select("seq", F.col("kept").alias("tf"))
+            return [names[i] for i in kept], [documents[i] for i in kept], n_docs, counts
         wanted *= 2
 
 
@@ -181,14 +157,13 @@ def tfidf(files: DataFrame, text: Column | None = None, max_features: int = 1000
     """``(seq, tfidf)`` unit vectors with smooth IDF, and the terms of their positions. Texts are read twice."""
     text = clustering_text() if text is None else text
     rows = files.select("seq", term_words(text).alias("words"))
-    names, documents, n, known = vocabulary(rows, max_features)
+    names, documents, n, counts = vocabulary(rows, max_features)
     if not names:
         return rows.select("seq", F.lit(None).alias("tfidf")).limit(0), []
     weights = Vectors.dense([log((n + 1) / (df + 1)) + 1 for df in documents])
-    counts = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="tf")
     weighted = ElementwiseProduct(scalingVec=weights, inputCol="tf", outputCol="weighted")
     normal = Normalizer(p=2.0, inputCol="weighted", outputCol="tfidf")
-    return normal.transform(weighted.transform(counts.transform(known))).select("seq", "tfidf"), names
+    return normal.transform(weighted.transform(counts)).select("seq", "tfidf"), names
 
 
 def feature_matrix(files: DataFrame, as_of: Column, feature_types: Sequence[str] = ("text", "metadata", "name_similarity"),

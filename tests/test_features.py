@@ -1,6 +1,9 @@
 import datetime
+import math
+import random
 from collections import Counter
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -135,3 +138,26 @@ def test_scan_filters_reach_the_parquet_scan(spark, tmp_path):
 def test_first_rows_of_a_group_are_limited_before_the_shuffle(spark):
     df = cluster_report.cluster_samples(file_rows(spark, ["a.txt", "b.py"]).withColumn("label", F.col("seq") % 2))
     assert "WindowGroupLimit" in df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("flat", [False, True])
+def test_tfidf_reads_each_text_two_or_three_times(spark, flat):
+    rng = random.Random(4)
+    word = lambda i, k: f"word{i}x{k}" if flat else rng.choice("abcdefghij") * 2 + str(rng.randint(0, 30))
+    texts = [" ".join(word(i, k) for k in range(60 if flat else rng.randint(0, 60))) + " every" for i in range(80)]
+    texts += ["", None, "every"]
+    read = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame(list(enumerate(texts)), "seq long, text string").repartition(3)
+    seen = F.udf(lambda t: (read.add(1), t)[1])(F.col("text"))
+    found, names = vectors.tfidf(rows, seen, max_features=60)
+    weights = {r["seq"]: {names[i]: w for i, w in zip(r["v"]["indices"], r["v"]["values"])} for r in found.select("seq", F.unwrap_udt("tfidf").alias("v")).collect()}
+    assert read.value == (3 if flat else 2) * len(texts)
+    words = [(t or "").split() for t in texts]
+    terms = [Counter(w + [" ".join(p) for p in zip(w, w[1:])]) for w in words]
+    total, held = sum(terms, Counter()), Counter(t for c in terms for t in c)
+    best = sorted((t for t in total if held[t] <= 0.95 * len(texts)), key=lambda t: (-total[t], t))[:60]
+    assert names == best and "every" not in best
+    for i, c in enumerate(terms):
+        w = {t: c[t] * (math.log((len(texts) + 1) / (held[t] + 1)) + 1) for t in best if t in c}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        assert weights[i].keys() == w.keys() and all(abs(weights[i][t] - v / norm) < 1e-9 for t, v in w.items())
