@@ -11,7 +11,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clustering import components
@@ -24,6 +24,10 @@ OUTCOME = "order bigint, status string, final string, origin string, made bigint
 _WATCH, _HELD = -3, -2
 
 
+def _hashed(name: str) -> Column:
+    return F.xxhash64(name)
+
+
 def tangled_names(todo: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """``(name, family)`` of the names in components with a source that another action may make or whose name one may want, and
     ``(name)`` of these sources; None when there is no such component. ``todo`` has ``action_type``, ``source`` and ``target``."""
@@ -41,9 +45,14 @@ def tangled_names(todo: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     between = up(wished).join(above, "up").select(F.col("name").alias("a"), F.col("up").alias("b"))
     acts = placed.join(watched.select(F.col("name").alias("source")), "source", "left_semi").select(F.col("source").alias("a"), F.col("target").alias("b"))
     links = linked.select(F.col("name").alias("a"), F.col("up").alias("b")).unionByName(between).unionByName(acts)
-    rooted = components(links).select(F.col("seq").alias("name"), F.col("root").alias("family"))
-    alone = links.where("a = b").select(F.col("a").alias("name"), F.col("a").alias("family")).distinct()
-    names = materialize(rooted.unionByName(alone.join(rooted, "name", "left_anti")), "names")
+    # Components of 64-bit hashes: far smaller than paths in every round. Two names that share a hash only join their families, and families
+    # folded together come out as they do apart.
+    known = links.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b", _hashed("a").alias("hash_a"), _hashed("b").alias("hash_b"))
+    known = materialize(known, "links")
+    rooted = components(known.select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b")))
+    every = known.select(F.explode(F.array(F.struct(F.col("a").alias("name"), F.col("hash_a").alias("seq")),
+                                           F.struct(F.col("b").alias("name"), F.col("hash_b").alias("seq")))).alias("n")).select("n.*").distinct()
+    names = materialize(every.join(rooted, "seq", "left").select("name", F.coalesce("root", "seq").alias("family")), "names")
     knotted = names.join(watched, "name", "left_semi").select("family").distinct()
     return materialize(names.join(knotted, "family", "left_semi").select("name", "family"), "tangled"), materialize(watched, "watched")
 

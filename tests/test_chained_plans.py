@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from filemason.functions import paths as P
 from filemason.plans import apply as AP
+from filemason.plans import chains
 from filemason.schemas import ACTIONS
 
 PHASES = ["create_dir", "copy", "move", "rename", "delete"]
@@ -44,6 +45,22 @@ def plan_of(spark, actions):
     return spark.createDataFrame([(seq, kind, source, target, "why", 1.0, None) for seq, kind, source, target in actions], ACTIONS)
 
 
+def test_components_of_names_are_found_by_hashes_that_may_collide(spark, monkeypatch):
+    """Paths don't travel through the rounds, and families that share a hash come out as they do apart."""
+    types, plain = [], chains.components
+    monkeypatch.setattr(chains, "components", lambda links: types.extend(t for _, t in links.dtypes) or plain(links))
+    monkeypatch.setattr(chains, "_hashed", lambda name: F.xxhash64(name) % 3, raising=False)
+    existing, actions = [], []
+    for i in range(30):
+        existing += [f"/p{i}/{n}" for n in ("a", "b", "b_1")]
+        swap = [("a", "c"), ("b", "a"), ("c", "b"), ("b_1", "b"), ("a", "a")]
+        actions += [(5 * i + k, "move", f"/p{i}/{x}", f"/p{i}/{y}") for k, (x, y) in enumerate(swap)]
+    held, _ = one_after_another(existing, actions)
+    done = AP.apply_plan(inventory(spark, existing), plan_of(spark, actions))
+    assert {r["path"]: r["was"] for r in done.files.collect()} == held
+    assert types == ["bigint", "bigint"]
+
+
 def test_random_plans(spark):
     """200 plans, each among names of its own folder, in one run."""
     rng = random.Random(12)
