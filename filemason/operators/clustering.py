@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from math import acos
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
@@ -11,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .neighbours import blocks, distinct_vectors, near_mask, per_block, unit_vectors, visits
+from . import block_pairs as B
+from . import neighbours
+from .neighbours import distinct_vectors, merged, placed, unit_vectors
 from .ranking import rank_in_group
 
 
@@ -42,47 +46,53 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _degrees(eps: float):
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        left, right, near = near_mask(group, eps)
-        if not near.any():
-            return pd.DataFrame({"seq": [], "degree": []}).astype("int64")
-        weights = near.astype(np.float64)
-        found = pd.concat([
-            pd.DataFrame({"seq": left["seq"], "degree": weights @ right["n"].to_numpy(np.float64)}),
-            pd.DataFrame({"seq": right["seq"], "degree": left["n"].to_numpy(np.float64) @ weights})])
-        return found[found["degree"] > 0].astype("int64")
+    """How many neighbours the points without a spot find in the blocks they meet."""
+    def work(batches):
+        for one, other in B.pairs(batches):
+            mine, theirs = np.zeros(len(one.seq)), np.zeros(len(other.seq))
+            for i, j in B.near(one, other, eps, acos(1 - eps)):
+                mine += np.bincount(i, other.n[j], len(mine))
+                theirs += np.bincount(j, one.n[i], len(theirs))
+            for side, degree in ((one, mine), (other, theirs)):
+                if side.value("spot") < 0 and degree.any():
+                    some = np.flatnonzero(degree)
+                    yield pa.RecordBatch.from_arrays([pa.array(side.seq[some]), pa.array(degree[some].astype(np.int64))], names=["seq", "degree"])
     return work
 
 
-def _links(eps: float):
-    """Links of one block pair: core points to the smallest core point they reach inside the block, and
-    border points to the core groups they touch. At most one row per core point instead of all pairs."""
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        left, right, near = near_mask(group, eps)
-        rows = pd.concat([left, right]) if right is not left else left
-        seq, core = rows["seq"].to_numpy(), rows["core"].to_numpy(dtype=bool)
-        i, j = np.nonzero(near)
-        if right is not left:
-            j = j + len(left)
-        both = core[i] & core[j]
-        root = seq.copy()
-        ci, cj = i[both], j[both]
-        while True:
-            low = np.minimum(root[ci], root[cj])
-            new = root.copy()
-            np.minimum.at(new, ci, low)
-            np.minimum.at(new, cj, low)
-            if (new == root).all():
-                break
-            root = new
-        linked = core & (root != seq)
-        mixed = core[i] != core[j]
-        border = np.where(core[i[mixed]], j[mixed], i[mixed])
-        inner = np.where(core[i[mixed]], i[mixed], j[mixed])
-        out = pd.concat([
-            pd.DataFrame({"a": seq[linked], "b": root[linked], "border": False}),
-            pd.DataFrame({"a": seq[border], "b": root[inner], "border": True}).drop_duplicates()])
-        return out.astype({"a": "int64", "b": "int64", "border": "bool"})
+def _links(eps: float, heads: np.ndarray):
+    """Links of one block pair: core points to a core point they reach inside the pair, spots to spots, and border points to
+    the core points or spots they touch. At most one row per core point instead of all pairs."""
+    def found(one: B.Block, other: B.Block) -> tuple[np.ndarray, np.ndarray, bool]:
+        spots, close = (one.value("spot"), other.value("spot")), B.near(one, other, eps, acos(1 - eps))
+        if min(spots) >= 0:
+            head = heads[list(spots)]
+            return (head[:1], head[1:], False) if next(close, None) is not None else (head[:0], head[:0], False)
+        if max(spots) >= 0:
+            single, at = (one, 0) if spots[0] < 0 else (other, 1)
+            touched = np.zeros(len(single.seq), bool)
+            for hit in close:
+                touched[hit[at]] = True
+            seq = single.seq[touched]
+            return seq, np.full(len(seq), heads[max(spots)]), not single.value("core")
+        if one.value("core") and other.value("core"):
+            same = one.value("block") == other.value("block")
+            seq, shift = (one.seq, 0) if same else (np.concatenate([one.seq, other.seq]), len(one.seq))
+            root = np.arange(len(seq))
+            for i, j in close:
+                root = merged(root, i, j + shift)
+            linked = np.flatnonzero(root != np.arange(len(seq)))
+            return seq[linked], seq[root[linked]], False
+        hits = [*close]  # a point that is none has few core points beside it
+        i, j = (np.concatenate([h[k] for h in hits]) if hits else np.zeros(0, int) for k in (0, 1))
+        ends = one.seq[i], other.seq[j]
+        return (*(ends if other.value("core") else ends[::-1]), True)
+
+    def work(batches):
+        for one, other in B.pairs(batches):
+            a, b, border = found(one, other)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), border))], names=["a", "b", "border"])
     return work
 
 
@@ -90,30 +100,35 @@ def dbscan(vectors: DataFrame, eps: float = 0.5, min_samples: int = 2) -> DataFr
     """DBSCAN by cosine distance; label -1 is noise, clusters are numbered by their first core point.
 
     Exact at any size: degrees and then links are computed block by block around pivots, so neighbour
-    pairs are never collected. Equal vectors count through one representative, and the points of a dense
-    spot, all near each other, are counted and linked without being compared.
+    pairs are never collected, and vectors are never copied for the blocks they meet. Equal vectors count through one representative. What a sample
+    shows to be core points of one cluster, a spot, is never compared with itself; all other points meet everything they may be near to.
     """
     units = materialize(unit_vectors(vectors), "units")
     points = materialize(distinct_vectors(units), "points")
-    visited = visits(points, eps)
-    rows = blocks(visited, skip_dense=True)
-    dense = visited.where("dense").select("cell", "seq", "n")
-    crowd = dense.groupBy("cell").agg(F.sum("n").alias("crowd"))  # one row per pivot
-    beside = dense.join(F.broadcast(crowd), "cell").select("seq", (F.col("crowd") - F.col("n")).alias("degree"))
-    degrees = per_block(rows, _degrees(eps), "seq bigint, degree bigint").unionByName(beside)
+    where, heads = placed(points, eps, min_samples)
+    size = neighbours.BLOCK_ROWS
+    known = where.where("spot >= 0")
+    blocks = B.packed(where, {"spot": "int", "cell": "int"}, size)
+    near = B.near_enough(acos(1 - eps))
+    once = F.col("a_block") <= F.col("b_block")
+    degrees = B.met(blocks.where("spot < 0"), blocks, (once | (F.col("b_spot") >= 0)) & near).mapInArrow(_degrees(eps), "seq bigint, degree bigint")
     degrees = degrees.groupBy("seq").agg(F.sum("degree").alias("degree"))
-    cores = materialize(
-        points.join(degrees, "seq", "left")
-        .select("seq", (F.col("n") + F.coalesce("degree", F.lit(0)) >= min_samples).alias("core")), "cores")
-    found = per_block(rows.join(cores, "seq"), _links(eps), "a bigint, b bigint, border boolean")
-    spots = dense.join(cores, "seq")
-    centre = spots.where("core").groupBy("cell").agg(F.min("seq").alias("b"))  # one row per pivot
-    spots = spots.join(F.broadcast(centre), "cell").where("seq <> b").select(
-        F.col("seq").alias("a"), "b", (~F.col("core")).alias("border"))
-    links = materialize(found.unionByName(spots), "links")
+    single = materialize(
+        where.where("spot < 0").join(degrees, "seq", "left")
+        .select("seq", "n", "vector", "cell", "spot", (F.col("n") + F.coalesce("degree", F.lit(0)) >= min_samples).alias("core")), "single")
+    flagged = B.packed(single, {"spot": "int", "core": "boolean", "cell": "int"}, size, "flagged").withColumn("block", -1 - F.col("block"))
+    flagged = flagged.unionByName(blocks.where("spot >= 0").withColumn("core", F.lit(True)))
+    apart = (F.col("a_spot") < 0) | (F.col("a_spot") != F.col("b_spot"))
+    found = B.met(flagged, flagged, once & apart & (F.col("a_core") | F.col("b_core")) & near).mapInArrow(
+        _links(eps, heads), "a bigint, b bigint, border boolean")
+    spark = vectors.sparkSession
+    head = spark.createDataFrame([(i, int(seq)) for i, seq in enumerate(heads)], "spot int, head bigint")  # one row per spot, at most MAX_SPOTS
+    first = known.groupBy("spot").agg(F.min("seq").alias("b")).join(head, "spot").select(F.col("head").alias("a"), "b", F.lit(False).alias("border"))
+    links = materialize(found.unionByName(first), "links")
     grouped = components(links.where("NOT border").select("a", "b"))
+    nodes = single.where("core").select("seq", F.col("seq").alias("node")).unionByName(known.join(head, "spot").select("seq", F.col("head").alias("node")))
     core_roots = materialize(
-        cores.where("core").select("seq").join(grouped, "seq", "left").select("seq", F.coalesce("root", "seq").alias("root")), "roots")
+        nodes.join(grouped.withColumnRenamed("seq", "node"), "node", "left").select("seq", F.coalesce("root", "node").alias("root")), "roots")
     ranked = rank_in_group(core_roots.select("root").distinct().withColumn("all", F.lit(0)), ["all"], "root", "rank")
     core_labels = materialize(
         core_roots.join(ranked.select("root", (F.col("rank") - 1).cast("int").alias("label")), "root").select("seq", "label"), "labels")

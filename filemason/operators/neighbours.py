@@ -12,10 +12,12 @@ from math import acos
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import block_pairs as B
 
 # Vectors per side of a block, and most pivots.
 BLOCK_ROWS = 2048
@@ -23,6 +25,8 @@ MAX_PIVOTS = 256
 # Rows that a task sends to cells at once, and pairs that it lists at once: what a Python worker holds stays the same however many pivots there are.
 SENT_ROWS = 8192
 LISTED_PAIRS = 1 << 16
+# Bytes of the vectors that spots are found with, and most spots.
+SAMPLED_BYTES, MAX_SPOTS = 1 << 24, 1024
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -127,19 +131,79 @@ def blocks(visited: DataFrame, skip_dense: bool = False, block_rows: int | None
     return rows.select("cell", "m.a", "m.b", "m.probe", "seq", "n", "vector")
 
 
-def near_mask(group: pd.DataFrame, max_distance: float) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    """Left rows, right rows and which of them are near in one block pair (each pair once)."""
-    left, right = group[~group["probe"]], group[group["probe"]]
-    if group["a"].iat[0] == group["b"].iat[0]:
-        m = _matrix(left["vector"])
-        return left, left, np.triu(1 - m @ m.T <= max_distance, 1)
-    if left.empty or right.empty:
-        return left, right, np.zeros((len(left), len(right)), dtype=bool)
-    return left, right, 1 - _matrix(left["vector"]) @ _matrix(right["vector"]).T <= max_distance
-
-
-def per_block(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return rows.groupBy("cell", "a", "b").applyInPandas(work, schema)
+def _first(points: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A repeatable sample of the points in order of ``seq``: their numbers, weights and vectors."""
+    sample = points.orderBy(F.xxhash64("seq"), "seq").limit(rows).select("seq", "n", "vector").orderBy("seq").toArrow()
+    return sample["seq"].to_numpy(), sample["n"].to_numpy(), B.matrix(sample)
+
+
+def _spots(vectors: np.ndarray, n: np.ndarray, max_distance: float, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some vectors the first one that it is linked with as a core point, -1 where these vectors don't show it to
+    be one, and how many have the same first one."""
+    root, core = np.arange(len(n)), np.zeros(len(n), bool)
+    step = max(1, B.HELD // max(1, len(n)))
+    near = [slice(at, at + step) for at in range(0, len(n), step)]
+    for part in near:
+        core[part] = (1 - vectors[part] @ vectors.T <= max_distance) @ n >= min_samples
+    for part in near:
+        i, j = np.nonzero((1 - vectors[part] @ vectors.T <= max_distance) & core[part, None] & core)
+        root = merged(root, i + part.start, j)
+    root = np.where(core, root, -1)
+    return root, np.where(core, np.bincount(root[core], minlength=len(n))[root], 0)
+
+
+def merged(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots of linked rows, each the smallest row known to hang together, with the links ``(i, j)`` added."""
+    while len(i):
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        apart = low != high
+        i, j = i[apart], j[apart]
+        root = root.copy()
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def placed(points: DataFrame, max_distance: float, min_samples: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Points ``(seq, n, vector)`` with ``cell``, the pivot nearest by angle, and ``spot``; and the ``seq`` that stands for each spot.
+
+    A spot holds points that a bounded sample shows to be core points linked with each other: they have enough neighbours in it, one of them a
+    core point of that spot. All others have the spot -1, and so has everything without ``min_samples``.
+    """
+    if not 0 < max_distance < 1:
+        raise ValueError("the cosine distance must lie between 0 and 1")
+    total = points.count()
+    pivots = _pivots(points, max(1, min(MAX_PIVOTS, -(-total // BLOCK_ROWS))), acos(1 - max_distance) / 2)
+    known, weights, vectors, spots, heads = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0)), np.zeros(0, int), np.zeros(0, np.int64)
+    if min_samples is not None and total:
+        rows = max(1, min(2 * BLOCK_ROWS, SAMPLED_BYTES // (8 * B.width(points))))
+        known, weights, vectors = _first(points, rows)
+        root, size = _spots(vectors, weights, max_distance, min_samples)
+        largest = np.lexsort((root, -size))  # rows of the largest spot first, and so the first core neighbour's spot is the largest
+        known, weights, vectors, root = known[largest], weights[largest].astype(float), vectors[largest], root[largest]
+        firsts = list(dict.fromkeys(int(r) for r in root if r >= 0))[:MAX_SPOTS]
+        number = {r: i for i, r in enumerate(firsts)}
+        spots = np.array([number.get(int(r), -1) for r in root])
+        heads = known[[int(np.flatnonzero(root == r)[0]) for r in firsts]] if firsts else heads
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            step = max(1, B.HELD // max(1, len(pivots), len(known)))
+            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                rows, seq = B.matrix(batch), batch.column("seq").to_numpy(zero_copy_only=False)
+                cell, spot = (rows @ pivots.T).argmax(axis=1), np.full(len(rows), -1)
+                if len(heads):
+                    near = 1 - rows @ vectors.T <= max_distance
+                    others = near & (known[None, :] != seq[:, None])
+                    enough = others @ weights + batch.column("n").to_numpy() >= min_samples
+                    near &= (spots >= 0)[None, :]
+                    spot = np.where(enough & near.any(axis=1), spots[near.argmax(axis=1)], -1)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(cell, pa.int32()), pa.array(spot, pa.int32())], names=["seq", "n", "vector", "cell", "spot"])
+
+    schema = "seq bigint, n bigint, vector array<double>, cell int, spot int"
+    return materialize(points.select("seq", "n", "vector").mapInArrow(place, schema), "placed"), heads
 
 
 def cosine_neighbours(vectors: DataFrame, min_cosine: float) -> DataFrame:
@@ -147,17 +211,20 @@ def cosine_neighbours(vectors: DataFrame, min_cosine: float) -> DataFrame:
     represented by their first row and their number."""
     points = materialize(distinct_vectors(unit_vectors(vectors)), "points")
     limit = 1 - min_cosine
-
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        left, right, near = near_mask(group, limit)
-        i, j = np.nonzero(near)
-        a, b = left[["seq", "n"]].iloc[i], right[["seq", "n"]].iloc[j]
-        of_left, of_right = _matrix(left["vector"]), _matrix(right["vector"])
-        parts = [slice(at, at + LISTED_PAIRS) for at in range(0, len(i), LISTED_PAIRS)]
-        cosine = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", of_left[i[p]], of_right[j[p]]) for p in parts)])
-        swap = a["seq"].to_numpy() > b["seq"].to_numpy()
-        pick = lambda c: (np.where(swap, b[c], a[c]), np.where(swap, a[c], b[c]))
-        (seq_a, seq_b), (n_a, n_b) = pick("seq"), pick("n")
-        return pd.DataFrame({"seq_a": seq_a, "seq_b": seq_b, "n_a": n_a, "n_b": n_b, "cosine": cosine})
-
-    return per_block(blocks(visits(points, limit)), pairs, "seq_a bigint, seq_b bigint, n_a bigint, n_b bigint, cosine double")
+    where, _ = placed(points, limit)
+    angle = acos(min_cosine)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one, other in B.pairs(batches):
+            for rows, others in B.near(one, other, limit, angle):
+                for at in range(0, len(rows), LISTED_PAIRS):
+                    i, j = rows[at:at + LISTED_PAIRS], others[at:at + LISTED_PAIRS]
+                    a, b, n_a, n_b = one.seq[i], other.seq[j], one.n[i], other.n[j]
+                    swap = a > b
+                    columns = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n_b, n_a), np.where(swap, n_a, n_b)
+                    cosine = np.einsum("ij,ij->i", one.vector[i], other.vector[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, cosine)], names=["seq_a", "seq_b", "n_a", "n_b", "cosine"])
+
+    blocks_ = B.packed(where, {"cell": "int"}, BLOCK_ROWS)
+    meet = (F.col("a_block") <= F.col("b_block")) & B.near_enough(angle)
+    return B.met(blocks_, blocks_, meet).mapInArrow(found, "seq_a bigint, seq_b bigint, n_a bigint, n_b bigint, cosine double")

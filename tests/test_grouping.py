@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import file_rows
-from filemason.operators import clustering, near_duplicates, neighbours, pairing, ranking
+from filemason.operators import block_pairs, clustering, near_duplicates, neighbours, pairing, ranking
 from filemason.plans import conflicts
 
 
@@ -260,6 +260,32 @@ def test_dbscan(spark, monkeypatch, eps, min_samples, block):
     assert got == brute_dbscan(rows, eps, min_samples)
 
 
+@pytest.mark.parametrize("eps,min_samples,block,spots", [(0.3, 2, 4, 1024), (0.1, 5, 16, 2), (0.02, 3, 8, 1024)])
+def test_spots_of_a_sample_leave_dbscan_exact(spark, monkeypatch, eps, min_samples, block, spots):
+    """Vectors are never copied for the cells they meet: no table that is written has more of them than there are points."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neighbours, "MAX_SPOTS", spots)
+    written = {}
+
+    def keep(df, label, write=neighbours.materialize):
+        kept = write(df, label)
+        if "vector" in kept.columns and label != "units":
+            rows = F.octet_length("seq") / 8 if dict(kept.dtypes)["seq"] == "binary" else F.lit(1)
+            written[label] = kept.agg(F.sum(rows)).first()[0]
+        return kept
+
+    for module in (neighbours, clustering, block_pairs):
+        monkeypatch.setattr(module, "materialize", keep)
+    rng = np.random.default_rng(7)
+    rows = (rng.normal(size=(8, 6))[rng.integers(0, 8, 150)] + rng.normal(size=(150, 6)) * 0.2).tolist() + rng.normal(size=(60, 6)).tolist()
+    rows += rows[:10] * 2
+    df = spark.createDataFrame(list(enumerate(rows)), "seq bigint, vector array<double>")
+    got = [r["label"] for r in clustering.dbscan(df, eps, min_samples).orderBy("seq").collect()]
+    assert got == brute_dbscan(rows, eps, min_samples)
+    neighbours.cosine_neighbours(df, 0.2).count()
+    assert len(written) > 1 and max(n for n in written.values() if n) <= 210
+
+
 def test_cosine_neighbours(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 8)
     rng = np.random.default_rng(1)
