@@ -40,9 +40,14 @@ def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1, 1))
 
 
+def partitions(total: int, dims: int) -> int:
+    """How many partitions of blocks so many vectors make; a task holds one of them for each side."""
+    return max(1, min(8, total // SMALL_ROWS), ceil(8 * dims * total / PARTITION_BYTES))
+
+
 def packed(rows: DataFrame, keys: dict[str, str], block_rows: int, label: str = "blocks", also: dict | None = None) -> DataFrame:
     """The rows ``(*keys, seq, n, vector)`` as blocks of equal keys and about ``block_rows`` rows at most: ``(block, *keys, centre, radius,
-    seq, n, vector)``, the last three as bytes. ``keys`` has the types by name; ``also`` has further columns of bytes, made from a block's vectors."""
+    seq, n, vector)``, the last three as bytes. ``keys`` has the types by name; ``also`` has the types of further columns and how they are made from a block's vectors and their centre."""
     also = also or {}
     dims = width(rows)
     block_rows = max(1, min(block_rows, BLOCK_BYTES // (8 * dims)))
@@ -50,8 +55,7 @@ def packed(rows: DataFrame, keys: dict[str, str], block_rows: int, label: str =
     total = sizes.agg(F.sum("rows")).first()[0] or 0
     parts = sizes.select(*keys, F.ceil(F.col("rows") / block_rows).cast("int").alias("parts"))
     dealt = rows.join(parts, list(keys)).select(*keys, "seq", "n", "vector", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int").alias("part"))
-    partitions = max(1, min(8, total // SMALL_ROWS), ceil(8 * dims * total / PARTITION_BYTES))
-    dealt = dealt.repartition(partitions, *keys, "part")
+    dealt = dealt.repartition(partitions(total, dims), *keys, "part")
 
     def pack(t: pa.Table) -> pa.Table:
         vectors = matrix(t)
@@ -61,12 +65,12 @@ def packed(rows: DataFrame, keys: dict[str, str], block_rows: int, label: str =
         held = {
             "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": pa.array([float(angles(vectors, centre[None]).max())]),
             "seq": t["seq"].to_numpy().astype(np.int64), "n": t["n"].to_numpy().astype(np.int64), "vector": vectors,
-            **{name: make(vectors) for name, make in also.items()}}
-        arrays = {c: pa.array([v.tobytes()], pa.binary()) if isinstance(v, np.ndarray) else v for c, v in held.items()}
+            **{name: make(vectors, centre) for name, (_, make) in also.items()}}
+        arrays = {c: v if isinstance(v, pa.Array) else pa.array([v.tobytes() if isinstance(v, np.ndarray) else v]) for c, v in held.items()}
         return pa.table({**{k: t[k].slice(0, 1) for k in keys}, **arrays})
 
     schema = ", ".join([*(f"{k} {v}" for k, v in keys.items()), "centre array<double>, radius double, seq binary, n binary, vector binary",
-                        *(f"{name} binary" for name in also)])
+                        *(f"{name} {kind}" for name, (kind, _) in also.items())])
     blocks = dealt.groupBy(*keys, "part").applyInArrow(pack, schema)
     return materialize(blocks.withColumn("block", F.monotonically_increasing_id()), label)
 

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from filemason.operators import nearest
+from filemason.operators import block_pairs, nearest
 
 
 def table(spark, vectors):
@@ -50,6 +51,24 @@ def test_equals_all_pairs(spark, monkeypatch, block, pivots, slices):
     assert as_found(nearest.nearest_vectors(table(spark, vectors), 5).collect()) == brute_force(vectors, 5)
 
 
+def test_vectors_are_not_copied_for_the_cells_they_visit(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 16)
+    written = {}
+
+    def keep(df, label, write=nearest.materialize):
+        kept = write(df, label)
+        if label != "second" and "vector" in kept.columns:
+            rows = F.octet_length("seq") / 8 if dict(kept.dtypes)["seq"] == "binary" else F.lit(1)
+            written[label] = kept.agg(F.sum(rows)).first()[0]
+        return kept
+
+    for module in (nearest, block_pairs):
+        monkeypatch.setattr(module, "materialize", keep)
+    vectors = np.random.default_rng(4).normal(size=(300, 5))
+    assert as_found(nearest.nearest_vectors(table(spark, vectors), 4).collect()) == brute_force(vectors, 4)
+    assert len(written) > 2 and max(written.values()) <= 300
+
+
 def test_ties_few_rows_and_none(spark, monkeypatch):
     monkeypatch.setattr(nearest, "BLOCK_ROWS", 2)
     axes = [np.eye(4)[i] for i in (0, 1, 2, 3)]  # all equally far apart
