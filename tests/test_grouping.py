@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import file_rows
+from filemason.catalog import views
 from filemason.operators import block_pairs, clustering, near_duplicates, neighbours, pairing, ranking
 from filemason.plans import conflicts
 
@@ -357,3 +358,23 @@ def test_rows_sent_to_cells_are_bounded():
         parts = list(neighbours.slices(iter(batches), copies))
         assert max(len(p) for p in parts) <= max(1, neighbours.SENT_ROWS // copies)
         assert [s for p in parts for s in p["seq"]] == [*range(10_000), 0, 1, 2]
+
+
+def test_hashes_count_letters_of_whole_texts(spark, tmp_path, monkeypatch):
+    """Bits by segments of characters, not bytes, and each text is read once however many letters are counted."""
+    monkeypatch.setattr(views, "COUNTED_BYTES", 40)
+    rng = random.Random(3)
+    texts = ["", None, "a", "Straße naïve ÄÖÜ ß", "a" * 63, "İstanbul ainorstu " * 9, "日本 sort 語 unit"]
+    texts += ["".join(rng.choice("ainorstu xyzé日🙂QA") for _ in range(rng.randrange(200))) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def hashed(text):
+        text = (text or "").lower()
+        width = max(1, -(-len(text) // 8))
+        counts = [text[i * width:(i + 1) * width].count(c) for i in range(8) for c in "ainorstu"]
+        bits = sum(1 << i for i, n in enumerate(counts) if n * 64 > sum(counts))
+        return bits - (1 << 64) if bits >> 63 else bits
+
+    rows = views.hashes(spark, str(tmp_path)).orderBy("seq")
+    assert [tuple(r) for r in rows.collect()] == [(i, None if t is None else len(t.encode()), hashed(t)) for i, t in enumerate(texts)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
