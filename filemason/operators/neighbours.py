@@ -2,7 +2,8 @@
 
 Unit vectors get the pivot nearest by angle as home. A vector within angle ``e`` of one with home ``c`` is
 at most ``2e`` further from ``c`` than from its own home, so it visits exactly those cells; the join is
-exact for any distance, and the closer the wanted neighbours the fewer cells a vector visits.
+exact for any distance, and the closer the wanted neighbours the fewer cells a vector visits. ``visits`` and ``blocks`` make a copy of a
+vector for each cell; where there are many, points are ``placed`` in cells, packed and met as in ``block_pairs``.
 """
 
 from __future__ import annotations
